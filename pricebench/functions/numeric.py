@@ -6,7 +6,7 @@ from pyspark.sql import Column, functions as F
 
 # Fixed value: the white space that is stripped from text before it is read as
 # a number and that the part-number rule deletes (wider than Java's \s).
-WHITE_SPACE = r"\s\x0B   -     　﻿"
+WHITE_SPACE = r"\s\x0B\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF"
 _NUMERIC = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
 
 
@@ -24,7 +24,7 @@ def to_fixed(x: Column, places: int) -> Column:
     """
     pattern = "0" if places == 0 else "0." + "0" * places
     scaled = x * F.lit(float(2 ** (places + 2)))
-    formatted = F.format_number(x, pattern).try_cast("double")
+    formatted = F.call_function("format_number", x, F.lit(pattern)).try_cast("double")
     return F.when(scaled % F.lit(1.0) == 0.0, F.round(x, places)).otherwise(formatted) + F.lit(0.0)
 
 
