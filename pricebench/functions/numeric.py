@@ -5,13 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 # Fixed value: the white space that is stripped from text before it is read as
-# a number and that the part-number rule deletes (wider than Java's \s).
-WHITE_SPACE = r"\s\x0B\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF"
+# a number and that the part-number rule deletes (wider than Java's \\s).
+WHITE_SPACE = (
+    " \t\n\x0b\f\r\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000\ufeff"
+)
 _NUMERIC = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, f"^[{WHITE_SPACE}]+|[{WHITE_SPACE}]+$", "")
+    return F.btrim(text, F.lit(WHITE_SPACE))
 
 
 def to_fixed(x: Column, places: int) -> Column:

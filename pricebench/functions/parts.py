@@ -18,6 +18,15 @@ def non_blank(c: Column, default: str) -> Column:
     return F.coalesce(F.nullif(c.cast("string"), F.lit("")), F.lit(default))
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` worked out once per row.
+
+    A plain reference would be copied into every place ``body`` uses it, and the
+    copies multiply when the optimizer moves a filter below the projection.
+    """
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def first_match(cases: list[tuple[Column, str]], otherwise: Column) -> Column:
     expr = None
     for condition, value in cases:
@@ -27,20 +36,27 @@ def first_match(cases: list[tuple[Column, str]], otherwise: Column) -> Column:
 
 def normal_part_number(pn: Column) -> Column:
     """E1.  The order matters; genuine trailing 999s go as well."""
-    p = strip(F.upper(text(pn)))
-    p = F.regexp_replace(p, r"\(.*?\)", "")
-    p = F.substring_index(p, "/", 1)
-    p = F.regexp_replace(p, f"[{WHITE_SPACE}]*9{{3,}}$", "")
-    return F.regexp_replace(p, rf"[{WHITE_SPACE}\-.]", "")
+    # The patterns run only where their mark occurs; most numbers carry none.
+    def bare(p: Column) -> Column:
+        return F.when(F.contains(p, F.lit("(")), F.regexp_replace(p, r"\(.*?\)", "")).otherwise(p)
+
+    p = let(strip(F.upper(text(pn))), bare)
+    p = let(
+        F.substring_index(p, "/", 1),
+        lambda q: F.when(F.endswith(q, F.lit("999")), F.rtrim(q, F.lit("9"))).otherwise(q),
+    )
+    return F.translate(p, WHITE_SPACE + "-.", "")
 
 
 def category(name: Column, table=rules.CATEGORY_RULES) -> Column:
     """The first rule any of whose texts occurs in the name."""
     padded = F.concat(F.lit(" "), F.lower(text(name)), F.lit(" "))
-    cases = [
-        (reduce(lambda a, b: a | b, [F.contains(padded, F.lit(k)) for k in keys]), cat) for cat, keys in table
-    ]
-    return first_match(cases, F.lit("Other"))
+
+    def decide(name_: Column) -> Column:
+        cases = [(reduce(lambda a, b: a | b, [F.contains(name_, F.lit(k)) for k in keys]), cat) for cat, keys in table]
+        return first_match(cases, F.lit("Other"))
+
+    return let(padded, decide)
 
 
 def _make_key(make: str) -> str:
@@ -51,17 +67,20 @@ def canonical_make(make: Column, makes=rules.COVERAGE_MAKES, aliases=None) -> Co
     """Fold spellings of a known make; an unlisted make stays as written."""
     lookup = {_make_key(m): m for m in makes} | dict(rules.MAKE_ALIASES if aliases is None else aliases)
     pairs = F.create_map(*[F.lit(x) for kv in lookup.items() for x in kv])
-    raw = strip(text(make))
-    key = F.regexp_replace(F.lower(raw), "[^a-z0-9]+", "")
-    return F.when((raw == "") | (F.lower(raw) == "unknown"), "Unknown").otherwise(
-        F.coalesce(F.try_element_at(pairs, key), raw)
-    )
+
+    def fold(raw: Column) -> Column:
+        key = F.regexp_replace(F.lower(raw), "[^a-z0-9]+", "")
+        return F.when((raw == "") | (F.lower(raw) == "unknown"), "Unknown").otherwise(
+            F.coalesce(F.try_element_at(pairs, key), raw)
+        )
+
+    return let(strip(text(make)), fold)
 
 
 def make_of(npn: Column, bill_make: Column, prefixes=rules.MAKE_PREFIXES) -> Column:
     """The make on the bill, else the one the part number starts with."""
     given = text(bill_make)
-    guessed = first_match([(npn.rlike(p), m) for p, m in prefixes], F.lit("Unknown"))
+    guessed = let(npn, lambda pn: first_match([(pn.rlike(p), m) for p, m in prefixes], F.lit("Unknown")))
     return F.when((given != "") & (given != "Unknown"), canonical_make(given)).otherwise(guessed)
 
 
@@ -80,7 +99,7 @@ def grade_of(name: Column, provided: Column) -> Column:
     """A valid supplied grade wins over tags in the name."""
     given = strip(text(provided))
     padded = F.concat(F.lit(" "), F.lower(text(name)), F.lit(" "))
-    tagged = first_match([(padded.rlike(p), g) for g, p in rules.GRADE_TAGS], F.lit("Unknown"))
+    tagged = let(padded, lambda n: first_match([(n.rlike(p), g) for g, p in rules.GRADE_TAGS], F.lit("Unknown")))
     return F.when(given.isin(*rules.GRADES), given).otherwise(tagged)
 
 
@@ -88,12 +107,10 @@ def basis_of(name: Column, provided: Column) -> Column:
     """E7."""
     given = F.lower(strip(text(provided)))
     padded = F.concat(F.lit(" "), F.lower(text(name)), F.lit(" "))
-    return (
-        F.when(given.isin(*rules.UNIT_BASES), given)
-        .when(padded.rlike(rules.SET_TAG), "set")
-        .when(padded.rlike(rules.PAIR_TAG), "pair")
-        .otherwise("each")
+    tagged = let(
+        padded, lambda n: F.when(n.rlike(rules.SET_TAG), "set").when(n.rlike(rules.PAIR_TAG), "pair").otherwise("each")
     )
+    return F.when(given.isin(*rules.UNIT_BASES), given).otherwise(tagged)
 
 
 def gst_of(value: Column) -> Column:
@@ -109,17 +126,22 @@ def _rolled_date(y: Column, m: Column, d: Column) -> Column:
 
 def bill_date_of(printed: Column) -> Column:
     """ISO anywhere in the text, else day/month/year anywhere, else NULL."""
-    t = text(printed)
-    iso, dmy = r"([0-9]{4})-([0-9]{2})-([0-9]{2})", r"([0-9]{1,2})/([0-9]{1,2})/([0-9]{2,4})"
+    def from_iso(found: Column) -> Column:
+        p = F.split(found, "-")
+        return F.when(found != "", _rolled_date(p[0].cast("int"), p[1].cast("int"), p[2].cast("int")))
 
-    def part(pattern: str, group: int) -> Column:
-        return F.nullif(F.regexp_extract(t, pattern, group), F.lit("")).cast("int")
+    def from_dmy(found: Column) -> Column:
+        p = F.split(found, "/")
+        year = p[2].cast("int")
+        year = F.when(year < 100, year + 2000).otherwise(year)
+        return F.when(found != "", _rolled_date(year, p[1].cast("int"), p[0].cast("int")))
 
-    year = part(dmy, 3)
-    year = F.when(year < 100, year + 2000).otherwise(year)
-    return F.when(t.rlike(iso), _rolled_date(part(iso, 1), part(iso, 2), part(iso, 3))).when(
-        t.rlike(dmy), _rolled_date(year, part(dmy, 2), part(dmy, 1))
-    )
+    def read(t: Column) -> Column:
+        iso = F.when(F.contains(t, F.lit("-")), F.regexp_extract(t, "[0-9]{4}-[0-9]{2}-[0-9]{2}", 0))
+        dmy = F.regexp_extract(t, "[0-9]{1,2}/[0-9]{1,2}/[0-9]{2,4}", 0)
+        return F.coalesce(let(iso, from_iso), let(dmy, from_dmy))
+
+    return let(text(printed), read)
 
 
 def model_key(model: Column) -> Column:
@@ -149,5 +171,5 @@ def model_label(model: Column, n_models: Column) -> Column:
 
 def money(value: Column) -> Column:
     """The leading number of a printed amount, else NULL."""
-    bare = F.regexp_replace(F.regexp_replace(text(value), f"[,{WHITE_SPACE}S$]", ""), "^[+≈~]", "")
+    bare = F.regexp_replace(F.translate(text(value), WHITE_SPACE + ",S$", ""), "^[+≈~]", "")
     return F.nullif(F.regexp_extract(bare, r"^-?[0-9]*\.?[0-9]+", 0), F.lit("")).try_cast("double")

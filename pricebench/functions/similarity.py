@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from pricebench.functions import rules
-from pricebench.functions.parts import text
+from pricebench.functions.parts import let, text
 
 
 def words(name: Column) -> Column:
@@ -14,10 +14,14 @@ def words(name: Column) -> Column:
     return F.filter(F.split(spaced, " "), lambda w: w != "")
 
 
+def normal_name_of(w: Column, stopwords=rules.STOPWORDS) -> Column:
+    stop = F.array(*[F.lit(s) for s in stopwords])
+    return F.array_join(F.filter(w, lambda x: ~F.array_contains(stop, x)), " ")
+
+
 def normal_name(name: Column, stopwords=rules.STOPWORDS) -> Column:
     """E12."""
-    stop = F.array(*[F.lit(s) for s in stopwords])
-    return F.array_join(F.filter(words(name), lambda w: ~F.array_contains(stop, w)), " ")
+    return normal_name_of(words(name), stopwords)
 
 
 def tokens(normal: Column) -> Column:
@@ -25,24 +29,32 @@ def tokens(normal: Column) -> Column:
     return F.array_distinct(F.filter(F.split(normal, " "), lambda w: w != ""))
 
 
-def position(name: Column) -> Column:
-    """One end per axis; an axis on which both ends are named is blank."""
-    w = words(name)
+def position_of(w: Column) -> Column:
+    def ends(found: Column) -> Column:
+        def axis(pair) -> Column:
+            (a, a_words), (b, b_words) = pair
+            has_a = F.arrays_overlap(found, F.array(*[F.lit(x) for x in a_words]))
+            has_b = F.arrays_overlap(found, F.array(*[F.lit(x) for x in b_words]))
+            return F.when(has_a & ~has_b, a).when(has_b & ~has_a, b).otherwise("")
 
-    def axis(ends) -> Column:
-        (a, a_words), (b, b_words) = ends
-        has_a = F.arrays_overlap(w, F.array(*[F.lit(x) for x in a_words]))
-        has_b = F.arrays_overlap(w, F.array(*[F.lit(x) for x in b_words]))
-        return F.when(has_a & ~has_b, a).when(has_b & ~has_a, b).otherwise("")
+        return F.struct(*[axis(pair).alias(name_) for name_, pair in rules.POSITION_AXES.items()])
 
-    return F.struct(*[axis(ends).alias(name_) for name_, ends in rules.POSITION_AXES.items()])
+    return let(w, ends)
+
+
+def position(name: Column) -> Column:
+    """One end per axis; an axis on which both ends are named is blank."""
+    return position_of(words(name))
 
 
 def with_name_features(df: DataFrame, name: str, prefix: str = "") -> DataFrame:
     """Add ``nn`` (normal name), ``tk`` (tokens) and ``pos``, each once per row."""
-    return df.withColumns(
-        {f"{prefix}nn": normal_name(F.col(name)), f"{prefix}pos": position(F.col(name))}
-    ).withColumn(f"{prefix}tk", tokens(F.col(f"{prefix}nn")))
+    return (
+        df.withColumn("_words", words(F.col(name)))
+        .withColumns({f"{prefix}nn": normal_name_of(F.col("_words")), f"{prefix}pos": position_of(F.col("_words"))})
+        .withColumn(f"{prefix}tk", tokens(F.col(f"{prefix}nn")))
+        .drop("_words")
+    )
 
 
 def jaccard(a: Column, b: Column) -> Column:

@@ -69,28 +69,39 @@ def spread_columns(q1: Column, q3: Column, sd: Column, mean: Column, n: Column,
     }
 
 
-def price_summary(df: DataFrame, keys: list[str], value: str, min_quotes: int = 4) -> DataFrame:
-    """A1 and A2 for any grouping of a price column."""
-    moments = df.groupBy(*keys).agg(
+def _moments(value: str) -> list[Column]:
+    return [
         F.count(value).alias("n"),
         F.min(value).alias("min_unit"),
         F.max(value).alias("max_unit"),
         F.avg(value).alias("_mean"),
         F.stddev_samp(value).alias("_sd"),
-    )
-    joined = moments.join(grouped_quantiles(df, keys, value, QUARTILES), keys)
+    ]
+
+
+def _price_columns(min_quotes: int) -> list[Column]:
     spread = spread_columns(F.col("q1_raw"), F.col("q3_raw"), F.col("_sd"), F.col("_mean"), F.col("n"), min_quotes)
-    return joined.select(
-        *keys, "n", "min_unit", to_fixed(F.col("med_raw"), 2).alias("med"), to_fixed(F.col("_mean"), 2).alias("avg"),
-        "max_unit", to_fixed(F.col("max_unit") - F.col("min_unit"), 2).alias("spread"),
+    return [
+        F.col("n"), F.col("min_unit"), to_fixed(F.col("med_raw"), 2).alias("med"),
+        to_fixed(F.col("_mean"), 2).alias("avg"), F.col("max_unit"),
+        to_fixed(F.col("max_unit") - F.col("min_unit"), 2).alias("spread"),
         *[c.alias(k) for k, c in spread.items()],
-    )
+    ]
+
+
+def price_summary(df: DataFrame, keys: list[str], value: str, min_quotes: int = 4) -> DataFrame:
+    """A1 and A2 for any grouping of a price column."""
+    joined = df.groupBy(*keys).agg(*_moments(value)).join(grouped_quantiles(df, keys, value, QUARTILES), keys)
+    return joined.select(*keys, *_price_columns(min_quotes))
 
 
 def build_clusters(
     grouped: DataFrame, cfg: MatchConfig = MatchConfig(), variants: DataFrame | None = None
 ) -> DataFrame:
-    """One row per part.  Order by ``n`` descending, then ``cluster_order``."""
+    """One row per part.  Order by ``n`` descending, then ``cluster_order``.
+
+    The three aggregates are joined on the key they are already partitioned by.
+    """
     variants = cluster_variants(grouped) if variants is None else variants
     heads = grouped.groupBy("cluster_id").agg(
         F.min_by(F.struct("make", "model", "cat", "unit_basis", "part_name"), "member_rank").alias("head"),
@@ -98,9 +109,10 @@ def build_clusters(
         F.min("bill_dt").alias("first_date"),
         F.max("bill_dt").alias("last_date"),
         F.count("bill_dt").alias("n_dated"),
+        *_moments("unit"),
     )
-    prices = price_summary(grouped, ["cluster_id"], "unit", cfg.min_quotes)
-    rows = heads.join(_identity(variants), "cluster_id").join(prices, "cluster_id")
+    quartiles = grouped_quantiles(grouped, ["cluster_id"], "unit", QUARTILES)
+    rows = heads.join(_identity(variants), "cluster_id").join(quartiles, "cluster_id")
     name = F.nullif(F.col("head.part_name"), F.lit(""))
     grade = F.when(F.col("n_known_grades") == 1, F.col("known_grade")).when(F.col("n_known_grades") > 1, "Mixed")
     return rows.select(
@@ -114,8 +126,8 @@ def build_clusters(
         (F.col("n_models") > 1).alias("model_mixed"),
         (F.col("n_pns") > 1).alias("bridged"),
         "n_names", "n_pns", "n_suppliers", "n_models",
-        "n", "min_unit", "med", "avg", "max_unit", "spread", "q1", "q3", "iqr", "sd", "cv", "lower_fence",
-        "upper_fence", "reliable", "first_date", "last_date", "n_dated",
+        *_price_columns(cfg.min_quotes),
+        "first_date", "last_date", "n_dated",
     )
 
 

@@ -76,7 +76,6 @@ def group_by_leader(
 
     ``vertices``: unique ``ord``, ``block`` (what must be equal), ``grade``, ``pos``, ``nn`` and ``tk``.
     """
-    vertices = cut_lineage(vertices)
     vertices = cut_lineage(with_match_sets(vertices, cfg))
     total = vertices.count()
     pending = _slices(vertices, total, first_slice)[::-1]
