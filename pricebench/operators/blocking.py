@@ -42,24 +42,34 @@ def _letters(nn: Column) -> Column:
     )
 
 
-def rarest_first(df: DataFrame, items: str) -> Column:
-    """``items`` sorted by an order all rows share; looks at the data once."""
+def rarest_first(df: DataFrame, items: str):
+    """A sort of item arrays, rarest item in ``df`` first; looks at the data once."""
     top = (
         df.select(F.explode(items).alias("item")).groupBy("item").count()
         .orderBy(F.col("count").desc(), "item").limit(FREQUENT_ITEMS).collect()
     )
     frequent = F.array(*[F.lit(r["item"]) for r in reversed(top)]) if top else F.array().cast("array<string>")
-    keyed = F.transform(F.col(items), lambda t: F.struct(F.array_position(frequent, t).alias("p"), t.alias("t")))
-    return F.transform(F.array_sort(keyed), lambda s: s.getField("t"))
 
+    def sort(array: Column) -> Column:
+        keyed = F.transform(array, lambda t: F.struct(F.array_position(frequent, t).alias("p"), t.alias("t")))
+        return F.transform(F.array_sort(keyed), lambda s: s.getField("t"))
 
-def with_match_sets(vertices: DataFrame, cfg: MatchConfig) -> DataFrame:
-    """Replace ``tk`` by its rarest-first order and add ``lt`` (letters) when they are needed."""
-    out = vertices.withColumn("tk", rarest_first(vertices, "tk"))
+    return sort
+
+
+def with_match_sets(vertices: DataFrame, cfg: MatchConfig, *others: DataFrame) -> tuple[DataFrame, ...]:
+    """Put ``tk`` into one shared rarest-first order and add ``lt`` (letters) when they are needed.
+
+    Frequencies are those of the first frame.
+    """
+    frames = (vertices, *others)
+    by_token = rarest_first(vertices, "tk")
+    frames = tuple(f.withColumn("tk", by_token(F.col("tk"))) for f in frames)
     if token_overlap_needed(cfg) <= 0:
-        out = out.withColumn("lt", _letters(F.col("nn")))
-        out = out.withColumn("lt", rarest_first(out, "lt"))
-    return out
+        frames = tuple(f.withColumn("lt", _letters(F.col("nn"))) for f in frames)
+        by_letter = rarest_first(frames[0], "lt")
+        frames = tuple(f.withColumn("lt", by_letter(F.col("lt"))) for f in frames)
+    return frames
 
 
 def _prefix_keys(items: str, low: Column, high: Column, overlap) -> Column:
@@ -136,37 +146,54 @@ def candidate_bound(vertices: DataFrame, cfg: MatchConfig) -> int:
     return bound
 
 
-def matches(later: DataFrame, earlier: DataFrame, cfg: MatchConfig) -> DataFrame:
-    """Pairs (``hi``, ``lo``) that may merge, ``lo`` being the earlier one in ``ord``.
+def _score(cfg: MatchConfig) -> tuple[Column, Column]:
+    common = F.array_intersect("x.tk", "y.tk")
+    union = F.size("x.tk") + F.size("y.tk") - F.size(common)
+    tokens = F.when(union == 0, F.lit(0.0)).otherwise(F.size(common) / F.greatest(union, F.lit(1)))
+    w = F.lit(float(cfg.token_weight))
+    return common, w * tokens + (F.lit(1.0) - w) * edit_similarity(F.col("x.nn"), F.col("y.nn"))
+
+
+def similar_pairs(left: DataFrame, right: DataFrame, cfg: MatchConfig, guard: Column, keep: list[Column]) -> DataFrame:
+    """Pairs of rows ``x`` of ``left`` and ``y`` of ``right`` with similarity at the threshold or above.
 
-    Both sides carry ``ord block grade pos nn tk`` (and ``lt``).  ``block`` holds what must be equal.
+    Both sides carry ``block`` (what must be equal), ``nn`` and ``tk`` in a shared order (and ``lt``).
+    When tokens need not overlap a pair may come twice.
     """
     found = None
     for kind, keys in keyings(cfg):
-        x = _keyed(later, keys).alias("x")
-        y = _keyed(earlier, keys).alias("y")
+        x = _keyed(left, keys).alias("x")
+        y = _keyed(right, keys).alias("y")
         same = (
             (F.col("x.block") == F.col("y.block"))
             & (F.col("x._key") == F.col("y._key"))
             & (F.col("x._a") == F.col("y._b"))
             & (F.col("x._b") == F.col("y._a"))
         )
-        guards = (F.col("y.ord") < F.col("x.ord")) & ~position_conflict(F.col("x.pos"), F.col("y.pos"), cfg.sep_side)
-        if cfg.sep_grade:
-            guards = guards & ~grade_conflict(F.col("x.grade"), F.col("y.grade"))
-        common = F.array_intersect("x.tk", "y.tk")
-        token_sim = F.size(common) / (F.size("x.tk") + F.size("y.tk") - F.size(common))
-        token_sim = F.when(F.size("x.tk") + F.size("y.tk") == 0, F.lit(0.0)).otherwise(token_sim)
-        w = F.lit(float(cfg.token_weight))
-        score = w * token_sim + (F.lit(1.0) - w) * edit_similarity(F.col("x.nn"), F.col("y.nn"))
+        common, score = _score(cfg)
+        accept = guard
         if kind == "tk":
             # A pair meets under each key it shares; keep it only under its first.
             first = F.when(F.contains(F.col("x._key"), F.lit(" ")), F.array_join(F.slice(common, 1, 2), " ")).otherwise(
-                F.element_at(common, 1)
+                F.try_element_at(common, F.lit(1))
             )
-            guards = guards & (F.size(common) > 0) & (first == F.col("x._key"))
-        pairs = x.join(y, same & guards & (score >= F.lit(float(cfg.threshold)))).select(
-            F.col("x.ord").alias("hi"), F.col("y.ord").alias("lo")
-        )
+            accept = accept & (first == F.col("x._key"))
+        pairs = x.join(y, same & accept & (score >= F.lit(float(cfg.threshold)))).select(*keep, score.alias("score"))
         found = pairs if found is None else found.unionByName(pairs)
-    return found if len(keyings(cfg)) == 1 and keyings(cfg)[0][0] == "tk" else found.distinct()
+    return found
+
+
+def merge_guard(cfg: MatchConfig) -> Column:
+    """Grade and position rules between ``x`` and ``y``."""
+    guard = ~position_conflict(F.col("x.pos"), F.col("y.pos"), cfg.sep_side)
+    if cfg.sep_grade:
+        guard = guard & ~grade_conflict(F.col("x.grade"), F.col("y.grade"))
+    return guard
+
+
+def matches(later: DataFrame, earlier: DataFrame, cfg: MatchConfig) -> DataFrame:
+    """Pairs (``hi``, ``lo``) that may merge, ``lo`` being the earlier one in ``ord``."""
+    guard = (F.col("y.ord") < F.col("x.ord")) & merge_guard(cfg)
+    keep = [F.col("x.ord").alias("hi"), F.col("y.ord").alias("lo")]
+    pairs = similar_pairs(later, earlier, cfg, guard, keep).drop("score")
+    return pairs if token_overlap_needed(cfg) > 0 else pairs.distinct()

@@ -76,7 +76,7 @@ def group_by_leader(
 
     ``vertices``: unique ``ord``, ``block`` (what must be equal), ``grade``, ``pos``, ``nn`` and ``tk``.
     """
-    vertices = cut_lineage(with_match_sets(vertices, cfg))
+    vertices = cut_lineage(with_match_sets(vertices, cfg)[0])
     total = vertices.count()
     pending = _slices(vertices, total, first_slice)[::-1]
     leaders: DataFrame | None = None

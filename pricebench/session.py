@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,25 +29,25 @@ def local_session(cores: str = "8", **conf: str) -> SparkSession:
     return spark
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder the cluster names; make one up only in local mode."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is not None:
-        return
+def checkpoint_dir(spark: SparkSession) -> str:
+    """The shared folder the cluster names; one is made up only in local mode."""
     named = spark.conf.get(CHECKPOINT_KEY, None)
     if named:
-        sc.setCheckpointDir(named)
-    elif sc.master.startswith("local"):
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="pricebench-checkpoint-"))
-    else:
+        return named
+    if not spark.sparkContext.master.startswith("local"):
         raise ValueError(f"set {CHECKPOINT_KEY} to a folder all executors can reach")
+    made = tempfile.mkdtemp(prefix="pricebench-checkpoint-")
+    spark.conf.set(CHECKPOINT_KEY, made)
+    return made
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the checkpoint folder and go on from there.
+    """Write ``df`` to the checkpoint folder as a table and go on from there.
 
     Loops use this so that a lost executor re-reads files instead of re-running
-    every earlier round.
+    every earlier round; the table's real size also guides the next joins.
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark)}/pricebench/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
