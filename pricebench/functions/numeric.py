@@ -59,3 +59,8 @@ def number_or(x: Column, default: Column) -> Column:
 def round_half_up(x: Column) -> Column:
     """Nearest integer, halves towards plus infinity."""
     return F.floor(x + F.lit(0.5)).cast("long")
+
+
+def exact_sum(x: Column) -> Column:
+    """Sum of prices that does not depend on the order of the rows: added up as decimals."""
+    return F.sum(x.cast("decimal(28,6)")).cast("double")

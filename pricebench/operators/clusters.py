@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from pricebench.config import MatchConfig
-from pricebench.functions.numeric import to_fixed
+from pricebench.functions.numeric import exact_sum, to_fixed
 from pricebench.operators.quantiles import grouped_quantiles
 
 QUARTILES = {"q1_raw": 0.25, "med_raw": 0.5, "q3_raw": 0.75}
@@ -74,7 +74,7 @@ def _moments(value: str) -> list[Column]:
         F.count(value).alias("n"),
         F.min(value).alias("min_unit"),
         F.max(value).alias("max_unit"),
-        F.avg(value).alias("_mean"),
+        (exact_sum(F.col(value)) / F.count(value)).alias("_mean"),
         F.stddev_samp(value).alias("_sd"),
     ]
 

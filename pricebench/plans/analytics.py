@@ -11,7 +11,7 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame, functions as F
 
 from pricebench.functions import rules
-from pricebench.functions.numeric import round_half_up, to_fixed
+from pricebench.functions.numeric import exact_sum, round_half_up, to_fixed
 from pricebench.functions.parts import cv_band, model_label, money, normal_part_number
 from pricebench.operators.clusters import in_cluster_order, variant_list
 from pricebench.operators.quantiles import grouped_quantiles
@@ -51,7 +51,7 @@ def bills(lines: DataFrame) -> DataFrame:
     """Bills with their lines and total, most lines first."""
     head = F.struct("supplier", F.coalesce(F.nullif(F.col("bill_date"), F.lit("")), F.lit("—")).alias("date"), "make", "doc_type")
     rows = lines.groupBy(F.coalesce(F.nullif(F.col("bill_no"), F.lit("")), F.lit("(no number)")).alias("bill")).agg(
-        F.count(F.lit(1)).alias("n"), F.sum("total").alias("t"), F.min("seq").alias("first_seq"),
+        F.count(F.lit(1)).alias("n"), exact_sum(F.col("total")).alias("t"), F.min("seq").alias("first_seq"),
         F.min_by(head, "seq").alias("h"),
     )
     return rows.select(
@@ -151,7 +151,7 @@ def ledger(lines: DataFrame, make: str | None = None, ltype: str | None = None,
 def bill_context(lines: DataFrame) -> DataFrame:
     """Each line with the size and total of its bill; a line without a bill number stands alone."""
     totals = lines.where(F.col("bill_no") != "").groupBy("bill_no").agg(
-        F.count(F.lit(1)).alias("_n"), F.sum("total").alias("_t")
+        F.count(F.lit(1)).alias("_n"), exact_sum(F.col("total")).alias("_t")
     )
     return lines.join(totals, "bill_no", "left").select(
         *lines.columns,
@@ -328,7 +328,7 @@ def list_and_net(lines: DataFrame) -> DataFrame:
         & (F.col("unit") != F.col("total"))
     )
     sums = estimates.groupBy(F.col("bill_no").alias("bill")).agg(
-        F.min_by("supplier", "seq").alias("supplier"), F.sum("unit").alias("_l"), F.sum("total").alias("_n"),
+        F.min_by("supplier", "seq").alias("supplier"), exact_sum(F.col("unit")).alias("_l"), exact_sum(F.col("total")).alias("_n"),
         F.count(F.lit(1)).alias("n"),
     )
     return sums.select(
