@@ -266,10 +266,10 @@ def oracles() -> dict[str, str]:
                       f"{fx('coalesce(' + esum('CASE WHEN over>0 THEN over END') + ',0)', 2)} AS over_claim, count(*) FILTER (flagged) AS flagged, count(*) FILTER (above_bound) AS above_bound FROM fin GROUP BY claim_ref",
         "k3_evidence": f"{clusters}, {ASSESS} SELECT claim_ref, line_no AS line, fin.name AS estimate_part, g.part_name AS evidence_part, g.part_number, g.make, g.model, supplier, bill_no, bill_date, grade, unit_basis, "
                        "unit AS unit_price, 'Excel import' AS source FROM fin JOIN g ON g.cluster_id=fin.cid",
-        "v2_sweep": f"{lines}, {PAIRS}, pf AS (SELECT truth, a.nn AS an, b.nn AS bn, a.tk AS at, b.tk AS bt, {clash('a', 'b')} AS veto FROM pr "
+        "v2_sweep": f"{lines}, {PAIRS}, pf AS (SELECT truth, a.nn AS an, b.nn AS bn, a.tk AS ta, b.tk AS tb, {clash('a', 'b')} AS veto FROM pr "
                     f"JOIN (SELECT *, {TOKENS} FROM (SELECT DISTINCT part_name, {features('part_name')} FROM l)) a ON a.part_name=part_name_a "
                     f"JOIN (SELECT *, {TOKENS} FROM (SELECT DISTINCT part_name, {features('part_name')} FROM l)) b ON b.part_name=part_name_b), "
-                    "sc AS (SELECT truth, veto, coalesce(len(list_intersect(at,bt))::double/nullif(len(list_distinct(list_concat(at,bt))),0),0) AS j, "
+                    "sc AS (SELECT truth, veto, coalesce(len(list_intersect(ta,tb))::double/nullif(len(list_distinct(list_concat(ta,tb))),0),0) AS j, "
                     "CASE WHEN an='' OR bn='' THEN 0.0::double ELSE 1-levenshtein(an,bn)::double/greatest(len(an),len(bn)) END AS lv FROM pf), "
                     "gr AS (SELECT * FROM (VALUES (0.4::double),(0.6::double),(0.8::double)) w(token_weight), "
                     "(VALUES " + ",".join(f"({t}::double)" for t in (0.4, 0.45, 0.5, 0.55, 0.6, 0.65, 0.7, 0.75, 0.8, 0.85, 0.9, 0.95)) + ") t(threshold)), "
@@ -277,7 +277,7 @@ def oracles() -> dict[str, str]:
                     "k AS (SELECT token_weight, threshold, count(*) FILTER (said AND truth) AS tp, count(*) FILTER (said AND NOT truth) AS fp, count(*) FILTER (NOT said AND truth) AS fn, "
                     "count(*) FILTER (NOT said AND NOT truth) AS tn FROM ce GROUP BY ALL), p AS (SELECT *, CASE WHEN tp+fp>0 THEN tp/(tp+fp) ELSE 1 END AS pp, CASE WHEN tp+fn>0 THEN tp/(tp+fn) ELSE 0 END AS rr FROM k) "
                     f"SELECT token_weight, threshold, tp, fp, fn, tn, {fx('pp', 4)} AS precision, {fx('rr', 4)} AS recall, {fx('(CASE WHEN pp+rr>0 THEN 2*pp*rr/(pp+rr) ELSE 0 END)', 4)} AS f1 FROM p",
-        "s8_activity": "SELECT event_id AS id, ts, event_type AS kind, CAST(value AS BIGINT) AS count, CAST(json_extract_string(props,'$.k') AS BIGINT) AS k FROM events ORDER BY ts DESC, event_id DESC LIMIT 500",
+        "s8_activity": "SELECT event_id AS id, ts, event_type AS kind, CAST(trunc(value) AS BIGINT) AS count, CAST(json_extract_string(props,'$.k') AS BIGINT) AS k FROM events ORDER BY ts DESC, event_id DESC LIMIT 500",
         "s9_retention": "SELECT event_id AS id, event_type AS source FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) AS rn FROM events) WHERE rn<=500",
         "s7_upsert": "SELECT CAST(event_id AS VARCHAR) AS id, CASE WHEN event_id%3=0 THEN 'warn' ELSE 'ok' END AS status FROM events",
     }

@@ -114,9 +114,10 @@ def _bridged(lines: DataFrame, cfg: MatchConfig) -> DataFrame:
     groups = groups.select("_pn", "_class", "_first", "rep.*", order.cast("decimal(38,0)").alias("ord"))
     signed = _signed(cut_lineage(groups), cfg)
     owner = signed.join(_owners(signed, cfg), "sig").select("_pn", F.col("_first").alias("_gfirst"), "owner")
+    step = F.lit(str(_ORD_STEP)).cast("decimal(20,0)")
     return keyed.join(owner, "_pn").select(
         *lines.columns,
-        F.col("owner").alias("cluster_id"),
+        (F.col("owner") % step).cast("long").alias("cluster_id"),
         F.struct(F.col("_class").alias("c"), F.col("_gfirst").alias("g"), F.col("seq").alias("s")).alias("member_rank"),
         F.col("_class").alias("ord_class"),
         F.col("_gfirst").alias("ord_first"),
