@@ -16,7 +16,7 @@ from pricebench.session import local_session  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark():
-    session = local_session(os.environ.get("TEST_CPUS", "8"), **{"spark.sql.shuffle.partitions": "4"})
+    session = local_session(os.environ.get("TEST_CPUS", "8"), **{"spark.sql.shuffle.partitions": "4", "spark.sql.codegen.wholeStage": "false", "spark.sql.codegen.factoryMode": "NO_CODEGEN"})
     yield session
     session.stop()
 
