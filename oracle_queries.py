@@ -171,9 +171,10 @@ pns AS (SELECT npn, arg_min(cluster_id,(-n,cord)) AS pc FROM (SELECT DISTINCT np
 asks AS (SELECT *, {TOKENS} FROM (SELECT DISTINCT name, lower(make) AS mk, {features('name')} FROM cl LEFT JOIN pns USING (npn) WHERE pc IS NULL)),
 lab AS (SELECT cluster_id, cord, n, make, {features('label')} FROM c),
 nam AS (SELECT *, {TOKENS} FROM (SELECT DISTINCT cluster_id, {features('part_name').split(', CASE')[0]} FROM (SELECT DISTINCT cluster_id, part_name FROM g))),
-cand AS (SELECT asks.name, asks.mk, lab.cluster_id, lab.n, lab.cord, max({sim('asks', 'nam')}) AS sc
+ps AS MATERIALIZED (SELECT x.nn AS an, y.nn AS bn, {sim('x', 'y')} AS sc FROM (SELECT DISTINCT nn, tk FROM asks) x, (SELECT DISTINCT nn, tk FROM nam) y),
+cand AS (SELECT asks.name, asks.mk, lab.cluster_id, lab.n, lab.cord, max(ps.sc) AS sc
    FROM asks JOIN lab ON (asks.mk='' OR lab.make='Unknown' OR lower(lab.make)=asks.mk) AND NOT {clash('asks', 'lab')}
-   JOIN nam ON nam.cluster_id=lab.cluster_id GROUP BY ALL),
+   JOIN nam ON nam.cluster_id=lab.cluster_id JOIN ps ON ps.an=asks.nn AND ps.bn=nam.nn GROUP BY ALL),
 best AS (SELECT name, mk, arg_min(cluster_id,(-sc,-n,cord)) AS nc, max(sc) AS ns FROM cand WHERE sc>0 GROUP BY name, mk),
 m AS (SELECT cl.*, pc, nc, ns, coalesce(pc, CASE WHEN ns>={T} THEN nc END) AS cid FROM cl LEFT JOIN pns USING (npn)
    LEFT JOIN best ON pc IS NULL AND best.name=cl.name AND best.mk=lower(cl.make)),
@@ -281,4 +282,21 @@ def oracles() -> dict[str, str]:
         "s9_retention": "SELECT event_id AS id, event_type AS source FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) AS rn FROM events) WHERE rn<=500",
         "s7_upsert": "SELECT CAST(event_id AS VARCHAR) AS id, CASE WHEN event_id%3=0 THEN 'warn' ELSE 'ok' END AS status FROM events",
     }
+    ingest = (
+        f"{lines}, d AS (SELECT CAST(substr(bill_no,2) AS BIGINT) AS k, count(*) AS n, {esum('total')} AS t FROM l GROUP BY bill_no), "
+        "e AS (SELECT *, lpad(CAST(k AS VARCHAR),12,'0') AS file_name, k%17<>0 AS good, 'Supplier '||(k%2) AS sup, CASE WHEN k%11=0 THEN '' ELSE 'b'||(k//3) END AS bn, "
+        "CASE WHEN k%5=0 THEN 0.0::double WHEN k%4=0 THEN t+5000 ELSE t END AS st FROM d), "
+        f"f AS (SELECT *, min(k) OVER (PARTITION BY good, sup, bn) AS fk, {fx('t', 2)} AS s FROM e), "
+        f"j AS (SELECT *, CASE WHEN NOT good THEN 'failed' WHEN bn<>'' AND k>fk THEN 'duplicate' "
+        f"WHEN st<>0 AND abs({fx('(s-st)', 2)})>greatest(1.0::double, st*0.005::double) THEN 'review' ELSE 'done' END AS status FROM f)"
+    )
+    out |= {
+        "q2_ingest": ingest + " SELECT file_name, status, CASE WHEN good THEN sup END AS supplier, CASE WHEN good THEN bn END AS bill_no, CASE WHEN good THEN n ELSE 0 END AS lines, "
+                     "CASE WHEN status IN ('review','done') THEN s END AS rec_sum, CASE WHEN status IN ('review','done') THEN st END AS rec_stated FROM j",
+        "a22_run_report": ingest + " SELECT count(*) AS files_total, count(*) FILTER (status='done') AS done, count(*) FILTER (status='review') AS review, "
+                          "count(*) FILTER (status='duplicate') AS duplicate, count(*) FILTER (status='failed') AS failed, "
+                          "CAST(sum(n) FILTER (status IN ('done','review')) AS BIGINT) AS part_rows_exported, 0::BIGINT AS input_tokens, 0::BIGINT AS output_tokens, CAST(NULL AS DOUBLE) AS estimated_cost FROM j",
+        "l4_benchmark": f"{clusters} SELECT CAST(cluster_id AS VARCHAR) AS cluster_id, label, make, n, med, avg FROM c WHERE n>1",
+        "a23_batches": f"{lines} SELECT doc_type AS batch, count(*) AS lines, count(DISTINCT supplier) AS suppliers, count(DISTINCT make) AS makes, count(DISTINCT bill_no) AS bills FROM l GROUP BY doc_type",
+    }
     return out

@@ -84,8 +84,8 @@ def expected_owners(rows, cfg):
 
 
 @pytest.mark.parametrize("weight,threshold,first,budget", [
-    (0.6, 0.65, 16_384, 10**9), (0.6, 0.65, 8, 10**9), (0.6, 0.65, 8, 5), (0.8, 0.5, 10, 40), (0.4, 0.55, 10, 10**9),
-    (0.0, 0.7, 16_384, 10**9), (1.0, 0.5, 12, 10**9), (0.6, 0.35, 16_384, 10**9),
+    (0.6, 0.65, 16_384, 10**9), (0.6, 0.65, 30, 10**9), (0.6, 0.65, 30, 50), (0.8, 0.5, 40, 10**9),
+    (0.4, 0.55, 16_384, 10**9), (0.0, 0.7, 16_384, 10**9), (1.0, 0.5, 16_384, 10**9), (0.6, 0.35, 16_384, 10**9),
 ])
 def test_leaders_follow_the_sequential_rule(spark, weight, threshold, first, budget):
     rng = random.Random(int(weight * 100 + threshold * 1000 + first))
