@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
+_local_dirs: dict[str, str] = {}
 
 
 def local_session(cores: str = "8", **conf: str) -> SparkSession:
@@ -36,9 +37,10 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return named
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError(f"set {CHECKPOINT_KEY} to a folder all executors can reach")
-    made = tempfile.mkdtemp(prefix="pricebench-checkpoint-")
-    spark.conf.set(CHECKPOINT_KEY, made)
-    return made
+    app = spark.sparkContext.applicationId
+    if app not in _local_dirs:
+        _local_dirs[app] = tempfile.mkdtemp(prefix="pricebench-checkpoint-")
+    return _local_dirs[app]
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
