@@ -127,7 +127,7 @@ def test_partitioning_does_not_matter(demo):
     assert base == {(r.id, r.cluster_id) for r in assign_clusters(moved, cfg).select("id", "cluster_id").collect()}
 
 
-def test_features_of_the_reference_names(spark):
+def test_name_features(spark):
     df = with_name_features(spark.createDataFrame([("Head-Lamp ASSY, LH 09 x",)], "part_name string"), "part_name")
     row = df.first()
     assert (row.nn, row.tk, row.pos.side) == ("head lamp x", ["head", "lamp", "x"], "L")
