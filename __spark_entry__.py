@@ -32,6 +32,13 @@ from pricebench.plans import analytics as A  # noqa: E402
 from pricebench.sources.star import raw_lines, read_table  # noqa: E402
 from pricebench.sources.store import keep_newest, last_per_id, newest_events, normal_events  # noqa: E402
 
+try:
+    from pricebench.llm import queries as llm_queries
+except ModuleNotFoundError as error:  # the training-data operators can be left out
+    if error.name not in ("pricebench.llm", "corpus_pipeline"):
+        raise
+    llm_queries = None
+
 DEFAULT = MatchConfig()
 EXACT = MatchConfig(mode="exact-pn")
 CATEGORY = MatchConfig(mode="category")
@@ -226,8 +233,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "s8_activity": lambda s, d: newest_events(normal_events(events(s, d))).select(
             "id", "ts", "kind", "count", F.expr("variant_get(detail, '$.k', 'bigint')").alias("k")),
         "s9_retention": lambda s, d: keep_newest(events(s, d)).select("id", "source"),
-    }
+    } | (llm_queries.queries() if llm_queries else {})
 
 
 def oracle_sql() -> dict[str, str]:
-    return oracles()
+    return oracles() | (llm_queries.oracles() if llm_queries else {})
