@@ -7,11 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from pricebench.llm.byte_bpe import op3_byte_bpe
+from pricebench.llm.token_counts import op4_token_counts
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_byte_bpe": op3_byte_bpe,
+        "op4_token_counts": op4_token_counts,
     }
 
 
