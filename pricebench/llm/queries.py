@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from pricebench.llm.byte_bpe import op3_byte_bpe
+from pricebench.llm.packing import op6_packing
 from pricebench.llm.token_counts import op4_token_counts
 
 
@@ -14,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_byte_bpe": op3_byte_bpe,
         "op4_token_counts": op4_token_counts,
+        "op6_packing": op6_packing,
     }
 
 
