@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from pricebench.session import cut_lineage
 
-__all__ = ["cut_lineage", "key_columns", "read_columns", "running_start", "slices_for", "with_key"]
+__all__ = ["cut_lineage", "key_columns", "read_columns", "with_key", "without_keys"]
 
 
 def read_columns(spark: SparkSession, folder: str, table: str, *columns: str) -> DataFrame:
@@ -25,23 +25,19 @@ def with_key(df: DataFrame, *columns: str, names: tuple[str, str] = ("__k1", "__
     return df.withColumns({names[0]: a, names[1]: b})
 
 
-def slices_for(rows: int, per_slice: int) -> int:
-    return max(1, -(-rows // per_slice))
+#: Rejected keys up to which they are broadcast (16 bytes each); beyond, they are joined by a shuffle.
+BROADCAST_KEYS = 100_000
+SALTS = 16
 
 
-def running_start(df: DataFrame, key: str, slice_col: str, order: list[str], size: str, out: str) -> DataFrame:
-    """Adds to each row the sum of ``size`` over the earlier rows of its ``key``.
+def without_keys(df: DataFrame, rejected: DataFrame, salt_by: Column) -> DataFrame:
+    """``df`` without the rows whose key (__k1, __k2) is in ``rejected``.
 
-    Rows of a key are ordered by ``slice_col`` and then ``order``.  A slice holds
-    a bounded number of rows, so a key with a third of all rows is summed in
-    many tasks; only one row per (key, slice) meets in the second window.
-    ``df`` must be a stored table, as it is read twice.
+    Thousands of copies share one key, so beyond the broadcast bound the rows
+    are salted and the distinct rejected keys repeated once per salt.
     """
-    totals = df.groupBy(key, slice_col).agg(F.sum(size).alias("__total"))
-    before = Window.partitionBy(key).orderBy(slice_col).rowsBetween(Window.unboundedPreceding, -1)
-    starts = totals.select(key, slice_col, F.coalesce(F.sum("__total").over(before), F.lit(0)).alias("__base"))
-    inside = Window.partitionBy(key, slice_col).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    local = df.withColumn("__local", F.coalesce(F.sum(size).over(inside), F.lit(0)))
-    same = local[key].eqNullSafe(starts[key]) & (local[slice_col] == starts[slice_col])
-    joined = local.join(starts, same).drop(starts[key]).drop(starts[slice_col])
-    return joined.withColumn(out, F.col("__base") + F.col("__local")).drop("__base", "__local")
+    rejected = rejected.select("__k1", "__k2").distinct()
+    if rejected.count() <= BROADCAST_KEYS:
+        return df.join(F.broadcast(rejected), ["__k1", "__k2"], "left_anti")
+    salted = rejected.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return df.withColumn("__salt", F.pmod(F.xxhash64(salt_by), F.lit(SALTS)).cast("int")).join(salted, ["__k1", "__k2", "__salt"], "left_anti").drop("__salt")
