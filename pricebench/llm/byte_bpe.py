@@ -25,7 +25,7 @@ from pricebench.llm.perfect_hash import PerfectHash
 
 TIKTOKEN_FILE = "byte_bpe_50k.tiktoken"
 #: Pre-tokens of one generation that a worker remembers, and the longest one it remembers.
-REMEMBERED, REMEMBERED_CHARS = 300_000, 48
+REMEMBERED, REMEMBERED_CHARS = 150_000, 48
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -76,7 +76,6 @@ class Encoder:
         self.specials = {s: np.array([i], "<u4").tobytes() for s, i in (specials or {}).items()}
         # Of two that match at one place the longer one counts.
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.specials, key=len, reverse=True))) + ")") if specials else None
-        self.vocabulary = {i: b for b, i in ranks.items()} | {i: s.encode() for s, i in (specials or {}).items()}
 
     def encode(self, text: str | None) -> bytes:
         if not text:
@@ -92,9 +91,6 @@ class Encoder:
                 out.extend(map(get, self.split(part)))
         return b"".join(out)
 
-    def decode(self, packed: bytes) -> bytes:
-        return b"".join(map(self.vocabulary.__getitem__, np.frombuffer(packed, "<u4").tolist()))
-
 
 @functools.lru_cache(maxsize=4)
 def encoder(path: str, pattern: str, specials: tuple[tuple[str, int], ...] = ()) -> Encoder:
@@ -102,6 +98,13 @@ def encoder(path: str, pattern: str, specials: tuple[tuple[str, int], ...] = ())
     return Encoder(path, pattern, dict(specials))
 
 
+@functools.lru_cache(maxsize=4)
+def vocabulary(path: str, specials: tuple[tuple[str, int], ...] = ()) -> list[bytes]:
+    """The bytes of each id; decoding needs nothing else."""
+    by_id = {i: b for b, i in load_ranks(path).items()} | {i: s.encode() for s, i in specials}
+    return [by_id.get(i, b"") for i in range(max(by_id) + 1)]
+
+
 def encode_udf(path: str, pattern: str, specials: dict[str, int] | None = None):
     fixed = tuple(sorted((specials or {}).items()))
 
@@ -114,14 +117,14 @@ def encode_udf(path: str, pattern: str, specials: dict[str, int] | None = None):
     return encode
 
 
-def decode_udf(path: str, pattern: str, specials: dict[str, int] | None = None):
+def decode_udf(path: str, specials: dict[str, int] | None = None):
     fixed = tuple(sorted((specials or {}).items()))
 
     @F.pandas_udf("binary")
     def decode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        enc = encoder(path, pattern, fixed)
+        bytes_of = vocabulary(path, fixed).__getitem__
         for packed in batches:
-            yield pd.Series([enc.decode(p) for p in packed], dtype=object)
+            yield pd.Series([b"".join(map(bytes_of, np.frombuffer(p, "<u4").tolist())) for p in packed], dtype=object)
 
     return decode
 
@@ -138,11 +141,11 @@ def encode_texts(docs: DataFrame, text: str = "text", ids: str = "ids", path: st
     return docs.withColumn(ids, encode_udf(path, pattern or public_tokenizers.PATTERN, specials)(F.col(text)))
 
 
-def decode_ids(df: DataFrame, ids: str = "ids", out: str = "decoded", path: str | None = None, pattern: str | None = None,
+def decode_ids(df: DataFrame, ids: str = "ids", out: str = "decoded", path: str | None = None,
                specials: dict[str, int] | None = None) -> DataFrame:
     """``df`` with the bytes behind packed ids (not always valid UTF-8 when ids were cut)."""
     path = path or public_tokenizers.path(TIKTOKEN_FILE)
-    return df.withColumn(out, decode_udf(path, pattern or public_tokenizers.PATTERN, specials)(F.coalesce(F.col(ids), F.lit(b""))))
+    return df.withColumn(out, decode_udf(path, specials)(F.coalesce(F.col(ids), F.lit(b""))))
 
 
 def op3_byte_bpe(spark, folder: str) -> DataFrame:

@@ -28,7 +28,7 @@ import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from pricebench.llm.byte_bpe import TIKTOKEN_FILE, Encoder, Pieces
+from pricebench.llm.byte_bpe import TIKTOKEN_FILE, Encoder, Pieces, load_ranks
 from pricebench.llm.common import cut_lineage
 
 WINDOW, QUANTUM, LANE_TOKENS = 2048, 256, 1 << 20
@@ -54,7 +54,7 @@ class _LibraryPieces(Pieces):
 @functools.lru_cache(maxsize=2)
 def _encoder(path: str) -> Encoder:
     own = Encoder(path, public_tokenizers.PATTERN, SPECIALS)
-    ranks = {b: i for i, b in own.vocabulary.items() if i not in SPECIALS.values()}
+    ranks = load_ranks(path)
     library = tiktoken.Encoding("packing", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
     own.pieces = _LibraryPieces(ranks, own.pieces.whole, library._encode_single_piece)
     return own

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, functions as F
 from pricebench.llm.merging import merge, pack_pair, splitter
 
 WORD_FILE = "word_bpe_49k.json"
-REMEMBERED, REMEMBERED_CHARS = 300_000, 48
+REMEMBERED, REMEMBERED_CHARS = 200_000, 48
 
 
 @functools.lru_cache(maxsize=1)
