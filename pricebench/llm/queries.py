@@ -10,6 +10,7 @@ from pricebench.llm.byte_bpe import op3_byte_bpe
 from pricebench.llm.packing import op6_packing
 from pricebench.llm import quality_rules
 from pricebench.llm.near_dedup import op8_minmax_dedup
+from pricebench.llm.quality_model import op5_quality_model
 from pricebench.llm.token_counts import op4_token_counts
 
 
@@ -17,6 +18,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_byte_bpe": op3_byte_bpe,
         "op4_token_counts": op4_token_counts,
+        "op5_quality_model": op5_quality_model,
         "op6_packing": op6_packing,
         "op8_minmax_dedup": op8_minmax_dedup,
         "op9_quality_rules": quality_rules.op9_quality_rules,
