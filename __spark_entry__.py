@@ -33,11 +33,15 @@ from pricebench.sources.star import raw_lines, read_table  # noqa: E402
 from pricebench.sources.store import keep_newest, last_per_id, newest_events, normal_events  # noqa: E402
 
 try:
-    from pricebench.llm import queries as llm_queries
+    import corpus_pipeline
+    import pricebench.llm.queries as llm_queries
 except ModuleNotFoundError as error:  # the training-data operators can be left out
-    if error.name not in ("pricebench.llm", "corpus_pipeline"):
+    if error.name not in ("corpus_pipeline", "pricebench.llm", "pricebench.llm.queries"):
         raise
-    llm_queries = None
+    LLM_QUERIES, LLM_ORACLES = {}, {}
+else:
+    LLM_QUERIES = llm_queries.queries() | {"pipeline": corpus_pipeline.run}
+    LLM_ORACLES = llm_queries.oracles() | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
 
 DEFAULT = MatchConfig()
 EXACT = MatchConfig(mode="exact-pn")
@@ -233,8 +237,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "s8_activity": lambda s, d: newest_events(normal_events(events(s, d))).select(
             "id", "ts", "kind", "count", F.expr("variant_get(detail, '$.k', 'bigint')").alias("k")),
         "s9_retention": lambda s, d: keep_newest(events(s, d)).select("id", "source"),
-    } | (llm_queries.queries() if llm_queries else {})
+    } | LLM_QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return oracles() | (llm_queries.oracles() if llm_queries else {})
+    return oracles() | LLM_ORACLES
