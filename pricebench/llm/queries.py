@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pricebench.llm.byte_bpe import op3_byte_bpe
 from pricebench.llm.packing import op6_packing
 from pricebench.llm import quality_rules, top_k
+from pricebench.llm.main_text import op1_main_text
 from pricebench.llm.near_dedup import op8_minmax_dedup
 from pricebench.llm.quality_model import op5_quality_model
 from pricebench.llm.token_counts import op4_token_counts
@@ -16,6 +17,7 @@ from pricebench.llm.token_counts import op4_token_counts
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_main_text": op1_main_text,
         "op2_top_k": top_k.op2_top_k,
         "op3_byte_bpe": op3_byte_bpe,
         "op4_token_counts": op4_token_counts,
