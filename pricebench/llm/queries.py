@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pricebench.llm.byte_bpe import op3_byte_bpe
 from pricebench.llm.packing import op6_packing
 from pricebench.llm import quality_rules, top_k
+from pricebench.llm.licences import op10_licences
 from pricebench.llm.main_text import op1_main_text
 from pricebench.llm.near_dedup import op8_minmax_dedup
 from pricebench.llm.quality_model import op5_quality_model
@@ -25,6 +26,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_packing": op6_packing,
         "op8_minmax_dedup": op8_minmax_dedup,
         "op9_quality_rules": quality_rules.op9_quality_rules,
+        "op10_licences": op10_licences,
     }
 
 
