@@ -13,6 +13,7 @@ from pricebench.llm.licences import op10_licences
 from pricebench.llm.main_text import op1_main_text
 from pricebench.llm.near_dedup import op8_minmax_dedup
 from pricebench.llm.quality_model import op5_quality_model
+from pricebench.llm.quotations import op7_quotations
 from pricebench.llm.token_counts import op4_token_counts
 
 
@@ -24,6 +25,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_token_counts": op4_token_counts,
         "op5_quality_model": op5_quality_model,
         "op6_packing": op6_packing,
+        "op7_quotations": op7_quotations,
         "op8_minmax_dedup": op8_minmax_dedup,
         "op9_quality_rules": quality_rules.op9_quality_rules,
         "op10_licences": op10_licences,
