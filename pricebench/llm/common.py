@@ -14,9 +14,9 @@ def read_columns(spark: SparkSession, folder: str, table: str, *columns: str) ->
     return spark.read.parquet(f"{folder}/{table}.parquet").select(*columns)
 
 
-def key_columns(*columns: str | Column) -> tuple[Column, Column]:
+def key_columns(*columns: str) -> tuple[Column, Column]:
     """A 128-bit content key as two longs; a null and an empty value differ."""
-    parts = [x for c in columns for x in (F.isnull(c), F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit("")))]
+    parts = [x for c in columns for x in (F.isnull(c), F.coalesce(F.col(c).cast("string"), F.lit("")))]
     return F.xxhash64(F.lit(17), *parts), F.xxhash64(F.lit(71), *parts)
 
 
