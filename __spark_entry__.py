@@ -2,7 +2,7 @@
 
 ``queries()`` builds every query over the whole supplied tables.  Lines, groups
 and benchmark tables that several queries start from are built once per session
-and folder and kept with ``persist`` (lost blocks are recomputed).
+and folder and stored as Parquet tables, which filters and column lists reach.
 """
 
 from __future__ import annotations
@@ -29,6 +29,7 @@ from pricebench.operators.fingerprint import snapshot_id  # noqa: E402
 from pricebench.operators.grouping import assign_clusters  # noqa: E402
 from pricebench.operators.pairs import candidate_pairs  # noqa: E402
 from pricebench.plans import analytics as A  # noqa: E402
+from pricebench.session import cut_lineage  # noqa: E402
 from pricebench.sources.star import raw_lines, read_table  # noqa: E402
 from pricebench.sources.store import keep_newest, last_per_id, newest_events, normal_events  # noqa: E402
 
@@ -56,7 +57,7 @@ _kept: dict[tuple, DataFrame] = {}
 def _keep(spark: SparkSession, folder: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
     key = (spark.sparkContext.applicationId, folder, name)
     if key not in _kept:
-        _kept[key] = build().persist()
+        _kept[key] = cut_lineage(build())
     return _kept[key]
 
 

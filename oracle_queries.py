@@ -35,8 +35,7 @@ _cat = " ".join(
 )
 _grade = " ".join(f"WHEN regexp_matches(nm,{q(p)}) THEN {q(g)}" for g, p in rules.GRADE_TAGS)
 
-LINES = f"""a0 AS (SELECT ((l_orderkey*100000+l_partkey)*100000+l_suppkey*10+l_linenumber)*10
-   +row_number() OVER (PARTITION BY l_orderkey,l_partkey,l_suppkey,l_linenumber ORDER BY l_shipdate,l_extendedprice)-1 AS seq,
+LINES = f"""a0 AS (SELECT row_number() OVER (ORDER BY l_orderkey,l_partkey,l_suppkey,l_linenumber,l_shipdate,l_extendedprice,l_quantity)-1 AS seq,
    'B'||l_orderkey AS bill_no, s_name AS supplier, CAST(o_orderdate AS DATE) AS bill_dt, p_brand AS make, p_type AS model,
    upper(p_name)||CASE (l_partkey*3+l_linenumber*5+l_suppkey)%14 {_suffix} END AS part_name,
    'PN-'||l_partkey||'.00 9999' AS part_number, l_quantity AS qty, l_extendedprice AS total,

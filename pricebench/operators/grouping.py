@@ -15,6 +15,7 @@ from pricebench.config import MatchConfig
 from pricebench.functions.parts import model_key
 from pricebench.functions.similarity import with_name_features
 from pricebench.operators.leaders import group_by_leader
+from pricebench.operators.ordering import require_order
 from pricebench.session import cut_lineage
 
 # Part numbers that are plain integers below this come first, in numeric order.
@@ -125,8 +126,11 @@ def _bridged(lines: DataFrame, cfg: MatchConfig) -> DataFrame:
 
 
 def assign_clusters(lines: DataFrame, cfg: MatchConfig = MatchConfig()) -> DataFrame:
-    """Usable lines with their part.  Leader modes run jobs; the others are a projection."""
-    rows = usable(lines)
+    """Usable lines with their part.  Leader modes run jobs; the others are a projection.
+
+    Raises if lines lack a stored order or share a place in it.
+    """
+    rows = require_order(usable(lines))
     if cfg.mode == "exact-pn":
         key = F.coalesce(F.nullif(F.col("npn"), F.lit("")), F.lit("?"))
         return _plain(rows, _guarded(key, cfg), _order_class(key))

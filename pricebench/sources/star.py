@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from pricebench.operators.ordering import stored_order
 
 # What is added to a part name by (l_partkey*3 + l_linenumber*5 + l_suppkey) % 14.
 SUFFIXES = (" ASSY", " LH", " RH", " FR", " REAR", " A", " A B", " GEN", " APM", " UPR", " LOWER", " PAIR", " SET", "")
@@ -13,18 +15,10 @@ def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def raw_lines(spark: SparkSession, folder: str) -> DataFrame:
-    """One raw part line per ``lineitem`` row; ``seq`` is a stored total order."""
-    line = read_table(spark, folder, "lineitem")
-    # (order, part, supplier, line number) is almost a key: tiny groups.
-    twins = Window.partitionBy("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber").orderBy(
-        "l_shipdate", "l_extendedprice"
-    )
+    """One raw part line per ``lineitem`` row; ``seq`` is its place in the order of bill, part, supplier and line number."""
+    keys = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_shipdate", "l_extendedprice", "l_quantity"]
+    line = stored_order(read_table(spark, folder, "lineitem").select(*keys), *keys)
     part_key, line_no, supp_key = (F.col(c).cast("long") for c in ("l_partkey", "l_linenumber", "l_suppkey"))
-    number = ((F.col("l_orderkey") * 100000 + part_key) * 100000 + supp_key * 10 + line_no) * 10
-    line = line.select(
-        "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice",
-        (number + F.row_number().over(twins) - 1).cast("long").alias("seq"),
-    )
     rows = (
         line.join(read_table(spark, folder, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
         .join(read_table(spark, folder, "part"), F.col("l_partkey") == F.col("p_partkey"))

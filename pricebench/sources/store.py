@@ -1,10 +1,4 @@
-"""Stored tables: the dataset (S4–S6, S15) and the activity log.
-
-A table is a folder of Parquet files partitioned by ``epoch`` and ``batch``.  A
-batch is written once, under its own number, so repeating it replaces it; readers
-keep the last row of each id in the newest epoch.  Replacing the dataset starts
-a new epoch, and the old one stays readable until the new one is complete.
-"""
+"""Stored tables: the dataset (S4–S6, S15) and the activity log."""
 
 from __future__ import annotations
 
@@ -15,9 +9,10 @@ from pricebench.functions.numeric import number, number_or
 from pricebench.functions.parts import bill_date_of
 from pricebench.model import ACTIVITY, PART_LINE
 from pricebench.operators.enrich import enrich_lines
+from pricebench.operators.ordering import stored_order
 
+#: Events shown and kept by default; both are arguments, None means all.
 ACTIVITY_CAP = 500
-ACTIVITY_LIMIT = 5000
 
 # What a missing column of a stored line reads as.
 LINE_DEFAULTS = {
@@ -37,68 +32,122 @@ def with_line_defaults(stored: DataFrame) -> DataFrame:
 
 
 def last_per_id(rows: DataFrame, key: str, *order: Column) -> DataFrame:
-    """The last version of each row; repeats collapse before the shuffle."""
-    whole = F.struct(*[F.col(c) for c in rows.columns])
-    return rows.groupBy(F.col(key).alias("_key")).agg(F.max_by(whole, F.struct(*order)).alias("_r")).select("_r.*")
+    """The last version of each row; ``order`` decides between any two versions."""
+    newest = Window.partitionBy(key).orderBy(*[c.desc() for c in order])
+    return rows.withColumn("_place", F.row_number().over(newest)).where("_place = 1").drop("_place")
+
+
+#: A line's ``seq`` is the number of its write, then its place in that write.
+_PLACE_BITS, _WRITE_BITS = 40, 22
 
 
 class BatchTable:
-    """Rows with a key, written in numbered batches."""
+    """Rows with a key, written in numbered batches by named writers.
+
+    ``data/epoch=…/writer=…/batch=…`` holds what one writer wrote as one batch; a
+    write replaces its own batch and nothing else.  Every write has a number
+    that grows from write to write (a repeated batch keeps its number) and every
+    row its place in it, so the last write of a key is decided.  Replacing the
+    dataset, also by an empty one, writes a new epoch and then points
+    ``current`` to it; until then readers see the old one.  Writers of one table
+    take turns.
+    """
 
     def __init__(self, spark: SparkSession, path: str, schema: T.StructType, key: str = "id"):
         self.spark, self.path, self.schema, self.key = spark, path, schema, key
+        self.layout = T.StructType(self.schema.fields + [
+            T.StructField("position", T.LongType()), T.StructField("place", T.LongType()), T.StructField("written", T.LongType()),
+            T.StructField("epoch", T.IntegerType()), T.StructField("writer", T.StringType()), T.StructField("batch", T.LongType())])
 
-    def _all(self) -> DataFrame | None:
-        layout = T.StructType(
-            self.schema.fields
-            + [T.StructField("position", T.LongType()), T.StructField("epoch", T.IntegerType()), T.StructField("batch", T.LongType())]
-        )
+    def _read(self, folder: str, schema: T.StructType) -> DataFrame:
         try:
-            return self.spark.read.schema(layout).parquet(self.path)
+            return self.spark.read.schema(schema).parquet(f"{self.path}/{folder}")
         except AnalysisException:
-            return None
-
-    def _newest(self, column: str, rows: DataFrame | None) -> int | None:
-        return None if rows is None else rows.agg(F.max(column)).first()[0]
-
-    def _current(self) -> tuple[int, DataFrame | None]:
-        rows = self._all()
-        epoch = self._newest("epoch", rows)
-        return (0, None) if epoch is None else (epoch, rows.where(F.col("epoch") == epoch))
-
-    def load(self, before_batch: int | None = None) -> DataFrame:
-        """The current rows, last write per key."""
-        _, rows = self._current()
-        if rows is None:
-            return self.spark.createDataFrame([], self.schema)
-        if before_batch is not None:
-            rows = rows.where(F.col("batch") < before_batch)
-        return last_per_id(rows, self.key, F.col("batch"), F.col("position")).select(*self.schema.names)
-
-    def _write(self, rows: DataFrame, epoch: int, batch: int) -> None:
-        shaped = rows.select(
+            return self.spark.createDataFrame([], schema)
+
+    def _epoch(self) -> int:
+        pointed = self._read("current", T.StructType([T.StructField("id", T.LongType()), T.StructField("epoch", T.IntegerType())]))
+        return pointed.agg(F.max("epoch")).first()[0] or 0
+
+    def _rows(self, epoch: int) -> DataFrame:
+        return self._read("data", self.layout).where(F.col("epoch") == epoch)
+
+    def _writes(self, epoch: int) -> dict[tuple[str, int], int]:
+        """The number of each write; one row per batch."""
+        rows = self._rows(epoch).groupBy("writer", "batch").agg(F.max("written").alias("n")).collect()
+        return {(r["writer"], r["batch"]): r["n"] for r in rows}
+
+    def load(self, before: tuple[str, int] | None = None) -> DataFrame:
+        """The current rows, last write per key; with ``before`` (writer, batch) only what was written earlier than that batch."""
+        epoch = self._epoch()
+        rows = self._rows(epoch)
+        if before is not None and (n := self._writes(epoch).get(before)) is not None:
+            rows = rows.where(F.col("written") < n)
+        return self._folded(rows).select(*self.schema.names)
+
+    def _folded(self, rows: DataFrame) -> DataFrame:
+        return last_per_id(rows, self.key, F.col("written"), F.col("position"), F.col("place"))
+
+    def _shaped(self, rows: DataFrame, written: int) -> DataFrame:
+        return rows.select(
             *[(F.col(f.name) if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in self.schema.fields],
             (F.col("position").cast("long") if "position" in rows.columns else F.lit(0).cast("long")).alias("position"),
+            F.monotonically_increasing_id().alias("place"), F.lit(written).cast("long").alias("written"),
         )
-        shaped.write.mode("overwrite").parquet(f"{self.path}/epoch={epoch}/batch={batch}")
 
-    def upsert(self, rows: DataFrame, batch: int | None = None) -> int:
-        """The same batch number written again replaces itself, so a retry changes nothing."""
-        epoch, current = self._current()
+    def _write(self, rows: DataFrame, epoch: int, writer: str, batch: int, written: int) -> None:
+        self._shaped(rows, written).write.mode("overwrite").parquet(f"{self.path}/data/epoch={epoch}/writer={writer}/batch={batch}")
+
+    def upsert(self, rows: DataFrame, batch: int | None = None, writer: str = "upsert") -> int:
+        """The same batch of the same writer written again replaces itself, so a retry changes nothing."""
+        epoch = self._epoch()
+        writes = self._writes(epoch)
         if batch is None:
-            newest = self._newest("batch", current)
-            batch = 0 if newest is None else newest + 1
-        self._write(rows, epoch, batch)
+            batch = max((b for w, b in writes if w == writer), default=-1) + 1
+        written = writes.get((writer, batch), max(writes.values(), default=-1) + 1)
+        self._write(rows, epoch, writer, batch, written)
         return batch
 
+    def _point_to(self, epoch: int) -> None:
+        self.spark.range(1).write.mode("overwrite").parquet(f"{self.path}/current/epoch={epoch}")
+
     def replace(self, rows: DataFrame) -> None:
-        """S5."""
-        epoch, current = self._current()
-        self._write(rows, epoch + (current is not None), 0)
+        """Also with no rows at all."""
+        epoch = self._epoch() + 1
+        self._write(rows, epoch, "replace", 0, 0)
+        self._point_to(epoch)
+
+    def compact(self) -> None:
+        """Folds everything but each writer's newest batch, which may still be repeated, into one."""
+        epoch = self._epoch()
+        rows = self._rows(epoch)
+        newest = rows.groupBy("writer").agg(F.max("batch").alias("batch"))
+        kept = rows.join(F.broadcast(newest), ["writer", "batch"], "left_semi")  # one row per writer
+        older = rows.join(F.broadcast(newest), ["writer", "batch"], "left_anti")
+        folded = self._folded(older).withColumns({"writer": F.lit("compact"), "batch": F.lit(0).cast("long")})
+        columns = [f.name for f in self.layout.fields if f.name != "epoch"]
+        folded.select(*columns).union(kept.where("writer <> 'compact'").select(*columns)).union(
+            kept.where("writer = 'compact'").select(*columns)).write.partitionBy("writer", "batch").parquet(f"{self.path}/data/epoch={epoch + 1}")
+        self._point_to(epoch + 1)
+
+
+class LineTable(BatchTable):
+    """Part lines.  Each write allots ``seq``: lines of a later write come later, within one they keep their order."""
+
+    def _shaped(self, rows: DataFrame, written: int) -> DataFrame:
+        if written >> _WRITE_BITS:
+            raise ValueError("too many writes for the order of lines; compact or replace the table")
+        ordered = stored_order(rows, "seq", "id", out="_at")
+        at = F.when(F.col("_at") < (1 << _PLACE_BITS), F.col("_at")).otherwise(F.raise_error(F.lit("too many lines in one write")).cast("long"))
+        return super()._shaped(ordered.withColumn("seq", F.lit(written << _PLACE_BITS) + at).drop("_at"), written)
+
+    def _folded(self, rows: DataFrame) -> DataFrame:
+        """A changed line keeps the place it first had."""
+        return super()._folded(rows.withColumn("seq", F.min("seq").over(Window.partitionBy(self.key))))
 
 
 def line_table(spark: SparkSession, path: str) -> BatchTable:
-    return BatchTable(spark, path, PART_LINE)
+    return LineTable(spark, path, PART_LINE)
 
 
 def load_lines(table: BatchTable) -> DataFrame:
@@ -130,13 +179,13 @@ def normal_events(events: DataFrame) -> DataFrame:
     return events.withColumns(fields)
 
 
-def newest_events(events: DataFrame, limit: int = ACTIVITY_CAP, kind: str | None = None) -> DataFrame:
-    """Newest first; detail that is not JSON becomes ``{"raw": …}``."""
+def newest_events(events: DataFrame, limit: int | None = ACTIVITY_CAP, kind: str | None = None) -> DataFrame:
+    """The newest ``limit`` events (None: all), newest first; detail that is not JSON becomes ``{"raw": …}``."""
     rows = events if kind is None else events.where(F.col("kind") == kind)
-    count = max(1, min(ACTIVITY_LIMIT, int(limit)))
     raw = F.to_variant_object(F.struct(F.col("detail").alias("raw")))
     detail = F.when(F.coalesce("detail", F.lit("")) != "", F.coalesce(F.try_parse_json("detail"), raw))
-    return rows.orderBy(F.col("ts").desc(), F.col("id").desc()).limit(count).withColumns({
+    ordered = rows.orderBy(F.col("ts").desc(), F.col("id").desc())
+    return (ordered if limit is None else ordered.limit(max(1, int(limit)))).withColumns({
         "kind": F.coalesce(F.nullif("kind", F.lit("")), F.lit("info")),
         "status": F.coalesce(F.nullif("status", F.lit("")), F.lit("info")),
         "count": F.coalesce("count", F.lit(0)),
@@ -151,7 +200,8 @@ def keep_newest(events: DataFrame, cap: int = ACTIVITY_CAP, per: str = "source")
     anyway, so no task sorts a whole source.
     """
     newest = [F.col("ts").desc(), F.col("id").desc()]
-    slice_ = F.pmod(F.xxhash64("id"), F.lit(64))
+    slices = max(1, events.sparkSession.sparkContext.defaultParallelism)
+    slice_ = F.pmod(F.xxhash64("id"), F.lit(slices))
     local = Window.partitionBy(per, "_slice").orderBy(*newest)
     rows = events.withColumn("_slice", slice_).withColumn("_rn", F.row_number().over(local)).where(F.col("_rn") <= cap)
     final = Window.partitionBy(per).orderBy(*newest)

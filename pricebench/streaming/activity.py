@@ -13,8 +13,9 @@ from pricebench.sources.store import activity_table, normal_events
 
 
 def store_batch(events: DataFrame, batch: int, path: str) -> None:
+    """The write decides, within a batch the time an event states, then its place in the batch."""
     rows = normal_events(events).withColumn("position", F.unix_micros(F.col("ts").try_cast("timestamp")))
-    activity_table(events.sparkSession, path).upsert(rows, batch)
+    activity_table(events.sparkSession, path).upsert(rows.fillna(-1, ["position"]), batch, "stream")
 
 
 def start(spark: SparkSession, landing: str, path: str, available_now: bool = True) -> StreamingQuery:

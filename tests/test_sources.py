@@ -1,5 +1,6 @@
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from conftest import raw_frame
@@ -10,18 +11,33 @@ from pricebench.operators.grouping import assign_clusters
 from pricebench.operators.quality import invoice_lines, judge_documents
 from pricebench.sources.documents import first_documents, read_answers, read_scans
 from pricebench.sources.exports import benchmark_sheet, export_dataset, export_worklist, import_sheet
+from pricebench.sources.star import raw_lines
 from pricebench.sources.store import activity_table, keep_newest, line_table, load_lines, newest_events, normal_events, seed_lines
-from pricebench.sources.tabular import read_bill_sheet, resolve_headers
+from pricebench.sources.tabular import header_layout, read_bill_sheet
 from pricebench.streaming import activity as activity_stream, bills as bill_stream
 from test_quality import COVER, GOOD, PART
 
 
-def test_headers_resolve():
-    where = resolve_headers(["Part Description", "Part No", "Unit Basis", "Unit Cost", "Line Amount", "Review Reason", "Review"])
+def test_headers_resolve(spark):
+    cells = ["Part Description", "Part No", "Unit Basis", "Unit Cost", "Line Amount", "Review Reason", "Review"]
+    where = header_layout(spark.createDataFrame([("f", cells)], "path string, cells array<string>")).first().layout
     assert where["part_name"] == 0 and where["part_number"] == 1 and where["unit_cost"] == 2 and where["total_cost"] == 4
     assert (where["review_reason"], where["review"], where["unit_basis"]) == (5, 6, 2)
 
 
+def test_every_file_has_its_own_layout(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("Price list of the year\nPart Name,Part Number,Total Cost\nLAMP,P-1,10\nCLIP,P-2,3\nPrice list of the year\n", encoding="utf8")
+    (tmp_path / "b b.csv").write_text("\n" + "note,\n" * 70 + "Total Amount,Qty,Part No,Part Description\n7,2,P-3,HOSE\n8,1,P-4,\"RING, O\"\n", encoding="utf8")
+    rows = read_bill_sheet(spark, str(tmp_path)).orderBy("seq").collect()
+    assert [(r.supplier, r.part_name, r.part_number, r.total_cost, r.qty) for r in rows] == [
+        ("a", "LAMP", "P-1", "10", "1"), ("a", "CLIP", "P-2", "3", "1"), ("a", "Price list of the year", "", "", "1"),
+        ("b b", "HOSE", "P-3", "7", "2"), ("b b", "RING, O", "P-4", "8", "1")]
+    assert assign_clusters(enrich_lines(read_bill_sheet(spark, str(tmp_path)))).count() == 4  # the clip is a fastener
+    (tmp_path / "c.csv").write_text("nothing,here\n1,2\n")
+    with pytest.raises(ValueError, match="c.csv"):
+        read_bill_sheet(spark, str(tmp_path))
+
+
 def test_sheet_with_title_rows(spark, tmp_path):
     (tmp_path / "acme.csv").write_text(
         "Supplier parts list,,,,\n,,,,\nPart Name,Part Number,Qty,Total Cost,Review\n"
@@ -62,6 +78,64 @@ def test_line_store(spark, tmp_path):
     assert seed_lines(table, raw_frame(spark, [line(7)]), force=True) and load_lines(table).first().id == "id7"
 
 
+def test_writers_of_one_root_keep_to_their_own_batches(spark, tmp_path):
+    root = str(tmp_path)
+    table = line_table(spark, f"{root}/lines")
+    seed_lines(table, raw_frame(spark, [line(0), line(1)]))
+    docs = lambda *texts: spark.createDataFrame([(f"/in/{i}/z.txt", "z.txt", t) for i, t in enumerate(texts)], "path string, file_name string, text string")
+    bill_stream.ingest_batch(docs(bill(1)), 0, root)
+    table.upsert(enrich_lines(raw_frame(spark, [line(1, supplier="NEW"), line(5)])))
+    bill_stream.ingest_batch(docs(bill(1), bill(2, parts=[PART])), 1, root)
+    rows = load_lines(table).orderBy("seq").collect()
+    assert [r.part_name for r in rows[:2]] == ["LAMP 0", "LAMP 1"] and rows[1].supplier == "NEW" and len(rows) == 6
+    assert len({r.seq for r in rows}) == 6 and [r.bill_no for r in rows] == ["", "", "MG-1", "MG-1", "", "MG-2"]
+    assert assign_clusters(load_lines(table)).count() == 5
+    bill_stream.ingest_batch(docs(bill(1), bill(2, parts=[PART])), 1, root)  # a retry
+    assert [(r.id, r.seq) for r in load_lines(table).orderBy("seq").collect()] == [(r.id, r.seq) for r in rows]
+    table.compact()
+    assert [(r.id, r.seq) for r in load_lines(table).orderBy("seq").collect()] == [(r.id, r.seq) for r in rows]
+    bill_stream.ingest_batch(docs(bill(1), bill(2, parts=[PART])), 1, root)
+    assert load_lines(table).count() == 6
+    table.replace(load_lines(table).where("false"))
+    assert load_lines(table).count() == 0
+
+
+def test_last_write_of_a_key_is_decided(spark, tmp_path):
+    table = activity_table(spark, str(tmp_path / "log"))
+    twice = spark.createDataFrame([("e1", "first"), ("e1", "second")], "id string, source string").coalesce(1)
+    table.upsert(twice)
+    assert table.load().first().source == "second"
+    table.upsert(twice.where("source = 'first'"), writer="other")
+    assert table.load().first().source == "first"
+
+
+def test_documents_are_told_apart_by_place_and_content(spark):
+    other = json.dumps({**GOOD, "bill_no": "MG-77"})
+    rows = [("/a/z.txt", "z.txt", json.dumps(GOOD)), ("/b/z.txt", "z.txt", other), ("/c/z.txt", "z.txt", json.dumps(GOOD)), ("/c/z.txt", "z.txt", json.dumps(GOOD))]
+    judged = {r.path: r for r in judge_documents(spark.createDataFrame(rows, "path string, file_name string, text string")).collect()}
+    assert {k: r.status for k, r in judged.items()} == {"/a/z.txt": "done", "/b/z.txt": "done", "/c/z.txt": "duplicate"}
+    assert "(/a/z.txt)" in judged["/c/z.txt"].error
+    failed = judge_documents(spark.createDataFrame([("x", "no json")], "file_name string, text string")).first()
+    assert (failed.status, failed.failed_text) == ("failed", "no json")
+
+
+@pytest.mark.parametrize("seqs", [(0, 0), (0, None)])
+def test_lines_without_a_place_of_their_own_are_refused(spark, seqs):
+    lines = enrich_lines(raw_frame(spark, [line(0), line(1)])).withColumn("seq", F.when(F.col("id") == "id0", seqs[0]).otherwise(F.lit(seqs[1]).cast("long")))
+    with pytest.raises(ValueError, match="stored order"):
+        assign_clusters(lines)
+
+
+def test_keys_of_any_size_have_places_of_their_own(spark, tmp_path):
+    keys = [(9_300_000_000 + i // 4, 100_000 + i % 3, 200_000 + i % 2, i % 9) for i in range(200)]
+    spark.createDataFrame([(*k, "2020-01-01", 5.0 + i, 1.0) for i, k in enumerate(keys * 2)],
+                          "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_shipdate string, l_extendedprice double, l_quantity double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(o, "P" if o % 2 else "F") for o in {k[0] for k in keys}], "o_orderkey long, o_orderstatus string").withColumn("o_orderdate", F.lit("2020-01-01").cast("date")).write.parquet(f"{tmp_path}/orders.parquet")
+    spark.createDataFrame([(p, "small ring", "B", "T") for p in {k[1] for k in keys}], "p_partkey long, p_name string, p_brand string, p_type string").write.parquet(f"{tmp_path}/part.parquet")
+    spark.createDataFrame([(x, "S") for x in {k[2] for k in keys}], "s_suppkey long, s_name string").write.parquet(f"{tmp_path}/supplier.parquet")
+    assert sorted(r.seq for r in raw_lines(spark, str(tmp_path)).collect()) == list(range(400))
+
+
 def test_activity_log(spark, tmp_path):
     table = activity_table(spark, str(tmp_path / "log"))
     events = spark.createDataFrame(
