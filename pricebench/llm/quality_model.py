@@ -13,6 +13,7 @@ shapes, endings and neighbours; the scorer decides.
 from __future__ import annotations
 
 import functools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,28 +29,57 @@ SAMPLE = 12_000
 BITS = 16
 TRAINERS, EPOCHS = 4, 6
 THRESHOLD = 0.5
+_SCALE = 8.0
 SMALLEST = 5  # words below which no labeller votes
 
 GOOD, BAD, NONE = "g", "b", "-"
 LABELLERS = 10
 _SHOUT, _PLAIN, _STOP, _SYMBOL, _BAR, _CRY, _END = (1 << i for i in range(7))
+_SYMBOLS = frozenset("#*$%&|<>")
 _MARKS = ".,;:!?\"'()»«…-–"
 
 
+def _shape(word: str, core: str) -> str:
+    """Runs of capitals, small letters and digits as one character each, other characters as they are."""
+    if core.isalpha() and (case := "x" if core.islower() else "X" if core.isupper() else "Xx" if core[1:].islower() and core[0].isupper() else ""):
+        at = word.find(core)
+        return word[:at] + case + word[at + len(core) :]
+    shape = ["X" if c.isupper() else "x" if c.isalpha() else "9" if c.isdigit() else c for c in word]
+    return "".join(c for i, c in enumerate(shape) if i == 0 or c != shape[i - 1])
+
+
+class _Hashed(dict):
+    """Hashes of shapes and endings, of which there are few."""
+
+    def __missing__(self, text: str) -> int:
+        if len(self) >= 50_000:
+            self.clear()
+        self[text] = h = xxhash.xxh3_64_intdigest(text) % (1 << BITS)
+        return h
+
+
 class _Codes(dict):
     """Word to a number: flags in the low byte, then hashes of its shape, its ending and itself."""
 
+    def __init__(self):
+        super().__init__()
+        self.older: dict[str, int] = {}
+        self.shapes, self.endings = _Hashed(), _Hashed()
+
     def __missing__(self, word: str) -> int:
-        core = word.strip(_MARKS)
-        flags = (
-            _SHOUT * (len(core) > 1 and core.isupper()) | _PLAIN * (core.isalpha() and "!!" not in word) | _STOP * (core.lower() in STOP_WORDS)
-            | _SYMBOL * any(c in "#*$%&|<>" for c in word) | _BAR * (word == "|") | _CRY * word.endswith("!") | _END * word.endswith((".", "!", "?"))
-        )
-        shape = "".join("X" if c.isupper() else "x" if c.isalpha() else "9" if c.isdigit() else c for c in word)
-        shape = "".join(c for i, c in enumerate(shape) if i == 0 or c != shape[i - 1])
-        h = xxhash.xxh3_64_intdigest
-        code = flags | h(shape) % (1 << BITS) << 8 | h("ending" + word.lower()[-3:]) % (1 << BITS) << 24 | h(word) % (1 << 22) << 40
-        if len(self) >= 300_000:
+        code = self.older.get(word)
+        if code is None:
+            core = word.strip(_MARKS)
+            letters = core.isalpha()
+            flags = (
+                _SHOUT * (len(core) > 1 and core.isupper()) | _PLAIN * (letters and "!!" not in word) | _STOP * (core.lower() in STOP_WORDS)
+                | _SYMBOL * (not letters and not _SYMBOLS.isdisjoint(word)) | _BAR * (word == "|")
+                | _CRY * (word[-1] == "!") | _END * (word[-1] in ".!?")
+            )
+            code = (flags | self.shapes[_shape(word, core)] << 8 | self.endings["…" + word[-3:].lower()] << 24
+                    | xxhash.xxh32_intdigest(word) % (1 << 22) << 40)
+        if len(self) >= 200_000:
+            self.older = dict(self)
             self.clear()
         self[word] = code
         return code
@@ -65,6 +95,10 @@ def codes_of(text: str | None) -> np.ndarray:
     return np.fromiter(map(_codes().__getitem__, words), np.int64, len(words))
 
 
+#: Which flags each value of the low byte holds, in the order of their names.
+_FLAGS = (np.arange(128)[:, None] & np.array([_SHOUT, _PLAIN, _STOP, _SYMBOL, _BAR, _CRY, _END]) != 0).astype(float)
+
+
 def _vote(value: float, bad: bool, good: bool) -> str:
     return BAD if bad else GOOD if good else NONE
 
@@ -74,7 +108,7 @@ def votes(codes: np.ndarray) -> str:
     n = len(codes)
     if n < SMALLEST:
         return NONE * LABELLERS
-    shout, plain, stop, symbol, bar, cry, end = ((codes & f != 0).sum() / n for f in (_SHOUT, _PLAIN, _STOP, _SYMBOL, _BAR, _CRY, _END))
+    shout, plain, stop, symbol, bar, cry, end = (np.bincount(codes & 127, minlength=128) @ _FLAGS / n).tolist()
     repeated = (codes[1:] == codes[:-1]).mean()
     distinct = len(np.unique(codes)) / n
     triples = codes[2:] * 5 + codes[1:-1] * 3 + codes[:-2]
@@ -93,13 +127,18 @@ def votes(codes: np.ndarray) -> str:
     ))
 
 
-def features(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashed features of a text with words, and their weights: shapes, endings, pairs of shapes, repeats."""
+def _hashes(codes: np.ndarray) -> np.ndarray:
+    """Hashed features of a text, with repeats: shapes, endings, pairs of shapes, repeated words."""
     shape, ending = codes >> 8 & (1 << BITS) - 1, codes >> 24 & (1 << BITS) - 1
-    pair = (shape[1:] * 31 + shape[:-1] * 17 + 7) % (1 << BITS)
-    same = np.full(int((codes[1:] == codes[:-1]).sum()), 1, np.int64)
-    index, count = np.unique(np.concatenate([shape, ending, pair, same]), return_counts=True)
-    return index, count * (8.0 / len(codes))
+    pair = shape[1:] * 31 + shape[:-1] * 17 + 7 & (1 << BITS) - 1
+    same = np.ones(np.count_nonzero(codes[1:] == codes[:-1]), np.int64)
+    return np.concatenate([shape, ending, pair, same])
+
+
+def features(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct hashed features of a text with words, and their weights."""
+    index, count = np.unique(_hashes(codes), return_counts=True)
+    return index, count * (_SCALE / len(codes))
 
 
 def estimate(patterns: pd.DataFrame, rounds: int = 100) -> pd.DataFrame:
@@ -174,8 +213,8 @@ class QualityModel:
         """Probability that a text is good; 0 without words."""
         if not len(codes):
             return 0.0
-        index, value = features(codes)
-        return float(1 / (1 + np.exp(-np.clip(self.weights[index] @ value + self.weights[-1], -30, 30))))
+        sum_ = self.weights[_hashes(codes)].sum() * (_SCALE / len(codes)) + self.weights[-1]
+        return 1 / (1 + math.exp(-max(-30.0, min(30.0, sum_))))
 
 
 def fit(docs: DataFrame, sample: int = SAMPLE) -> QualityModel:
