@@ -20,6 +20,7 @@ import pandas as pd
 import public_tokenizers
 from pyspark.sql import DataFrame, functions as F
 
+from pricebench.llm.common import text_batches
 from pricebench.llm.merging import merge, pair_table, splitter
 from pricebench.llm.perfect_hash import PerfectHash
 
@@ -138,7 +139,7 @@ def encode_texts(docs: DataFrame, text: str = "text", ids: str = "ids", path: st
     through; a column already named like ``ids`` is replaced.
     """
     path = path or public_tokenizers.path(TIKTOKEN_FILE)
-    return docs.withColumn(ids, encode_udf(path, pattern or public_tokenizers.PATTERN, specials)(F.col(text)))
+    return text_batches(docs).withColumn(ids, encode_udf(path, pattern or public_tokenizers.PATTERN, specials)(F.col(text)))
 
 
 def decode_ids(df: DataFrame, ids: str = "ids", out: str = "decoded", path: str | None = None,

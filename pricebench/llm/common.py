@@ -2,16 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from pricebench.session import cut_lineage
 
-__all__ = ["cut_lineage", "key_columns", "read_columns", "with_key", "without_keys"]
+__all__ = ["cut_lineage", "key_columns", "text_batches", "with_key", "without_keys"]
 
 
-def read_columns(spark: SparkSession, folder: str, table: str, *columns: str) -> DataFrame:
-    """The named columns of a given table; whatever else it holds is not read."""
-    return spark.read.parquet(f"{folder}/{table}.parquet").select(*columns)
+#: Texts that are handed to Python at a time; the default of 10,000 would hold tens of megabytes, or gigabytes of long ones.
+TEXTS_PER_BATCH = 1000
+_BATCH_KEY = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def text_batches(df: DataFrame) -> DataFrame:
+    """``df``; from now on its session hands texts to Python in small batches, unless the deployment sets a size itself."""
+    spark = df.sparkSession
+    if not spark.sparkContext.getConf().contains(_BATCH_KEY):
+        spark.conf.set(_BATCH_KEY, str(TEXTS_PER_BATCH))
+    return df
 
 
 def key_columns(*columns: str) -> tuple[Column, Column]:

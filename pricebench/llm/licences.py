@@ -19,6 +19,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from pricebench.llm.common import text_batches
 from pricebench.llm.licence_templates import OTHERS, TEMPLATES
 from pricebench.llm.stop_words import STOP_WORDS
 
@@ -234,7 +235,7 @@ def find_licences(docs: DataFrame, model: LicenceModel | None = None) -> DataFra
         for texts in batches:
             yield pd.Series([[dict(zip(names, s)) for s in shared.value.scan(t)] for t in texts], dtype=object)
 
-    return docs.withColumn("spans", scan(F.col("text")))
+    return text_batches(docs).withColumn("spans", scan(F.col("text")))
 
 
 def op10_licences(spark: SparkSession, folder: str) -> DataFrame:

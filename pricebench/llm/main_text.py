@@ -18,6 +18,7 @@ from typing import NamedTuple
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from pricebench.llm.common import text_batches
 from pricebench.llm.stop_words import STOP_WORDS
 
 SHORT_WORDS = 12
@@ -188,7 +189,7 @@ def extract(pages: DataFrame, column: str = "html", out: str = "text") -> DataFr
         for html_pages in batches:
             yield pd.Series([main_text(p) for p in html_pages], dtype=object)
 
-    return pages.withColumn(out, run(F.col(column)))
+    return text_batches(pages).withColumn(out, run(F.col(column)))
 
 
 def op1_main_text(spark: SparkSession, folder: str) -> DataFrame:

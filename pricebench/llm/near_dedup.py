@@ -26,7 +26,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from pricebench.llm.common import BROADCAST_KEYS, cut_lineage, with_key, without_keys
+from pricebench.llm.common import BROADCAST_KEYS, cut_lineage, text_batches, with_key, without_keys
 from pricebench.llm.components import components
 
 SHINGLE, PERCENT = 5, 80
@@ -45,7 +45,7 @@ _COLUMNS = 4096  # shingles hashed at a time, so that very long texts take no mo
 
 class _Words(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 300_000:
+        if len(self) >= 200_000:
             self.clear()
         self[word] = h = xxhash.xxh3_64_intdigest(word)
         return h
@@ -255,7 +255,7 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -
     component and are kept.  An empty table gives no rows; other columns are
     not read.
     """
-    docs = docs.select("doc_id", "text")
+    docs = text_batches(docs).select("doc_id", "text")
     signed = cut_lineage(docs.mapInPandas(_signed(k), "doc_id long, n_shingles long, s1 long, s2 long, bands array<long>"))
     named = signed.where(F.col("doc_id").isNotNull() & F.col("s1").isNotNull())
     # Copies have one set: its smallest doc_id stands for it.

@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from pricebench.llm.byte_bpe import TIKTOKEN_FILE, Encoder, Pieces, load_ranks
-from pricebench.llm.common import cut_lineage
+from pricebench.llm.common import cut_lineage, text_batches
 
 WINDOW, QUANTUM, LANE_TOKENS = 2048, 256, 1 << 20
 END_OF_DOCUMENT = 1
@@ -138,7 +138,7 @@ def pack(docs: DataFrame, weights: dict[str, float] | None = None, window: int =
     An empty table gives no pieces.  Other columns are not read.
     """
     path = path or public_tokenizers.path(TIKTOKEN_FILE)
-    queued = docs.select("doc_id", "source", "text").mapInPandas(
+    queued = text_batches(docs).select("doc_id", "source", "text").mapInPandas(
         _queued(path), "doc_id long, source string, part int, place long, n int, ids binary")
     queued = cut_lineage(queued)  # encoded once; everything after works on this table
 

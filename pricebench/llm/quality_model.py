@@ -21,7 +21,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from pricebench.llm.common import cut_lineage
+from pricebench.llm.common import cut_lineage, text_batches
 from pricebench.llm.stop_words import STOP_WORDS
 
 #: Documents the scorer is trained on, in expectation; counts and posteriors come from all documents.
@@ -78,7 +78,7 @@ class _Codes(dict):
             )
             code = (flags | self.shapes[_shape(word, core)] << 8 | self.endings["…" + word[-3:].lower()] << 24
                     | xxhash.xxh32_intdigest(word) % (1 << 22) << 40)
-        if len(self) >= 200_000:
+        if len(self) >= 120_000:
             self.older = dict(self)
             self.clear()
         self[word] = code
@@ -219,7 +219,7 @@ class QualityModel:
 
 def fit(docs: DataFrame, sample: int = SAMPLE) -> QualityModel:
     """Votes are counted over all documents; the scorer learns from about ``sample`` of them, chosen by hash."""
-    order = F.xxhash64("text")
+    order, docs = F.xxhash64("text"), text_batches(docs)
     voted = cut_lineage(docs.select(_pattern()("text").alias("votes"), order.alias("order")))
     counted = voted.groupBy("votes").agg(F.count("*").alias("n")).toPandas()  # at most 3 ** LABELLERS rows
     posteriors = estimate(counted.sort_values("votes", ignore_index=True))
@@ -268,7 +268,7 @@ def classify(docs: DataFrame, model: QualityModel | None = None, threshold: floa
     an empty table gives no rows, other columns are not read.
     """
     model = model or fit(docs)
-    scored = docs.select("doc_id", _scored(model, docs.sparkSession)("text").alias("s"))
+    scored = text_batches(docs).select("doc_id", _scored(model, docs.sparkSession)("text").alias("s"))
     return scored.select("doc_id", "s.votes", "s.posterior", "s.score", (F.col("s.score") >= threshold).alias("kept"))
 
 

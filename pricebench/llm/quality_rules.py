@@ -20,7 +20,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from pricebench.llm.common import SALTS, cut_lineage, with_key, without_keys
+from pricebench.llm.common import SALTS, cut_lineage, text_batches, with_key, without_keys
 
 MAX_DOCS, MAX_LINE_WORDS, MAX_LOST = 20, 24, 0.5
 _WINDOW = 8
@@ -94,7 +94,7 @@ def _measured(most: int):
 
 def measure(docs: DataFrame, max_line_words: int = MAX_LINE_WORDS) -> DataFrame:
     """Per row: base counts and short lines, stored without the text.  __k1, __k2 identify (source, text)."""
-    keyed = with_key(docs.select("doc_id", "source", "text"), "source", "text").withColumn(
+    keyed = with_key(text_batches(docs).select("doc_id", "source", "text"), "source", "text").withColumn(
         "__host", F.xxhash64(F.isnull("source"), F.coalesce("source", F.lit(""))))
     return cut_lineage(keyed.select("doc_id", "text", "__host", "__k1", "__k2").mapInPandas(
         _measured(max_line_words),

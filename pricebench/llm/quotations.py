@@ -18,7 +18,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from pricebench.llm.common import cut_lineage
+from pricebench.llm.common import cut_lineage, text_batches
 from pricebench.llm.components import components
 
 _QUOTE = re.compile(r"\s{0,3}((?:>\s?)+)(.*)", re.S)
@@ -69,7 +69,7 @@ def _parse(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
 def parse(messages: DataFrame) -> DataFrame:
     """Messages with their own text, hashes of what they say and cite; stored."""
     parsed = F.pandas_udf(_parse, "own string, said array<long>, levels array<int>, cited array<long>, n_quotes int")
-    return cut_lineage(messages.select("conv_id", "turn", "role", parsed("text").alias("p")).select("conv_id", "turn", "role", "p.*"))
+    return cut_lineage(text_batches(messages).select("conv_id", "turn", "role", parsed("text").alias("p")).select("conv_id", "turn", "role", "p.*"))
 
 
 def originals(parsed: DataFrame) -> DataFrame:

@@ -19,6 +19,7 @@ import pandas as pd
 import public_tokenizers
 from pyspark.sql import DataFrame, functions as F
 
+from pricebench.llm.common import text_batches
 from pricebench.llm.merging import merge, pack_pair, splitter
 
 WORD_FILE = "word_bpe_49k.json"
@@ -136,7 +137,7 @@ def count_tokens(docs: DataFrame, text: str = "text", out: str = "n_tokens", pat
         for texts in batches:
             yield pd.Series([_counts[path].of(t) for t in texts], dtype="int64")
 
-    return docs.withColumn(out, count(F.col(text)))
+    return text_batches(docs).withColumn(out, count(F.col(text)))
 
 
 def op4_token_counts(spark, folder: str, limit: int = 2048) -> DataFrame:
