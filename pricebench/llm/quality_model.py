@@ -7,14 +7,14 @@ holds): it estimates how often each labeller votes each way on good documents an
 on each kind of bad ones, and with that the probability that a pattern is of a
 good one.  Bad text comes in kinds (one is seeded by each labeller), because a
 labeller that knows one kind is blind to the others.  These posteriors, not the votes, are the labels of a linear scorer over hashed word
-shapes, endings and neighbours; the scorer decides.
+shapes and neighbours; the scorer decides.
 """
 
 from __future__ import annotations
 
-import functools
 import math
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -34,84 +34,84 @@ SMALLEST = 5  # words below which no labeller votes
 
 GOOD, BAD, NONE = "g", "b", "-"
 LABELLERS = 10
-_SHOUT, _PLAIN, _STOP, _SYMBOL, _BAR, _CRY, _END = (1 << i for i in range(7))
+_SHOUT, _PLAIN, _SYMBOL, _BAR, _CRY, _END, _STOP = (1 << i for i in range(7))
 _SYMBOLS = frozenset("#*$%&|<>")
 _MARKS = ".,;:!?\"'()»«…-–"
 
 
-def _shape(word: str, core: str) -> str:
-    """Runs of capitals, small letters and digits as one character each, other characters as they are."""
-    if core.isalpha() and (case := "x" if core.islower() else "X" if core.isupper() else "Xx" if core[1:].islower() and core[0].isupper() else ""):
-        at = word.find(core)
-        return word[:at] + case + word[at + len(core) :]
-    shape = ["X" if c.isupper() else "x" if c.isalpha() else "9" if c.isdigit() else c for c in word]
-    return "".join(c for i, c in enumerate(shape) if i == 0 or c != shape[i - 1])
+def _kind(c: str) -> str:
+    """What a character is for a shape: a capital, a small letter, a digit, white space or itself."""
+    return " " if c.isspace() else "X" if c.isupper() else "x" if c.isalpha() else "9" if c.isdigit() else c
 
 
-class _Hashed(dict):
-    """Hashes of shapes and endings, of which there are few."""
+_LATIN = bytes(ord(_kind(chr(i))) if ord(_kind(chr(i))) < 256 else 63 for i in range(256))
 
-    def __missing__(self, text: str) -> int:
-        if len(self) >= 50_000:
-            self.clear()
-        self[text] = h = xxhash.xxh3_64_intdigest(text) % (1 << BITS)
-        return h
-
-
-class _Codes(dict):
-    """Word to a number: flags in the low byte, then hashes of its shape, its ending and itself."""
-
-    def __init__(self):
-        super().__init__()
-        self.older: dict[str, int] = {}
-        self.shapes, self.endings = _Hashed(), _Hashed()
-
-    def __missing__(self, word: str) -> int:
-        code = self.older.get(word)
-        if code is None:
-            core = word.strip(_MARKS)
-            letters = core.isalpha()
-            flags = (
-                _SHOUT * (len(core) > 1 and core.isupper()) | _PLAIN * (letters and "!!" not in word) | _STOP * (core.lower() in STOP_WORDS)
-                | _SYMBOL * (not letters and not _SYMBOLS.isdisjoint(word)) | _BAR * (word == "|")
-                | _CRY * (word[-1] == "!") | _END * (word[-1] in ".!?")
-            )
-            code = (flags | self.shapes[_shape(word, core)] << 8 | self.endings["…" + word[-3:].lower()] << 24
-                    | xxhash.xxh32_intdigest(word) % (1 << 22) << 40)
-        if len(self) >= 120_000:
-            self.older = dict(self)
+
+class _Kinds(dict):
+    """Kinds of characters beyond the first 256 code points."""
+
+    def __missing__(self, c: int) -> str:
+        self[c] = k = _kind(chr(c))
+        return k
+
+
+class _Shapes(dict):
+    """Shape of a word, letter by letter, to its code: flags below, then the hash of the shape with its runs cut to one or two."""
+
+    def __missing__(self, shape: bytes | str) -> int:
+        word = shape.decode("latin-1") if isinstance(shape, bytes) else shape
+        core = word.strip(_MARKS)
+        flags = (
+            _SHOUT * (len(core) > 1 and set(core) == {"X"}) | _PLAIN * (bool(core) and set(core) <= {"X", "x"} and "!!" not in word)
+            | _SYMBOL * (not _SYMBOLS.isdisjoint(word)) | _BAR * (word == "|") | _CRY * (word[-1] == "!") | _END * (word[-1] in ".!?")
+        )
+        runs = "".join(c for i, c in enumerate(word) if i < 2 or not c == word[i - 1] == word[i - 2])
+        if len(self) >= 100_000:
             self.clear()
-        self[word] = code
+        self[shape] = code = flags | xxhash.xxh3_64_intdigest(runs) % (1 << BITS) << 8
         return code
 
 
-@functools.lru_cache(maxsize=1)
-def _codes() -> _Codes:
-    return _Codes()
+_shapes, _kinds = _Shapes(), _Kinds()
+
+
+class Words(NamedTuple):
+    """The words of a text as numbers: codes of their shapes (with the flag of function words), and their hashes."""
+
+    codes: np.ndarray
+    hashes: np.ndarray
 
 
-def codes_of(text: str | None) -> np.ndarray:
-    words = (text or "").split()
-    return np.fromiter(map(_codes().__getitem__, words), np.int64, len(words))
+def words_of(text: str | None) -> Words:
+    text = text or ""
+    try:
+        shapes: list = text.encode("latin-1").translate(_LATIN).split()
+    except UnicodeEncodeError:
+        shapes = text.translate(_kinds).split()
+    words = text.split()
+    codes = np.fromiter(map(_shapes.__getitem__, shapes), np.int64, len(words))
+    stop = np.fromiter(map(STOP_WORDS.__contains__, text.lower().split()), bool, len(words))
+    return Words(codes | stop * _STOP, np.fromiter(map(hash, words), np.int64, len(words)))
 
 
 #: Which flags each value of the low byte holds, in the order of their names.
-_FLAGS = (np.arange(128)[:, None] & np.array([_SHOUT, _PLAIN, _STOP, _SYMBOL, _BAR, _CRY, _END]) != 0).astype(float)
+_FLAGS = (np.arange(128)[:, None] & np.array([_SHOUT, _PLAIN, _SYMBOL, _BAR, _CRY, _END, _STOP]) != 0).astype(float)
 
 
 def _vote(value: float, bad: bool, good: bool) -> str:
     return BAD if bad else GOOD if good else NONE
 
 
-def votes(codes: np.ndarray) -> str:
+def votes(words: Words) -> str:
     """One letter for each labeller.  They overlap, and none of them knows all kinds of bad text."""
+    codes, hashes = words
     n = len(codes)
     if n < SMALLEST:
         return NONE * LABELLERS
-    shout, plain, stop, symbol, bar, cry, end = (np.bincount(codes & 127, minlength=128) @ _FLAGS / n).tolist()
-    repeated = (codes[1:] == codes[:-1]).mean()
-    distinct = len(np.unique(codes)) / n
-    triples = codes[2:] * 5 + codes[1:-1] * 3 + codes[:-2]
+    shout, plain, symbol, bar, cry, end, stop = (np.bincount(codes & 127, minlength=128) @ _FLAGS / n).tolist()
+    repeated = np.count_nonzero(hashes[1:] == hashes[:-1]) / (n - 1)
+    distinct = len(np.unique(hashes)) / n
+    triples = hashes[2:] * 5 + hashes[1:-1] * 3 + hashes[:-2]
     new = len(np.unique(triples)) / len(triples)
     return "".join((
         _vote(symbol, symbol > 0.15, symbol < 0.03),
@@ -127,18 +127,18 @@ def votes(codes: np.ndarray) -> str:
     ))
 
 
-def _hashes(codes: np.ndarray) -> np.ndarray:
-    """Hashed features of a text, with repeats: shapes, endings, pairs of shapes, repeated words."""
-    shape, ending = codes >> 8 & (1 << BITS) - 1, codes >> 24 & (1 << BITS) - 1
+def _hashes(words: Words) -> np.ndarray:
+    """Hashed features of a text, with repeats: shapes (apart for function words), pairs of them, repeated words."""
+    shape = (words.codes >> 8) * 2 + (words.codes & _STOP != 0) & (1 << BITS) - 1
     pair = shape[1:] * 31 + shape[:-1] * 17 + 7 & (1 << BITS) - 1
-    same = np.ones(np.count_nonzero(codes[1:] == codes[:-1]), np.int64)
-    return np.concatenate([shape, ending, pair, same])
+    same = np.ones(np.count_nonzero(words.hashes[1:] == words.hashes[:-1]), np.int64)
+    return np.concatenate([shape, pair, same])
 
 
-def features(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def features(words: Words) -> tuple[np.ndarray, np.ndarray]:
     """The distinct hashed features of a text with words, and their weights."""
-    index, count = np.unique(_hashes(codes), return_counts=True)
-    return index, count * (_SCALE / len(codes))
+    index, count = np.unique(_hashes(words), return_counts=True)
+    return index, count * (_SCALE / len(words.codes))
 
 
 def estimate(patterns: pd.DataFrame, rounds: int = 100) -> pd.DataFrame:
@@ -176,7 +176,7 @@ def estimate(patterns: pd.DataFrame, rounds: int = 100) -> pd.DataFrame:
 
 def _pattern_of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for texts in batches:
-        yield pd.Series([votes(codes_of(t)) for t in texts], dtype=object)
+        yield pd.Series([votes(words_of(t)) for t in texts], dtype=object)
 
 
 def _pattern():
@@ -190,7 +190,7 @@ def _train(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         return
     docs = pd.concat(parts, ignore_index=True).sort_values("order", kind="stable")
     w, g = np.zeros((1 << BITS) + 1), np.full((1 << BITS) + 1, 1e-3)
-    rows = [(features(c), p) for t, p in zip(docs["text"], docs["posterior"]) if len(c := codes_of(t))]
+    rows = [(features(words), p) for t, p in zip(docs["text"], docs["posterior"]) if len((words := words_of(t)).codes)]
     for _ in range(EPOCHS):
         for (index, value), p in rows:
             error = 1 / (1 + np.exp(-np.clip(w[index] @ value + w[-1], -30, 30))) - p
@@ -209,11 +209,11 @@ class QualityModel:
     def __init__(self, posteriors: pd.DataFrame, weights: np.ndarray):
         self.posteriors, self.weights = posteriors, weights
 
-    def score(self, codes: np.ndarray) -> float:
+    def score(self, words: Words) -> float:
         """Probability that a text is good; 0 without words."""
-        if not len(codes):
+        if not len(words.codes):
             return 0.0
-        sum_ = self.weights[_hashes(codes)].sum() * (_SCALE / len(codes)) + self.weights[-1]
+        sum_ = self.weights[_hashes(words)].sum() * (_SCALE / len(words.codes)) + self.weights[-1]
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, sum_))))
 
 
@@ -250,9 +250,9 @@ def _scored(model: QualityModel, spark: SparkSession):
         for texts in batches:
             rows = []
             for t in texts:
-                codes = codes_of(t)
-                v = votes(codes)
-                rows.append((v, posterior.get(v), model.score(codes)))
+                words = words_of(t)
+                v = votes(words)
+                rows.append((v, posterior.get(v), model.score(words)))
             yield pd.DataFrame(rows, columns=["votes", "posterior", "score"])
 
     return score
