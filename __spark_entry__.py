@@ -10,6 +10,7 @@ from __future__ import annotations
 import datetime as dt
 import os
 import sys
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
@@ -29,9 +30,11 @@ from pricebench.operators.fingerprint import snapshot_id  # noqa: E402
 from pricebench.operators.grouping import assign_clusters  # noqa: E402
 from pricebench.operators.pairs import candidate_pairs  # noqa: E402
 from pricebench.plans import analytics as A  # noqa: E402
-from pricebench.session import cut_lineage  # noqa: E402
+from pricebench.operators.ordering import stored_order  # noqa: E402
+from pricebench.session import checkpoint_dir, cut_lineage  # noqa: E402
 from pricebench.sources.star import raw_lines, read_table  # noqa: E402
-from pricebench.sources.store import keep_newest, last_per_id, newest_events, normal_events  # noqa: E402
+from pricebench.sources.store import keep_newest, last_per_id, line_table as stored_lines, newest_events, normal_events  # noqa: E402
+from pricebench.sources.tabular import read_bill_sheet  # noqa: E402
 
 try:
     import corpus_pipeline
@@ -173,6 +176,52 @@ def _labelled(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select(F.col("part_name").alias("part_name_a"), F.col("b.part_name").alias("part_name_b"), F.when(same, "y").otherwise("n").alias("label"))
 
 
+def _sheets(spark: SparkSession, folder: str) -> DataFrame:
+    """Every line written to CSV files of two layouts, titles above the headers, and read back."""
+    rows = lines(spark, folder).select("seq", "part_name", "part_number", "supplier", "bill_no", F.col("total").cast("decimal(18,2)").cast("string").alias("total"), F.col("qty").cast("int").cast("string").alias("qty"))
+    place = f"{checkpoint_dir(spark)}/sheets-{uuid.uuid4().hex}"
+
+    def lay_out(part: DataFrame, columns: tuple[str, ...], headers: tuple[str, ...], name: str) -> None:
+        quoted = F.concat_ws(",", *[F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"')) for c in columns])
+        top = f"Prices of the year ({name})\n\n{','.join(headers)}\n"
+        # The rows of a file keep their order; titles and a header lead each file.
+        in_file = Window.partitionBy("file").orderBy("seq")
+        body = part.select("seq", F.pmod("seq", F.lit(8)).alias("file"), quoted.alias("value")).withColumn("first", F.row_number().over(in_file) == 1)
+        body = body.select("file", F.when(F.col("first"), F.concat(F.lit(top), "value")).otherwise(F.col("value")).alias("value"))
+        body.write.partitionBy("file").text(f"{place}/{name}")
+
+    lay_out(rows.where("seq % 2 = 0"), ("part_name", "part_number", "supplier", "bill_no", "total", "qty"),
+            ("Part Name", "Part Number", "Supplier", "Bill No", "Total Amount", "Qty"), "a")
+    lay_out(rows.where("seq % 2 = 1"), ("qty", "bill_no", "total", "part_number", "supplier", "part_name"),
+            ("Quantity", "Invoice No", "Line Total", "Part No.", "Supplier Name", "Particulars of part"), "b")
+    read = [enrich_lines(read_bill_sheet(spark, f"{place}/{name}")) for name in ("a", "b")]
+    return read[0].unionByName(read[1]).select("part_name", "part_number", "npn", "supplier", "bill_no", "total", "qty", "unit")
+
+
+def _stored(spark: SparkSession, folder: str) -> DataFrame:
+    """Seeded, replaced, upserted twice by two writers and compacted: what is left, and whether places are unique."""
+    table = stored_lines(spark, f"{checkpoint_dir(spark)}/stored-{uuid.uuid4().hex}")
+    rows = lines(spark, folder)
+    table.replace(rows.where("seq % 3 = 0"))
+    table.replace(rows.where("seq % 3 <> 0"))
+    table.upsert(rows.where("seq % 5 = 0").withColumn("supplier", F.lit("first")), 0, "stream")
+    table.upsert(rows.where("seq % 10 = 0").withColumn("supplier", F.lit("second")))
+    table.upsert(rows.where("seq % 5 = 0").withColumn("supplier", F.lit("again")), 0, "stream")
+    table.compact()
+    out = table.load()
+    return out.select("id", "supplier", (F.count("*").over(Window.partitionBy("seq")) == 1).alias("own_place"))
+
+
+def _ingest_again(spark: SparkSession, folder: str) -> DataFrame:
+    """The documents in two folders under equal names, judged after every seventh bill was stored."""
+    docs = documents(spark, folder).withColumn("k", F.col("file_name").cast("long"))
+    docs = docs.select(F.concat(F.lit("/in/"), F.col("file_name")).alias("path"), F.lit("bill.txt").alias("file_name"), "text", "k")
+    known = docs.where("k % 7 = 0 and k % 11 <> 0").select(
+        F.concat(F.lit("SUPPLIER "), F.col("k") % 2).alias("supplier"), F.concat(F.lit("B"), F.floor(F.col("k") / 3)).alias("bill_no"), F.lit("/old").alias("path"))
+    out = Q.judge_documents(docs.drop("k"), known)
+    return out.select("path", "status", F.size("errors").alias("n_errors"), F.size("warnings").alias("n_warnings"))
+
+
 def _worklist(spark: SparkSession, folder: str) -> DataFrame:
     c, v = clusters(spark, folder), variants(spark, folder)
     keys = c.where(F.col("make") == "Brand#3").select("key", (F.col("cluster_order.ord_first")).alias("position"))
@@ -204,7 +253,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "a8_categories": lambda s, d: A.usable_by_category(L(s, d)),
         "a9_bands": lambda s, d: A.size_bands(C(s, d)),
         "a10_makes": lambda s, d: A.by_make(L(s, d), C(s, d)),
-        "a11_review": lambda s, d: A.review_queue(enrich_lines(Q.invoice_lines(judged(s, d)).withColumn("seq", F.col("line").cast("long")))),
+        "a11_review": lambda s, d: A.review_queue(enrich_lines(stored_order(Q.invoice_lines(judged(s, d)), "document", "line"))),
         "a12_confidence": lambda s, d: _shown(A.confidence(C(s, d), AS_OF), "as_of"),
         "a13_dispersion": lambda s, d: _shown(A.supplier_dispersion(G(s, d), C(s, d))),
         "a14_agreement": lambda s, d: _shown(A.agreement(C(s, d), V(s, d))),
@@ -212,7 +261,14 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "a16_same_pn": lambda s, d: A.same_part_number(L(s, d)),
         "a17_trend": lambda s, d: A.trend(L(s, d)).drop("first_seq"),
         "w4_trend_points": lambda s, d: A.trend_points(L(s, d)).withColumns({"x": F.round("x", 6), "y": F.round("y", 6)}),
+        "w4_points_all": lambda s, d: A.trend_points(L(s, d), categories=None).withColumns({"x": F.round("x", 6), "y": F.round("y", 6)}),
+        "a17_trend_all": lambda s, d: A.trend(L(s, d), categories=None).drop("first_seq"),
         "a18_normalised": lambda s, d: A.normalised(C(s, d), V(s, d)),
+        "a18_values_all": lambda s, d: A.normalised_values(C(s, d), V(s, d)).select("label", "make", "quotes", "kind", "value", "n"),
+        "l4_benchmark_all": lambda s, d: _shown(A.benchmark_view(C(s, d), least_quotes=1)).select("cluster_id", "label", "make", "n", "med", "avg"),
+        "s1_sheets": _sheets,
+        "s5_store": _stored,
+        "q2_ingest_stored": _ingest_again,
         "a19_coverage": lambda s, d: A.coverage(L(s, d), tuple(f"Brand#{i * 2 + 1}" for i in range(17))),
         "a22_run_report": lambda s, d: Q.run_report(judged(s, d)),
         "a23_batches": lambda s, d: Q.batch_summary(L(s, d), "doc_type"),

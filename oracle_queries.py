@@ -5,7 +5,13 @@ statistics are picked from sorted lists, grouping is a recursive walk in line
 order, and claims are compared with every name.
 """
 
+import dataclasses
+import hashlib
+import json
+
+from pricebench import MatchConfig
 from pricebench.functions import rules
+from pricebench.operators.evidence import NOTE
 from pricebench.sources.star import SUFFIXES
 
 W, T = "0.6::double", "0.65::double"
@@ -298,4 +304,55 @@ def oracles() -> dict[str, str]:
         "l4_benchmark": f"{clusters} SELECT CAST(cluster_id AS VARCHAR) AS cluster_id, label, make, n, med, avg FROM c WHERE n>1",
         "a23_batches": f"{lines} SELECT doc_type AS batch, count(*) AS lines, count(DISTINCT supplier) AS suppliers, count(DISTINCT make) AS makes, count(DISTINCT bill_no) AS bills FROM l GROUP BY doc_type",
     }
+    numtxt = lambda x: f"(CASE WHEN ({x})%1=0 THEN CAST(CAST({x} AS DECIMAL(38,0)) AS VARCHAR) ELSE CAST({x} AS VARCHAR) END)"
+    fields = ("supplier", "bill_no", "npn", "part_name", "unit", "qty", "grade", "unit_basis")
+    row = "concat_ws(chr(1)," + ",".join(f"CAST({c} AS VARCHAR)" for c in fields) + ",'unknown','false')"
+    config = hashlib.sha256(json.dumps(dataclasses.asdict(MatchConfig()), sort_keys=True).encode()).hexdigest()[:8]
+    snapshot = (f"sn AS (SELECT 'BENCH-'||substr(sha256(count(*)||':'||CAST(sum(CAST(('0x'||substr(sha256({row}),1,15)) AS BIGINT)) AS VARCHAR)),1,8)||'-{config}' AS snapshot_id FROM l)")
+    models = ("ml AS (SELECT cluster_id, string_agg(model,' | ' ORDER BY f) AS models FROM (SELECT cluster_id, model, min(mr) AS f FROM g WHERE model NOT IN ('','—') GROUP BY ALL) GROUP BY cluster_id)")
+    held = (" SELECT bn AS bill_no, arg_min(sup,k) AS supplier, arg_min('extracted lines sum S$'||" + numtxt("s") + "||' but printed parts subtotal is S$'||" + numtxt("st")
+            + "||' (diff S$'||" + numtxt(fx("(s-st)", 2)) + "||') — lines may be missing or misread',k) AS reason, CAST(sum(n) AS BIGINT) AS n FROM j WHERE status='review' GROUP BY bn")
+    again = (ingest.replace("THEN 'duplicate' ", "OR (bn<>'' AND EXISTS (SELECT 1 FROM e e2 WHERE e2.k%7=0 AND e2.k%11<>0 AND e2.sup=f.sup AND 'b'||(e2.k//3)=f.bn)) THEN 'duplicate' "))
+    pts = ("r AS (SELECT min(bill_dt) AS a, max(bill_dt) AS b FROM d), k AS (SELECT cat, min(unit) AS lo, max(unit) AS hi FROM d GROUP BY cat HAVING count(*)>=3) "
+           "SELECT id, cat, bill_dt, unit, round(((bill_dt-a)/(b-a)*96+2)::double,6) AS x, round((90.0::double-(unit-lo)/(hi-lo)*80)::double,6) AS y FROM d JOIN k USING (cat), r")
+    facts = [("Claim reference", "claim_ref"), ("Generated", "'2001-08-02'"), ("Generated by", "'pricebench'"), ("Benchmark snapshot", "(SELECT snapshot_id FROM sn)"),
+             ("Reference dataset", f"(SELECT count(DISTINCT bill_no)||' invoices · '||count(*) FILTER ({part})||' usable supplier-part lines' FROM l)"),
+             ("Matching mode", q(MatchConfig().mode_label())), ("Similarity threshold", "'0.65'"), ("Token weight", "'0.6'"), ("Same make required", "'yes'"), ("Same model required", "'no'"),
+             ("Grades kept separate", "'yes'"), ("Front/rear kept separate", "'yes (always)'"), ("LH/RH kept separate", "'no'"), ("Min quotes for reliable spread", "'4'"),
+             ("Inflation flag threshold", "'+30% over median'"), ("Lines assessed", "CAST(lines AS VARCHAR)"), ("Lines matched to a benchmark", "CAST(matched AS VARCHAR)"),
+             ("Quoted total (matched lines), S$", numtxt("quoted_total")), ("Benchmark total (matched lines), S$", numtxt("benchmark_total")), ("Potential over-claim, S$", numtxt("over_claim")),
+             ("Lines flagged", "CAST(flagged AS VARCHAR)"), ("Lines above statistical bound (Q3 + 1.5·IQR)", "CAST(above_bound AS VARCHAR)"), ("Note", q(NOTE))]
+    claim_totals = out["a20_totals"].split("SELECT claim_ref, count(*) AS lines", 1)
+    listed = ", ".join("{'position':" + str(i + 1) + ",'field':" + q(f) + ",'value':" + v + "}" for i, (f, v) in enumerate(facts))
+    out |= {
+        "s3_invoice_lines": ingest + " SELECT bn AS bill_no, part_name, npn, qty, unit, total, status='review' AS review FROM j JOIN l ON CAST(substr(l.bill_no,2) AS BIGINT)=k WHERE status IN ('done','review')",
+        "a11_review": ingest + held,
+        "q6_fingerprint": f"{lines}, {snapshot} SELECT snapshot_id FROM sn",
+        "k2_lines": f"{clusters}, {ASSESS}, {models} SELECT claim_ref, line_no AS line, pn AS part_no, fin.name AS description, quoted, how AS matched_via, CASE WHEN how<>'no match' THEN score END AS match_score, "
+                    "coalesce(c.label,'no match') AS benchmark, c.make, CASE WHEN c.model_mixed THEN models ELSE c.model END AS model, "
+                    "CASE WHEN cid IS NOT NULL THEN CASE WHEN c.bridged THEN 'name-bridged (≈)' ELSE 'part number' END END AS cluster_basis, c.grade, c.unit_basis, CASE WHEN cid IS NOT NULL THEN fin.n END AS quotes, "
+                    f"c.n_suppliers AS suppliers, bench AS median, CASE WHEN cid IS NOT NULL THEN {numtxt('c.q1')}||'-'||{numtxt('c.q3')} END AS iqr_band, upper_bound, CASE WHEN above_bound THEN 'YES' END AS above_bound, "
+                    "c.min_unit AS evidence_min, c.max_unit AS evidence_max, CASE WHEN cid IS NOT NULL THEN CASE WHEN c.n_dated=0 THEN '—' WHEN c.n_dated=1 THEN strftime(c.first_date,'%d/%m/%Y') "
+                    "ELSE strftime(c.first_date,'%d/%m/%Y')||' – '||strftime(c.last_date,'%d/%m/%Y') END END AS evidence_dates, over AS variance, over_pct AS variance_pct, CASE WHEN flagged THEN 'YES' END AS flagged "
+                    "FROM fin LEFT JOIN c ON c.cluster_id=cid LEFT JOIN ml ON ml.cluster_id=cid",
+        "a24_summary": f"{claim_totals[0]}, {snapshot}, tt AS (SELECT claim_ref, count(*) AS lines{claim_totals[1]}), un AS (SELECT claim_ref, unnest([{listed}]) AS x FROM tt) "
+                       "SELECT claim_ref, x.position AS position, x.field AS field, x.value AS value FROM un",
+        # The list is full of pairs of 0.9 and more on any of the given tables, so the statement looks no lower.
+        "v1_pairs": f"{lines}, p AS (SELECT * FROM l WHERE {part}), nn AS (SELECT *, {TOKENS} FROM (SELECT DISTINCT part_name, {features('part_name').split(', CASE')[0]} FROM p)), "
+                    "pn AS (SELECT p.*, nn.nn, nn.tk FROM p JOIN nn USING (part_name)), nd AS (SELECT DISTINCT make, nn, tk FROM pn WHERE nn<>''), "
+                    f"sc AS (SELECT x.make, x.nn AS an, y.nn AS bn, {sim('x', 'y')} AS s FROM nd x JOIN nd y ON x.make=y.make WHERE {sim('x', 'y')}>=0.9::double), "
+                    "pr AS (SELECT s, a.seq AS i, b.seq AS j, a.npn<>'' AND a.npn=b.npn AS twin FROM sc JOIN pn a ON a.make=sc.make AND a.nn=sc.an JOIN pn b ON b.make=sc.make AND b.nn=sc.bn AND a.seq<b.seq), "
+                    "top AS (SELECT *, row_number() OVER (ORDER BY s DESC, i, j) AS pair_id FROM pr QUALIFY pair_id<=600) "
+                    f"SELECT CAST(pair_id AS INTEGER) AS pair_id, {fx('s', 4)} AS similarity, CASE WHEN twin THEN 'y (auto)' ELSE '' END AS label, a.part_name AS part_name_a, a.part_number AS part_number_a, a.supplier AS supplier_a, a.unit AS unit_a, "
+                    "b.part_name AS part_name_b, b.part_number AS part_number_b, b.supplier AS supplier_b, b.unit AS unit_b, a.make, a.cat AS category_a, b.cat AS category_b FROM top JOIN l a ON a.seq=i JOIN l b ON b.seq=j",
+        "w4_points_all": f"{lines}, d AS (SELECT * FROM l WHERE {part}), " + pts,
+        "a17_trend_all": out["a17_trend"].replace(" LIMIT 6", ""),
+        "a18_values_all": f"{clusters}, w AS (SELECT cluster_id, 'name' AS kind, part_name AS value FROM g UNION ALL SELECT cluster_id, 'pn', npn FROM g WHERE npn<>'') "
+                          "SELECT label, make, c.n AS quotes, kind, value, count(*) AS n FROM c JOIN w USING (cluster_id) WHERE n_names>1 OR n_pns>1 GROUP BY c.cluster_id, label, make, c.n, kind, value",
+        "l4_benchmark_all": f"{clusters} SELECT CAST(cluster_id AS VARCHAR) AS cluster_id, label, make, n, med, avg FROM c",
+        "s1_sheets": f"{lines} SELECT part_name, part_number, npn, supplier, bill_no, total, qty, unit FROM l",
+        "s5_store": f"{lines} SELECT id, CASE WHEN seq%10=0 THEN 'second' WHEN seq%5=0 THEN 'again' ELSE supplier END AS supplier, true AS own_place FROM l WHERE seq%3<>0 OR seq%5=0",
+        "q2_ingest_stored": again + " SELECT '/in/'||file_name AS path, status, CAST(CASE WHEN good THEN 0 ELSE 1 END AS INTEGER) AS n_errors, "
+                            "CAST(CASE WHEN NOT good THEN 0 ELSE (bn='')::INT + (k%13=0)::INT END AS INTEGER) AS n_warnings FROM j",
+    }
     return out

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import types as T
 
+# Names of the text fields of a line as it arrives.
 RAW_TEXT = ("supplier", "bill_no", "bill_date", "make", "model", "doc_type", "part_name", "part_number")
 
 # M1: a line as it arrives; everything may be missing.
@@ -18,6 +19,7 @@ RAW_LINE = T.StructType(
 
 # M2: the stored dataset.  ``seq`` is the total order of lines that grouping
 # follows and ``bill_dt`` the parsed date; both are additions to the 21 stored fields.
+# Names of the stored fields.
 PART_COLUMNS = (
     "id", "bill_no", "supplier", "bill_date", "make", "model", "part_name", "part_number", "npn", "cat",
     "qty", "unit", "total", "ltype", "doc_type", "src", "grade", "unit_basis", "gst", "review", "review_reason",
@@ -34,7 +36,7 @@ PART_LINE = T.StructType(
     + [T.StructField("seq", T.LongType()), T.StructField("bill_dt", T.DateType())]
 )
 
-# M8: one event of the activity log; ``detail`` is JSON text at rest.
+# M8: one event of the activity log; ``detail`` is JSON text at rest.  Fixed values: its field names.
 ACTIVITY = T.StructType(
     [T.StructField(c, T.StringType()) for c in ("id", "ts", "kind", "action", "message", "source")]
     + [T.StructField("count", T.LongType()), T.StructField("status", T.StringType()), T.StructField("detail", T.StringType())]

@@ -23,20 +23,16 @@ FIRST_SLICE = 16_384
 GROWTH = 4
 # A slice whose inner join would look at more pairs than this is split.
 PAIR_BUDGET = 2_000_000_000
-MAX_ROUNDS = 10_000
 
 
-def followers_of(edges: DataFrame, max_rounds: int = MAX_ROUNDS) -> DataFrame | None:
+def followers_of(edges: DataFrame) -> DataFrame | None:
     """Vertices that are not leaders in a graph of edges (``hi``, ``lo``), ``lo`` earlier.
 
     Each round settles the vertices without an undecided earlier neighbour (they
-    lead) and everything next to them (it follows).  Raises instead of
-    returning a partial answer.
+    lead) and everything next to them (it follows), so the rounds end by themselves.
     """
     found, rest = None, edges
-    for _ in range(max_rounds):
-        if rest.isEmpty():
-            return found
+    while not rest.isEmpty():
         roots = rest.select("lo").distinct().join(
             rest.select(F.col("hi").alias("lo")).distinct(), "lo", "left_anti"
         )
@@ -44,7 +40,7 @@ def followers_of(edges: DataFrame, max_rounds: int = MAX_ROUNDS) -> DataFrame |
         gone = new.withColumnRenamed("hi", "lo")
         rest = cut_lineage(rest.join(new, "hi", "left_anti").join(gone, "lo", "left_anti"))
         found = new if found is None else found.unionByName(new)
-    raise RuntimeError(f"grouping did not settle within {max_rounds} rounds")
+    return found
 
 
 def _slices(vertices: DataFrame, total: int, first: int) -> list[tuple]:

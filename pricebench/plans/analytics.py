@@ -226,12 +226,15 @@ def order_by_any(df: DataFrame, column: str, descending: bool = False) -> DataFr
 # ---- the eight views --------------------------------------------------------------------
 
 
-def benchmark_view(clusters: DataFrame) -> DataFrame:
-    """Median benchmark, F4/L4: parts with two or more quotes, or 25 single ones if there are none."""
-    ready = clusters.where("n > 1")
+def benchmark_view(clusters: DataFrame, least_quotes: int = 2, fallback: int | None = 25) -> DataFrame:
+    """Median benchmark, F4/L4: parts with two or more quotes, or ``fallback`` (None: all) single ones if there are none.
+
+    ``least_quotes=1`` shows every part.
+    """
+    ready = clusters.where(F.col("n") >= least_quotes)
     none_ready = ready.agg(F.count(F.lit(1)) == 0).scalar()
-    few = in_cluster_order(clusters).limit(25).where(none_ready)
-    return in_cluster_order(ready.unionByName(few))
+    few = clusters if fallback is None else in_cluster_order(clusters).limit(fallback)
+    return in_cluster_order(ready.unionByName(few.where(none_ready)))
 
 
 def top_benchmarks(clusters: DataFrame, count: int = 10) -> DataFrame:
@@ -357,6 +360,7 @@ def same_part_number_quotes(lines: DataFrame) -> DataFrame:
     return lines.join(keys, "npn").select("npn", "n_bills", "identical_price", "supplier", "unit", "bill_no", "bill_date", "seq")
 
 
+#: Categories of a trend report by default; an argument, None means all.
 TREND_CATEGORIES = 6
 
 
@@ -364,29 +368,28 @@ def _dated(lines: DataFrame, exclude_review: bool) -> DataFrame:
     return _supplier_parts(lines, exclude_review).where(F.col("bill_dt").isNotNull())
 
 
-def trend(lines: DataFrame, exclude_review: bool = False) -> DataFrame:
-    """The six categories with most dated lines (three at least)."""
+def trend(lines: DataFrame, exclude_review: bool = False, categories: int | None = TREND_CATEGORIES) -> DataFrame:
+    """The ``categories`` with most dated lines (three at least)."""
     dated = _dated(lines, exclude_review)
     stats = dated.groupBy("cat").agg(
         F.count(F.lit(1)).alias("n"), F.min("unit").alias("min_unit"), F.max("unit").alias("max_unit"),
         F.min("seq").alias("first_seq"),
     )
-    top = stats.where("n >= 3").orderBy(F.col("n").desc(), "first_seq").limit(TREND_CATEGORIES)
-    medians = grouped_quantiles(
-        dated.join(F.broadcast(top.select("cat")), "cat", "left_semi"), ["cat"], "unit", {"med": 0.5}
-    )
+    top = stats.where("n >= 3").orderBy(F.col("n").desc(), "first_seq")
+    if categories is not None:
+        top = top.limit(categories)
+    medians = grouped_quantiles(dated.join(top.select("cat"), "cat", "left_semi"), ["cat"], "unit", {"med": 0.5})
     return top.join(medians, "cat").select("cat", "n", "min_unit", "max_unit", to_fixed(F.col("med"), 0).alias("med"), "first_seq").orderBy(
         F.col("n").desc(), "first_seq"
     )
 
 
-def trend_points(lines: DataFrame, exclude_review: bool = False) -> DataFrame:
+def trend_points(lines: DataFrame, exclude_review: bool = False, categories: int | None = TREND_CATEGORIES) -> DataFrame:
     """Where each line of a trend category sits: date on 2..98, price on 90..10."""
     dated = _dated(lines, exclude_review)
     span = dated.agg(F.min("bill_dt").alias("a"), F.max("bill_dt").alias("b"))
     first, last = span.select("a").scalar(), span.select("b").scalar()
-    # Six rows at most.
-    top = F.broadcast(trend(lines, exclude_review).select("cat", "min_unit", "max_unit"))
+    top = trend(lines, exclude_review, categories).select("cat", "min_unit", "max_unit")
     days = F.coalesce(F.nullif(F.date_diff(last, first), F.lit(0)), F.lit(1))
     price_range = F.coalesce(F.nullif(F.col("max_unit") - F.col("min_unit"), F.lit(0.0)), F.lit(1.0))
     return dated.join(top, "cat").select(
@@ -396,13 +399,23 @@ def trend_points(lines: DataFrame, exclude_review: bool = False) -> DataFrame:
     )
 
 
+#: Parts of the normalisation report by default; an argument, None means all.
 NORMALISED_ROWS = 30
 
 
-def normalised(clusters: DataFrame, variants: DataFrame) -> DataFrame:
-    """The first 30 parts that unified several names or part numbers."""
-    top = in_cluster_order(clusters.where("n_names > 1 or n_pns > 1")).limit(NORMALISED_ROWS)
-    theirs = variants.join(F.broadcast(top.select("cluster_id")), "cluster_id", "left_semi")
+def normalised_values(clusters: DataFrame, variants: DataFrame) -> DataFrame:
+    """A18 in long form: one row per part that unified several names or numbers, and name or number, in member order."""
+    unified = clusters.where("n_names > 1 or n_pns > 1").select("cluster_id", "cluster_order", F.col("n").alias("quotes"), "label", "make")
+    return unified.join(variants.where(F.col("kind").isin("name", "pn")), "cluster_id").select(
+        "cluster_id", "cluster_order", "quotes", "label", "make", "kind", "value", "first_rank", "n")
+
+
+def normalised(clusters: DataFrame, variants: DataFrame, rows: int | None = NORMALISED_ROWS) -> DataFrame:
+    """The first parts that unified several names or part numbers, each with its lists in a cell."""
+    top = in_cluster_order(clusters.where("n_names > 1 or n_pns > 1"))
+    if rows is not None:
+        top = top.limit(rows)
+    theirs = variants.join(top.select("cluster_id"), "cluster_id", "left_semi")
     return in_cluster_order(
         top.join(variant_list(theirs, "name", "names"), "cluster_id").join(variant_list(theirs, "pn", "pns"), "cluster_id", "left")
     ).select(
