@@ -42,6 +42,8 @@ class Pieces(dict):
     what is used again comes back.
     """
 
+    most = REMEMBERED
+
     def __init__(self, ranks: dict[bytes, int], whole: PerfectHash):
         super().__init__()
         self.whole, self.older = whole, {}
@@ -60,7 +62,7 @@ class Pieces(dict):
     def __missing__(self, piece: str) -> bytes:
         packed = self.older.get(piece) or self.pack(self.ids_of(piece.encode()))
         if len(piece) <= REMEMBERED_CHARS:
-            if len(self) >= REMEMBERED:
+            if len(self) >= self.most:
                 self.older = dict(self)
                 self.clear()
             self[piece] = packed
@@ -70,9 +72,11 @@ class Pieces(dict):
 class Encoder:
     """``specials``: strings that are one id wherever they stand in a text."""
 
-    def __init__(self, path: str, pattern: str, specials: dict[str, int] | None = None):
-        ranks = load_ranks(path)
-        self.pieces = Pieces(ranks, PerfectHash(ranks))
+    def __init__(self, path: str, pattern: str, specials: dict[str, int] | None = None, pieces: Pieces | None = None):
+        if pieces is None:
+            ranks = load_ranks(path)
+            pieces = Pieces(ranks, PerfectHash(ranks))
+        self.pieces = pieces
         self.split = splitter(pattern)
         self.specials = {s: np.array([i], "<u4").tobytes() for s, i in (specials or {}).items()}
         # Of two that match at one place the longer one counts.

@@ -45,7 +45,7 @@ _COLUMNS = 4096  # shingles hashed at a time, so that very long texts take no mo
 
 class _Words(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 200_000:
+        if len(self) >= 60_000:
             self.clear()
         self[word] = h = xxhash.xxh3_64_intdigest(word)
         return h

@@ -28,7 +28,7 @@ import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from pricebench.llm.byte_bpe import TIKTOKEN_FILE, Encoder, Pieces, load_ranks
+from pricebench.llm.byte_bpe import TIKTOKEN_FILE, Encoder, Pieces, encoder, load_ranks
 from pricebench.llm.common import cut_lineage, text_batches
 
 WINDOW, QUANTUM, LANE_TOKENS = 2048, 256, 1 << 20
@@ -41,23 +41,23 @@ _LONG = 400
 
 
 class _LibraryPieces(Pieces):
-    """Pre-tokens that are not whole tokens are merged by the library, very long ones by the heap."""
+    """Pre-tokens are looked up and merged by the library, very long ones by the heap."""
 
-    def __init__(self, ranks, whole, library):
-        super().__init__(ranks, whole)
-        self.library = library
+    most = 60_000
+
+    def __init__(self, path: str):
+        self.path, self.older = path, {}
+        self.library = tiktoken.Encoding("packing", pat_str=public_tokenizers.PATTERN, mergeable_ranks=load_ranks(path), special_tokens={})
 
     def ids_of(self, piece: bytes) -> list[int]:
-        return self.library(piece) if len(piece) < _LONG else super().ids_of(piece)
+        if len(piece) < _LONG:
+            return self.library._encode_single_piece(piece)
+        return encoder(self.path, public_tokenizers.PATTERN).pieces.ids_of(piece)
 
 
 @functools.lru_cache(maxsize=2)
 def _encoder(path: str) -> Encoder:
-    own = Encoder(path, public_tokenizers.PATTERN, SPECIALS)
-    ranks = load_ranks(path)
-    library = tiktoken.Encoding("packing", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    own.pieces = _LibraryPieces(ranks, own.pieces.whole, library._encode_single_piece)
-    return own
+    return Encoder(path, public_tokenizers.PATTERN, SPECIALS, _LibraryPieces(path))
 
 
 def _queued(path: str):
