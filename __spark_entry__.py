@@ -21,19 +21,20 @@ from oracle_queries import oracles  # noqa: E402
 from pricebench import MatchConfig  # noqa: E402
 from pricebench.functions.similarity import with_name_features  # noqa: E402
 from pricebench.operators import quality as Q  # noqa: E402
-from pricebench.operators.assess import assess, totals  # noqa: E402
+from pricebench.functions import parts as P  # noqa: E402
+from pricebench.operators.assess import assess, parse_claims, totals  # noqa: E402
 from pricebench.operators.clusters import build_clusters, cluster_variants, in_cluster_order  # noqa: E402
-from pricebench.operators.enrich import enrich_lines  # noqa: E402
-from pricebench.operators.evaluate import printed_sweep, sweep  # noqa: E402
+from pricebench.operators.enrich import enrich_lines, upgrade_lines  # noqa: E402
+from pricebench.operators.evaluate import operating_points, printed_sweep, sweep  # noqa: E402
 from pricebench.operators.evidence import evidence_table, line_table, summary_table, worklist  # noqa: E402
 from pricebench.operators.fingerprint import snapshot_id  # noqa: E402
-from pricebench.operators.grouping import assign_clusters  # noqa: E402
+from pricebench.operators.grouping import assign_clusters, usable  # noqa: E402
 from pricebench.operators.pairs import candidate_pairs  # noqa: E402
 from pricebench.plans import analytics as A  # noqa: E402
 from pricebench.operators.ordering import stored_order  # noqa: E402
 from pricebench.session import checkpoint_dir, cut_lineage  # noqa: E402
 from pricebench.sources.star import raw_lines, read_table  # noqa: E402
-from pricebench.sources.store import keep_newest, last_per_id, line_table as stored_lines, newest_events, normal_events  # noqa: E402
+from pricebench.sources.store import append_lines, keep_newest, last_per_id, line_table as stored_lines, newest_events, normal_events  # noqa: E402
 from pricebench.sources.tabular import read_bill_sheet  # noqa: E402
 
 try:
@@ -176,6 +177,66 @@ def _labelled(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select(F.col("part_name").alias("part_name_a"), F.col("b.part_name").alias("part_name_b"), F.when(same, "y").otherwise("n").alias("label"))
 
 
+def _written(spark: SparkSession, folder: str) -> DataFrame:
+    """What bills write in other ways: makes, makes told by part numbers, tax, dates, models, amounts."""
+    part = read_table(spark, folder, "part")
+    k = F.col("p_partkey")
+    written = F.element_at(F.array(*[F.lit(m) for m in ("toyota ", "MERC", "vw", "B.M.W.", "Unknown", "", "Mercedes Benz", "kia", "Acme")]), (k % 9 + 1).cast("int"))
+    number = F.concat(F.element_at(F.array(*[F.lit(m) for m in ("MBN-", "hy ", "8K", "VN9", "M93", "MK1", "t12345", "513", "zz")]), (k % 7 + k % 3 + 1).cast("int")), k.cast("string"))
+    npn = P.normal_part_number(number)
+    gst = F.element_at(F.array(F.lit("INCL"), F.lit("excl"), F.lit("maybe"), F.lit("")), (k % 4 + 1).cast("int"))
+    model = F.concat(F.col("p_type"), F.when(k % 2 == 0, " (old)").otherwise(""))
+    amount = F.concat(F.lit("S$ "), F.format_number(k * 1.5, 2))
+    date = F.when(k % 3 == 0, F.lit("dated 2021-02-31")).when(k % 3 == 1, F.concat((k % 28 + 1).cast("string"), F.lit("/2/21"))).otherwise("none")
+    doc = F.when(k % 3 == 0, "Labour bill").when(k % 3 == 1, "repair ESTIMATE").otherwise("")
+    return part.select(
+        "p_partkey", npn.alias("npn"), P.canonical_make(written).alias("canonical"), P.make_of(npn, written).alias("make"), P.gst_of(gst).alias("gst"),
+        P.model_key(model).alias("model"), P.money(amount).alias("amount"), P.bill_date_of(date).alias("bill_dt"), P.line_type(doc, F.lit("Other")).alias("ltype"))
+
+
+def _claim_lines(spark: SparkSession, folder: str) -> DataFrame:
+    rows = claims(spark, folder)
+    price = F.col("quoted").cast("decimal(18,2)").cast("string")
+    two = F.concat("name", F.lit(" | S$"), price)
+    four = F.concat_ws("\t", F.when(F.col("part_no") == "", "none").otherwise(F.col("part_no")), "name", price, "make")
+    return parse_claims(rows.select("claim_ref", "line_no", F.when(F.col("line_no") % 2 == 0, two).otherwise(four).alias("value")))
+
+
+def _upgraded(spark: SparkSession, folder: str) -> DataFrame:
+    """Lines as an older writer left them: without category, grade, basis and type, prices as text."""
+    old = lines(spark, folder).select("id", "seq", "part_name", "part_number", "supplier", "bill_no", "doc_type", F.col("qty").cast("string").alias("qty"),
+                                      F.lit(0.0).alias("unit"), F.col("total").cast("decimal(18,2)").cast("string").alias("total"),
+                                      F.when(F.col("seq") % 2 == 0, F.col("make")).otherwise("Unknown").alias("make"))
+    return upgrade_lines(old).select("id", "make", "npn", "cat", "ltype", "qty", "unit", "total", "grade", "unit_basis", "gst", "review")
+
+
+def _held(spark: SparkSession, folder: str) -> DataFrame:
+    """Lines of which every seventh bill is held for review."""
+    held = F.substring("bill_no", 2, 20).cast("long") % 7 == 1
+    return lines(spark, folder).withColumns({"review": held, "review_reason": F.when(held, "check").otherwise(""),
+                                             "supplier": F.concat(F.lit("Supplier#"), (F.substring("bill_no", 2, 20).cast("long") % 3).cast("string"))})
+
+
+def printed_points(spark: SparkSession, folder: str) -> DataFrame:
+    return operating_points(printed_sweep(sweep(_labelled(spark, folder))), 0.5)
+
+
+def _to_read(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents that neither the log knows nor the reader finds too large."""
+    docs = documents(spark, folder).select("file_name", (F.col("file_name").cast("long") % 2000).alias("length"), F.sha2("text", 256).alias("sha256"))
+    log = docs.where(F.col("file_name").cast("long") % 3 == 0).select("sha256", F.when(F.col("file_name").cast("long") % 2 == 0, "failed").otherwise("done").alias("status"))
+    fresh, large = Q.to_process(docs, log, retry_failed=True, max_bytes=1000)
+    return fresh.select("file_name", F.lit("read").alias("verdict")).unionByName(large.select("file_name", F.col("status").alias("verdict")))
+
+
+def _findings(spark: SparkSession, folder: str) -> DataFrame:
+    """Every error and warning of every document, one per row."""
+    rows = judged(spark, folder)
+    both = F.concat(F.transform("errors", lambda e: F.struct(F.lit("error").alias("kind"), e.alias("text"))),
+                    F.transform("warnings", lambda e: F.struct(F.lit("warning").alias("kind"), e.alias("text"))))
+    return rows.select("file_name", F.inline(both))
+
+
 def _sheets(spark: SparkSession, folder: str) -> DataFrame:
     """Every line written to CSV files of two layouts, titles above the headers, and read back."""
     rows = lines(spark, folder).select("seq", "part_name", "part_number", "supplier", "bill_no", F.col("total").cast("decimal(18,2)").cast("string").alias("total"), F.col("qty").cast("int").cast("string").alias("qty"))
@@ -266,6 +327,18 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "a18_normalised": lambda s, d: A.normalised(C(s, d), V(s, d)),
         "a18_values_all": lambda s, d: A.normalised_values(C(s, d), V(s, d)).select("label", "make", "quotes", "kind", "value", "n"),
         "l4_benchmark_all": lambda s, d: _shown(A.benchmark_view(C(s, d), least_quotes=1)).select("cluster_id", "label", "make", "n", "med", "avg"),
+        "e_written": _written,
+        "e22_claim_lines": _claim_lines,
+        "s16_upgraded": _upgraded,
+        "q4_accepted": lambda s, d: Q.accept_bill(_held(s, d), "Supplier#1", "B1").select("id", "review", "review_reason"),
+        "q5_discarded": lambda s, d: Q.discard_bill(_held(s, d), "Supplier#1", "B1").select("id", "review"),
+        "f1_usable_held": lambda s, d: usable(_held(s, d)).select("id", "ltype"),
+        "f5_by_kind": lambda s, d: newest_events(normal_events(events(s, d)), None, "click").select("id", "kind", "count"),
+        "u1_appended": lambda s, d: append_lines(L(s, d).select("id", "make", "total"), L(s, d).where("seq % 2 = 0").select("id", "total")),
+        "u3_options": lambda s, d: A.distinct_options(L(s, d), "model", F.col("make") == "Brand#7"),
+        "v3_points": lambda s, d: printed_points(s, d),
+        "f11_to_read": _to_read,
+        "q1_findings": _findings,
         "s1_sheets": _sheets,
         "s5_store": _stored,
         "q2_ingest_stored": _ingest_again,

@@ -350,6 +350,32 @@ def oracles() -> dict[str, str]:
         "a18_values_all": f"{clusters}, w AS (SELECT cluster_id, 'name' AS kind, part_name AS value FROM g UNION ALL SELECT cluster_id, 'pn', npn FROM g WHERE npn<>'') "
                           "SELECT label, make, c.n AS quotes, kind, value, count(*) AS n FROM c JOIN w USING (cluster_id) WHERE n_names>1 OR n_pns>1 GROUP BY c.cluster_id, label, make, c.n, kind, value",
         "l4_benchmark_all": f"{clusters} SELECT CAST(cluster_id AS VARCHAR) AS cluster_id, label, make, n, med, avg FROM c",
+        "e_written": """WITH k AS (SELECT p_partkey, p_type, ['toyota ','MERC','vw','B.M.W.','Unknown','','Mercedes Benz','kia','Acme'][p_partkey%9+1] AS w,
+             ['MBN','HY','8K','VN9','M93','MK1','T12345','513','ZZ'][p_partkey%7+p_partkey%3+1]||p_partkey AS raw FROM part),
+             n AS (SELECT *, regexp_replace(raw,'9{3,}$','') AS npn FROM k),
+             c AS (SELECT *, CASE trim(w) WHEN 'toyota' THEN 'Toyota' WHEN 'MERC' THEN 'Mercedes-Benz' WHEN 'vw' THEN 'Volkswagen' WHEN 'B.M.W.' THEN 'BMW' WHEN 'Unknown' THEN 'Unknown'
+               WHEN '' THEN 'Unknown' WHEN 'Mercedes Benz' THEN 'Mercedes-Benz' WHEN 'kia' THEN 'Kia' ELSE 'Acme' END AS canonical FROM n)
+             SELECT p_partkey, npn, canonical, CASE WHEN canonical<>'Unknown' THEN canonical WHEN npn LIKE 'MBN%' THEN 'Mercedes-Benz' WHEN npn LIKE 'HY%' THEN 'Hyundai' WHEN npn LIKE '8K%' THEN 'Audi'
+               WHEN npn LIKE 'VN9%' THEN 'Volkswagen' WHEN npn LIKE '513%' THEN 'BMW' WHEN npn LIKE 'M93%' THEN 'Chevrolet' WHEN npn LIKE 'MK1%' THEN 'Mitsubishi Fuso' WHEN npn LIKE 'T12345%' THEN 'Toyota' ELSE 'Unknown' END AS make,
+             CASE p_partkey%4 WHEN 0 THEN 'incl' WHEN 1 THEN 'excl' ELSE 'unknown' END AS gst, lower(p_type) AS model, p_partkey*1.5::double AS amount,
+             CASE p_partkey%3 WHEN 0 THEN DATE '2021-03-03' WHEN 1 THEN make_date(2021,2,p_partkey%28+1) END AS bill_dt,
+             CASE p_partkey%3 WHEN 0 THEN 'Labour' WHEN 1 THEN 'Repair Estimate' ELSE 'Supplier Part' END AS ltype FROM c""",
+        "e22_claim_lines": f"{lines}, {CLAIMS} SELECT claim_ref, line_no, CASE WHEN line_no%2=0 THEN '' WHEN part_no='' THEN 'none' ELSE part_no END AS part_no, "
+                           "name, round(quoted,2) AS quoted, CASE WHEN line_no%2=0 THEN '' ELSE make END AS make FROM cl",
+        "s16_upgraded": f"{lines} SELECT id, CASE WHEN seq%2=0 THEN make ELSE 'Unknown' END AS make, npn, cat, ltype, qty, unit, total, grade, unit_basis, 'unknown' AS gst, false AS review FROM l",
+        "q4_accepted": f"{lines}, h AS (SELECT *, CAST(substr(bill_no,2) AS BIGINT) AS k FROM l) SELECT id, k%7=1 AND k<>1 AS review, CASE WHEN k%7=1 AND k<>1 THEN 'check' ELSE '' END AS review_reason FROM h",
+        "q5_discarded": f"{lines}, h AS (SELECT *, CAST(substr(bill_no,2) AS BIGINT) AS k FROM l) SELECT id, k%7=1 AS review FROM h WHERE k<>1",
+        "f1_usable_held": f"{lines} SELECT id, ltype FROM l WHERE {part} AND CAST(substr(bill_no,2) AS BIGINT)%7<>1",
+        "f5_by_kind": "SELECT event_id AS id, event_type AS kind, CAST(trunc(value) AS BIGINT) AS count FROM events WHERE event_type='click'",
+        "u1_appended": f"{lines} SELECT id, make, total FROM l UNION ALL SELECT id, NULL, total FROM l WHERE seq%2=0",
+        "u3_options": f"{lines} SELECT DISTINCT model FROM l WHERE make='Brand#7'",
+        "v3_points": f"WITH cells AS ({out['v2_sweep']}) SELECT * FROM (SELECT 'best f1' AS point, * FROM cells ORDER BY f1 DESC, token_weight, threshold LIMIT 1) "
+                     "UNION ALL SELECT * FROM (SELECT 'precision >= 0.5' AS point, * FROM cells WHERE precision>=0.5 ORDER BY recall DESC, token_weight, threshold LIMIT 1)",
+        "f11_to_read": ingest + ", x AS (SELECT *, CASE WHEN good THEN k%3=0 AND k%2=1 ELSE (SELECT count(*)>0 FROM e WHERE NOT good AND k%3=0 AND k%2=1) END AS known FROM j) "
+                       "SELECT file_name, CASE WHEN k%2000>1000 THEN 'failed' ELSE 'read' END AS verdict FROM x WHERE k%2000>1000 OR NOT known",
+        "q1_findings": ingest + " SELECT file_name, 'error' AS kind, 'response is not a JSON object' AS text FROM j WHERE NOT good "
+                       "UNION ALL SELECT file_name, 'warning', 'bill_no is empty — duplicate detection is impossible for this bill' FROM j WHERE good AND bn='' "
+                       "UNION ALL SELECT file_name, 'warning', 'doc_type \"Receipt\" is not in the schema — coerced to \"Tax Invoice\"' FROM j WHERE good AND k%13=0",
         "s1_sheets": f"{lines} SELECT part_name, part_number, npn, supplier, bill_no, total, qty, unit FROM l",
         "s5_store": f"{lines} SELECT id, CASE WHEN seq%10=0 THEN 'second' WHEN seq%5=0 THEN 'again' ELSE supplier END AS supplier, true AS own_place FROM l WHERE seq%3<>0 OR seq%5=0",
         "q2_ingest_stored": again + " SELECT '/in/'||file_name AS path, status, CAST(CASE WHEN good THEN 0 ELSE 1 END AS INTEGER) AS n_errors, "
