@@ -195,3 +195,12 @@ def extract(pages: DataFrame, column: str = "html", out: str = "text") -> DataFr
 def op1_main_text(spark: SparkSession, folder: str) -> DataFrame:
     pages = spark.read.parquet(f"{folder}/pages.parquet").select("page_id", "url", "html")
     return extract(pages).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+#: What the pages of the given tables show as their article, whose text is in h1 and p; a page of another make has no such statement.
+ORACLE = """
+WITH a AS (SELECT page_id, url, regexp_extract(html, '<article>(.*?)(</article>|$)', 1, 's') t FROM pages),
+b AS (SELECT page_id, url, list_filter(list_transform(string_split_regex(regexp_replace(regexp_replace(replace(t, '<br>', ' '), '</?b>', '', 'g'), '<[^>]*$', ''), '</?(p|h1)>'),
+  lambda x: trim(regexp_replace(regexp_replace(replace(replace(replace(x, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;?', '&', 'g'), '\\s+', ' ', 'g'))), lambda x: x <> '') x FROM a)
+SELECT page_id, url, array_to_string(x, chr(10)) AS text, length(array_to_string(x, chr(10)))::BIGINT n_chars FROM b
+"""

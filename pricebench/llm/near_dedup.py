@@ -292,3 +292,18 @@ def keep_one(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataF
 
 def op8_minmax_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{folder}/documents.parquet"), k=4)
+
+
+#: All pairs with a common shingle, confirmed and followed; for small tables.
+ORACLE = """
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ \\t\\n\\x0B\\f\\r]+') w FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN []::VARCHAR[] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+  ELSE list_transform(range(1, len(w) - 2), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3]) END) g FROM d),
+n AS (SELECT doc_id, count(*) n FROM s GROUP BY 1),
+p AS (SELECT a.doc_id a, b.doc_id b, count(*) c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+e AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 80 * (x.n + y.n - c)),
+u AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+r AS (SELECT doc_id node, doc_id low FROM d UNION SELECT u.b, r.low FROM r JOIN u ON u.a = r.node AND r.low < u.b),
+m AS (SELECT node, min(low) low FROM r GROUP BY node)
+SELECT doc_id, coalesce(n.n, 0)::BIGINT n_shingles, low component_id, doc_id = low kept FROM d JOIN m ON m.node = doc_id LEFT JOIN n USING (doc_id)
+"""
