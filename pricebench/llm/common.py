@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from pricebench.session import cut_lineage
 
-__all__ = ["cut_lineage", "key_columns", "text_batches", "with_key", "without_keys"]
+__all__ = ["cut_lineage", "key_columns", "released", "text_batches", "with_key", "without_keys"]
 
 
 #: Texts that are handed to Python at a time; the default of 10,000 would hold tens of megabytes, or gigabytes of long ones.
@@ -22,6 +27,22 @@ def text_batches(df: DataFrame) -> DataFrame:
     return df
 
 
+def released(function: Callable) -> Callable:
+    """A partition function that gives back what its batches took.
+
+    Python workers live on from task to task, and their allocators keep freed
+    memory; several idle workers of an executor would each keep a task's worth.
+    """
+
+    def run(batches: Iterator) -> Iterator:
+        yield from function(batches)
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # where the C library offers it
+            ctypes.CDLL(None).malloc_trim(0)
+
+    return run
+
+
 def key_columns(*columns: str) -> tuple[Column, Column]:
     """A 128-bit content key as two longs; a null and an empty value differ."""
     parts = [x for c in columns for x in (F.isnull(c), F.coalesce(F.col(c).cast("string"), F.lit("")))]

@@ -26,7 +26,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from pricebench.llm.common import BROADCAST_KEYS, cut_lineage, text_batches, with_key, without_keys
+from pricebench.llm.common import BROADCAST_KEYS, cut_lineage, released, text_batches, with_key, without_keys
 from pricebench.llm.components import components
 
 SHINGLE, PERCENT = 5, 80
@@ -102,7 +102,7 @@ def _signed(k: int):
             out = pd.DataFrame(rows, columns=["doc_id", "n_shingles", "s1", "s2", "bands"])
             yield out.assign(doc_id=docs["doc_id"].values, s1=out["s1"].astype("Int64"), s2=out["s2"].astype("Int64"))
 
-    return run
+    return released(run)
 
 
 def linked(a: int, b: np.ndarray, both: np.ndarray, percent: int) -> np.ndarray:
@@ -200,7 +200,7 @@ def _with_sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
     # Of rows that share a doc_id, the one whose set was signed.
     columns = [c for c in wanted.columns if c != "__id"]
     schema = ", ".join(["doc_id long", *[f"{f.name} {f.dataType.simpleString()}" for f in wanted.schema if f.name != "__id"], "shingles binary"])
-    return joined.select("doc_id", *columns, "text").mapInPandas(run, schema)
+    return joined.select("doc_id", *columns, "text").mapInPandas(released(run), schema)
 
 
 def _exact(docs: DataFrame, candidates: DataFrame, k: int, percent: int) -> DataFrame:

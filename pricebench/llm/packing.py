@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from pricebench.llm.byte_bpe import TIKTOKEN_FILE, Encoder, Pieces, encoder, load_ranks
-from pricebench.llm.common import cut_lineage, text_batches
+from pricebench.llm.common import cut_lineage, released, text_batches
 
 WINDOW, QUANTUM, LANE_TOKENS = 2048, 256, 1 << 20
 END_OF_DOCUMENT = 1
@@ -43,7 +43,7 @@ _LONG = 400
 class _LibraryPieces(Pieces):
     """Pre-tokens are looked up and merged by the library, very long ones by the heap."""
 
-    most = 60_000
+    most = 30_000
 
     def __init__(self, path: str):
         self.path, self.older = path, {}
@@ -75,7 +75,7 @@ def _queued(path: str):
             yield pd.DataFrame({"doc_id": docs["doc_id"], "source": docs["source"], "part": part, "place": places,
                                 "n": [len(i) // 2 for i in ids], "ids": ids})
 
-    return run
+    return released(run)
 
 
 def pack_lane(docs: list[tuple], shares: dict, start: float, window: int, quantum: int) -> Iterator[tuple]:

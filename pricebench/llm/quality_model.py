@@ -21,7 +21,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from pricebench.llm.common import cut_lineage, text_batches
+from pricebench.llm.common import cut_lineage, released, text_batches
 from pricebench.llm.stop_words import STOP_WORDS
 
 #: Documents the scorer is trained on, in expectation; counts and posteriors come from all documents.
@@ -180,7 +180,11 @@ def _pattern_of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
 
 
 def _pattern():
-    return F.pandas_udf(_pattern_of, "string")
+    @F.pandas_udf("string")
+    def pattern(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        yield from released(_pattern_of)(batches)
+
+    return pattern
 
 
 def _train(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -231,7 +235,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> QualityModel:
     chosen = docs.select("text", order.alias("order")).where(F.col("text").isNotNull() & (F.pmod(order, F.lit(1 << 20)) < int(part * (1 << 20))))
     by_pattern = docs.sparkSession.createDataFrame(posteriors[["votes", "posterior"]])
     labelled = chosen.withColumn("votes", _pattern()("text")).join(F.broadcast(by_pattern), "votes").select("text", "order", "posterior")
-    trained = labelled.repartition(TRAINERS, F.pmod(F.shiftright("order", 20), F.lit(TRAINERS))).mapInPandas(_train, "index long, weight double, n double")
+    trained = labelled.repartition(TRAINERS, F.pmod(F.shiftright("order", 20), F.lit(TRAINERS))).mapInPandas(released(_train), "index long, weight double, n double")
     trained = cut_lineage(trained)
     # The bias is never zero, so its rows tell how much every trainer has seen.
     seen = trained.where(F.col("index") == 1 << BITS).agg(F.sum("n")).first()[0] or 1.0
@@ -243,8 +247,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> QualityModel:
 def _scored(model: QualityModel, spark: SparkSession):
     shared = spark.sparkContext.broadcast((model.posteriors[["votes", "posterior"]], model.weights))
 
-    @F.pandas_udf("votes string, posterior double, score double")
-    def score(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    def judged(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         posteriors, weights = shared.value
         model, posterior = QualityModel(posteriors, weights), dict(zip(posteriors["votes"], posteriors["posterior"]))
         for texts in batches:
@@ -255,6 +258,10 @@ def _scored(model: QualityModel, spark: SparkSession):
                 rows.append((v, posterior.get(v), model.score(words)))
             yield pd.DataFrame(rows, columns=["votes", "posterior", "score"])
 
+    @F.pandas_udf("votes string, posterior double, score double")
+    def score(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        yield from released(judged)(batches)
+
     return score
 
 

@@ -20,7 +20,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from pricebench.llm.common import SALTS, cut_lineage, text_batches, with_key, without_keys
+from pricebench.llm.common import SALTS, cut_lineage, released, text_batches, with_key, without_keys
 
 MAX_DOCS, MAX_LINE_WORDS, MAX_LOST = 20, 24, 0.5
 _WINDOW = 8
@@ -89,7 +89,7 @@ def _measured(most: int):
             yield pd.concat([docs[["doc_id", "__host", "__k1", "__k2"]].reset_index(drop=True), counts], axis=1).assign(
                 lines=[list(x) for x in lines], line_words=[list(x.values()) for x in lines])
 
-    return run
+    return released(run)
 
 
 def measure(docs: DataFrame, max_line_words: int = MAX_LINE_WORDS) -> DataFrame:
