@@ -1,12 +1,12 @@
 import random
 
+import duckdb
 from pyspark.sql import functions as F
 
 from conftest import read_fixture, raw_frame
 from pricebench.operators import pairs
 from pricebench.operators.enrich import enrich_lines
 from pricebench.functions.similarity import with_name_features
-from sequential import score
 
 
 def test_published_pairs(demo):
@@ -19,20 +19,24 @@ def test_published_pairs(demo):
         assert abs(g.similarity - float(w["similarity"])) < 1e-9 and g.pair_id == int(w["pair_id"])
 
 
-def expected(rows, feats, limit):
-    cand, low = [], []
-    for i, a in enumerate(rows):
-        for j in range(i + 1, len(rows)):
-            b = rows[j]
-            if a["make"] != b["make"]:
-                continue
-            s = score(feats[a["part_name"]], feats[b["part_name"]], 0.6)
-            twin = bool(a["part_number"]) and a["part_number"] == b["part_number"]
-            (cand if twin or s >= 0.3 else low).append((s, i, j, twin))
-    step = max(1, len(low) // 40)
-    every = [p for k, p in enumerate(low) if k % step == 0][:40]
-    ranked = sorted(cand + every, key=lambda p: -p[0])[:limit]
-    return [(a, b, t) for _, a, b, t in ranked]
+EXPECTED = """
+WITH f AS (SELECT *, list_distinct(list_filter(string_split(nn, ' '), lambda t: t <> '')) tk FROM parts),
+p AS (SELECT a.i, b.i j, a.pn <> '' AND a.pn = b.pn twin,
+    0.6::DOUBLE * coalesce(len(list_intersect(a.tk, b.tk))::DOUBLE / nullif(len(list_distinct(list_concat(a.tk, b.tk))), 0), 0)
+    + (1 - 0.6::DOUBLE) * (CASE WHEN a.nn = '' OR b.nn = '' THEN 0.0::DOUBLE ELSE 1 - levenshtein(a.nn, b.nn)::DOUBLE / greatest(length(a.nn), length(b.nn)) END) s
+  FROM f a JOIN f b ON a.make = b.make AND a.i < b.i),
+low AS (SELECT *, row_number() OVER (ORDER BY i, j) - 1 k, count(*) OVER () // 40 n FROM p WHERE NOT twin AND s < 0.3::DOUBLE),
+c AS (SELECT i, j, twin, s, 0 late FROM p WHERE twin OR s >= 0.3::DOUBLE
+  UNION ALL SELECT i, j, twin, s, 1 FROM low WHERE k % greatest(n, 1) = 0 AND k // greatest(n, 1) < 40)
+SELECT i, j, twin FROM c ORDER BY s DESC, late, i, j LIMIT {}
+"""
+
+
+def expected(rows, names, limit):
+    db = duckdb.connect()
+    db.execute("CREATE TABLE parts (i INTEGER, make VARCHAR, pn VARCHAR, nn VARCHAR)")
+    db.executemany("INSERT INTO parts VALUES (?, ?, ?, ?)", [(i, r["make"], r["part_number"], names[r["part_name"]]) for i, r in enumerate(rows)])
+    return db.execute(EXPECTED.format(limit)).fetchall()
 
 
 def test_small_lists_match_the_definition(spark, monkeypatch):
