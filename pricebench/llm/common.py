@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from pricebench.session import cut_lineage
 
-__all__ = ["cut_lineage", "key_columns", "released", "text_batches", "with_key", "without_keys"]
+__all__ = ["beside_keys", "cut_lineage", "key_columns", "released", "text_batches", "with_key", "without_keys"]
 
 
 #: Texts that are handed to Python at a time; the default of 10,000 would hold tens of megabytes, or gigabytes of long ones.
@@ -70,3 +70,14 @@ def without_keys(df: DataFrame, rejected: DataFrame, salt_by: Column) -> DataFra
         return df.join(F.broadcast(rejected), ["__k1", "__k2"], "left_anti")
     salted = rejected.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     return df.withColumn("__salt", F.pmod(F.xxhash64(salt_by), F.lit(SALTS)).cast("int")).join(salted, ["__k1", "__k2", "__salt"], "left_anti").drop("__salt")
+
+
+def beside_keys(df: DataFrame, table: DataFrame, more: Column, salt_by: Column) -> DataFrame:
+    """Left join of ``df`` with ``table``, which has one row per key (__k1, __k2); salted like ``without_keys`` beyond the broadcast bound.
+
+    ``more``: how many keys' worth of room a row of ``table`` takes besides its key.
+    """
+    if (table.agg(F.sum(more + 1)).first()[0] or 0) <= BROADCAST_KEYS:
+        return df.join(F.broadcast(table), ["__k1", "__k2"], "left")
+    salted = table.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return df.withColumn("__salt", F.pmod(F.xxhash64(salt_by), F.lit(SALTS)).cast("int")).join(salted, ["__k1", "__k2", "__salt"], "left").drop("__salt")

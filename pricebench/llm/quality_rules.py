@@ -2,8 +2,9 @@
 
 Lines are normalised and hashed.  For each host the distinct documents that hold
 a line are counted; lines above the limit are taken out of every document but
-the one with the smallest doc_id that has them, and a document that loses more
-than the allowed part of its words is rejected.
+the one with the smallest doc_id that has them (``keep_good`` returns the texts
+so cleaned), and a document that loses more than the allowed part of its words is
+rejected.
 
 Exact copies count as one document, so a group of copies doesn't make its own
 lines look like page furniture.  Only lines of up to ``max_line_words`` words can
@@ -20,7 +21,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from pricebench.llm.common import SALTS, cut_lineage, released, text_batches, with_key, without_keys
+from pricebench.llm.common import SALTS, beside_keys, cut_lineage, released, text_batches, with_key
 
 MAX_DOCS, MAX_LINE_WORDS, MAX_LOST = 20, 24, 0.5
 _WINDOW = 8
@@ -69,17 +70,32 @@ def base_counts(text: str | None) -> tuple[int, int, int, int, int]:
     return len(words), len(text) - spaces, sum(map(text.count, _SYMBOLS)), dup, repeated_words(words)
 
 
+def _line(line: str) -> tuple[int, int]:
+    """Number of words of a line, and the hash of the line normalised (0 for a blank one)."""
+    words = line.encode().lower().split() if line.isascii() else line.lower().encode().split()
+    return len(words), xxhash.xxh3_64_intdigest(b" ".join(words)) - (1 << 63) if words else 0
+
+
 def short_lines(text: str | None, most: int) -> dict[int, int]:
     """Hash of each distinct normalised line of 1 to ``most`` words, and the words of all its occurrences."""
     out: dict[int, int] = {}
     for line in (text or "").split("\n"):
-        words = line.encode().lower().split() if line.isascii() else line.lower().encode().split()
-        if 0 < len(words) <= most:
-            h = xxhash.xxh3_64_intdigest(b" ".join(words)) - (1 << 63)
-            out[h] = out.get(h, 0) + len(words)
+        n, h = _line(line)
+        if 0 < n <= most:
+            out[h] = out.get(h, 0) + n
     return out
 
 
+def without_lines(text: str, hashes: set[int]) -> str:
+    """``text`` without the lines of these hashes; blank lines stay."""
+    kept = []
+    for line in text.split("\n"):
+        n, h = _line(line)
+        if not n or h not in hashes:
+            kept.append(line)
+    return "\n".join(kept)
+
+
 def _measured(most: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = [c.split()[0] for c in _COUNTS.split(", ")]
@@ -105,8 +121,8 @@ def base_failed() -> F.Column:
     return (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
 
 
-def depleted(measured: DataFrame, max_docs: int = MAX_DOCS, max_lost: float = MAX_LOST) -> DataFrame:
-    """Keys of the documents that lose more than ``max_lost`` of their words with the lines above the limit."""
+def limited(measured: DataFrame, max_docs: int = MAX_DOCS, max_lost: float = MAX_LOST) -> DataFrame:
+    """Documents (__k1, __k2) that lose lines above the limit: the hashes of these, and whether more than ``max_lost`` of the words go with them."""
     lines = measured.select("doc_id", "__host", "__k1", "__k2", "n_words", F.explode(F.arrays_zip("lines", "line_words")).alias("x"))
     held = lines.groupBy("__host", F.col("x.lines").alias("line"), "__k1", "__k2", "n_words", F.col("x.line_words").alias("words")).agg(
         F.min("doc_id").alias("first"))
@@ -115,8 +131,14 @@ def depleted(measured: DataFrame, max_docs: int = MAX_DOCS, max_lost: float = MA
     often = often.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     lost = held.withColumn("salt", F.pmod("__k1", F.lit(SALTS)).cast("int")).join(often, ["__host", "line", "salt"]).where(
         ~F.col("first").eqNullSafe(F.col("holder")))
-    return lost.groupBy("__k1", "__k2", "n_words").agg(F.sum("words").alias("lost")).where(
-        F.col("lost") > max_lost * F.col("n_words")).select("__k1", "__k2")
+    # A document's list is part of its own lines.
+    return lost.groupBy("__k1", "__k2", "n_words").agg(F.sum("words").alias("lost"), F.collect_list("line").alias("lines")).select(
+        "__k1", "__k2", "lines", (F.col("lost") > max_lost * F.col("n_words")).alias("depleted"))
+
+
+def depleted(measured: DataFrame, max_docs: int = MAX_DOCS, max_lost: float = MAX_LOST) -> DataFrame:
+    """Keys of the documents that lose more than ``max_lost`` of their words with the lines above the limit."""
+    return limited(measured, max_docs, max_lost).where("depleted").select("__k1", "__k2")
 
 
 def quality_rules(docs: DataFrame, max_docs: int = MAX_DOCS, max_line_words: int = MAX_LINE_WORDS, max_lost: float = MAX_LOST) -> DataFrame:
@@ -136,17 +158,44 @@ def quality_rules(docs: DataFrame, max_docs: int = MAX_DOCS, max_line_words: int
         (~base_failed() & F.col("__lost").isNull()).alias("kept"))
 
 
+def _cleaned():
+    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for texts, lines in batches:
+            yield pd.Series([None if t is None else without_lines(t, set(x.tolist())) for t, x in zip(texts, lines)], dtype=object)
+
+    @F.pandas_udf("string")
+    def cleaned(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        yield from released(run)(batches)
+
+    return cleaned
+
+
 def keep_good(docs: DataFrame, **limits) -> DataFrame:
-    """``docs`` without the rejected rows, columns unchanged."""
+    """``docs`` without the rejected rows, and their texts without the lines above the limit; other columns unchanged.
+
+    The copies of the first holder of a line keep it, like the holder itself.
+    """
     measured = measure(docs, limits.pop("max_line_words", MAX_LINE_WORDS))
-    rejected = measured.where(base_failed()).select("__k1", "__k2").union(depleted(measured, **limits))
-    return without_keys(with_key(docs, "source", "text"), cut_lineage(rejected), F.col("doc_id")).select(*docs.columns)
+    # Without lines: rejected.
+    failed = measured.where(base_failed()).select("__k1", "__k2", F.lit(None).cast("array<long>").alias("lines"), F.lit(True).alias("rejected"))
+    verdicts = limited(measured, **limits).select("__k1", "__k2", F.expr("IF(depleted, NULL, lines)").alias("lines"), F.col("depleted").alias("rejected"))
+    verdicts = cut_lineage(verdicts.union(failed.distinct()).groupBy("__k1", "__k2").agg(F.max("rejected").alias("__rejected"), F.max("lines").alias("__lines")))
+    judged = beside_keys(with_key(docs, "source", "text"), verdicts, F.size(F.coalesce("__lines", F.array())), F.col("doc_id"))
+    judged = text_batches(judged).where(F.col("__rejected").isNull() | ~F.col("__rejected"))
+    loses = F.col("__lines").isNotNull()  # other texts don't go to Python
+    text = F.coalesce(_cleaned()(F.when(loses, F.col("text")), F.col("__lines")), F.col("text"))
+    return judged.select(*[text.alias(c) if c == "text" else c for c in docs.columns])
 
 
 def op9_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality_rules(spark.read.parquet(f"{folder}/documents.parquet"))
 
 
+def op9_cleaned_text(spark: SparkSession, folder: str) -> DataFrame:
+    """The kept documents, without the lines above the limit."""
+    return keep_good(spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "source", "text"))
+
+
 ORACLE = """
 WITH d AS (SELECT row_number() OVER () r, doc_id, coalesce(source, chr(0)) source, coalesce(text, '') text FROM documents),
 ws AS (SELECT r, regexp_extract_all(text, '[^ \\t\\n\\x0B\\f\\r]+') w FROM d),

@@ -26,6 +26,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_quotations": op7_quotations,
         "op8_minmax_dedup": near_dedup.op8_minmax_dedup,
         "op9_quality_rules": quality_rules.op9_quality_rules,
+        "op9_cleaned_text": quality_rules.op9_cleaned_text,
         "op10_licences": op10_licences,
     }
 

@@ -144,6 +144,21 @@ def test_rules_against_the_statement(spark, monkeypatch, salts):
     assert kept == sorted(r[0] for r in want if r[-1])
 
 
+@pytest.mark.parametrize("salts", ["broadcast", "salted"])
+def test_limited_lines_are_taken_out(spark, monkeypatch, salts):
+    from pricebench.llm import common
+
+    if salts == "salted":
+        monkeypatch.setattr(common, "BROADCAST_KEYS", 0)
+    notice = "Read more on our  SITE"
+    rows = [(i, "h", f"{prose(i, 40)}\n\n{notice}\nread more on our site\n{prose(100 + i, 30)}", 5) for i in range(22)]
+    rows += [(50, "h", rows[0][2], 6), (51, "h", rows[3][2], 7), (None, "h", f"{prose(70, 40)}\n{notice}", 8), (52, None, f"{prose(71, 40)}\n{notice}", 9)]
+    got = quality_rules.keep_good(spark.createDataFrame(rows, "doc_id long, source string, text string, other int")).collect()
+    held = {0, 50, 52}  # the first holder, its copy, and the only one of another host
+    want = [(i, s, t if i in held else "\n".join(x for x in t.split("\n") if "ead more" not in x), o) for i, s, t, o in rows]
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+
+
 def test_rules_on_odd_documents(odd_docs, no_docs):
     got = quality_rules.quality_rules(odd_docs).collect()
     assert len(got) == odd_docs.count()
