@@ -7,9 +7,8 @@ so cleaned), and a document that loses more than the allowed part of its words i
 rejected.
 
 Exact copies count as one document, so a group of copies doesn't make its own
-lines look like page furniture.  Only lines of up to ``max_line_words`` words can
-be furniture: a longer passage that recurs is a duplicate, which other operators
-deal with.
+lines look like page furniture.  Lines of every length count.  Of near copies
+each line stays with its first holder.
 """
 
 from __future__ import annotations
@@ -23,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from pricebench.llm.common import SALTS, beside_keys, cut_lineage, released, text_batches, with_key
 
-MAX_DOCS, MAX_LINE_WORDS, MAX_LOST = 20, 24, 0.5
+MAX_DOCS, MAX_LOST = 20, 0.5
 _WINDOW = 8
 _SYMBOLS = "#*$%&|<>"
 #: One odd multiplier for each place of a window.
@@ -76,12 +75,12 @@ def _line(line: str) -> tuple[int, int]:
     return len(words), xxhash.xxh3_64_intdigest(b" ".join(words)) - (1 << 63) if words else 0
 
 
-def short_lines(text: str | None, most: int) -> dict[int, int]:
-    """Hash of each distinct normalised line of 1 to ``most`` words, and the words of all its occurrences."""
+def line_counts(text: str | None) -> dict[int, int]:
+    """Hash of each distinct normalised line with words, and the words of all its occurrences."""
     out: dict[int, int] = {}
     for line in (text or "").split("\n"):
         n, h = _line(line)
-        if 0 < n <= most:
+        if n:
             out[h] = out.get(h, 0) + n
     return out
 
@@ -96,24 +95,24 @@ def without_lines(text: str, hashes: set[int]) -> str:
     return "\n".join(kept)
 
 
-def _measured(most: int):
+def _measured():
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = [c.split()[0] for c in _COUNTS.split(", ")]
         for docs in batches:
             counts = pd.DataFrame([base_counts(t) for t in docs["text"]], columns=names, dtype="int64")
-            lines = [short_lines(t, most) for t in docs["text"]]
+            lines = [line_counts(t) for t in docs["text"]]
             yield pd.concat([docs[["doc_id", "__host", "__k1", "__k2"]].reset_index(drop=True), counts], axis=1).assign(
                 lines=[list(x) for x in lines], line_words=[list(x.values()) for x in lines])
 
     return released(run)
 
 
-def measure(docs: DataFrame, max_line_words: int = MAX_LINE_WORDS) -> DataFrame:
-    """Per row: base counts and short lines, stored without the text.  __k1, __k2 identify (source, text)."""
+def measure(docs: DataFrame) -> DataFrame:
+    """Per row: base counts and hashed lines, stored without the text.  __k1, __k2 identify (source, text)."""
     keyed = with_key(text_batches(docs).select("doc_id", "source", "text"), "source", "text").withColumn(
         "__host", F.xxhash64(F.isnull("source"), F.coalesce("source", F.lit(""))))
     return cut_lineage(keyed.select("doc_id", "text", "__host", "__k1", "__k2").mapInPandas(
-        _measured(max_line_words),
+        _measured(),
         f"doc_id long, __host long, __k1 long, __k2 long, {_COUNTS}, lines array<long>, line_words array<int>"))
 
 
@@ -141,7 +140,7 @@ def depleted(measured: DataFrame, max_docs: int = MAX_DOCS, max_lost: float = MA
     return limited(measured, max_docs, max_lost).where("depleted").select("__k1", "__k2")
 
 
-def quality_rules(docs: DataFrame, max_docs: int = MAX_DOCS, max_line_words: int = MAX_LINE_WORDS, max_lost: float = MAX_LOST) -> DataFrame:
+def quality_rules(docs: DataFrame, max_docs: int = MAX_DOCS, max_lost: float = MAX_LOST) -> DataFrame:
     """One row per row of ``docs`` (doc_id, source, text): base counts, base_failed, kept.
 
     A null or empty text has no words and fails the base rules.  A null source
@@ -149,7 +148,7 @@ def quality_rules(docs: DataFrame, max_docs: int = MAX_DOCS, max_line_words: int
     never count as the first holder of a line.  Repeated rows get the same
     verdict.  An empty table gives no rows; other columns are not read.
     """
-    measured = measure(docs, max_line_words)
+    measured = measure(docs)
     lost = depleted(measured, max_docs, max_lost).withColumn("__lost", F.lit(True))
     salted = lost.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     judged = measured.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).join(salted, ["__k1", "__k2", "salt"], "left")
@@ -175,7 +174,7 @@ def keep_good(docs: DataFrame, **limits) -> DataFrame:
 
     The copies of the first holder of a line keep it, like the holder itself.
     """
-    measured = measure(docs, limits.pop("max_line_words", MAX_LINE_WORDS))
+    measured = measure(docs)
     # Without lines: rejected.
     failed = measured.where(base_failed()).select("__k1", "__k2", F.lit(None).cast("array<long>").alias("lines"), F.lit(True).alias("rejected"))
     verdicts = limited(measured, **limits).select("__k1", "__k2", F.expr("IF(depleted, NULL, lines)").alias("lines"), F.col("depleted").alias("rejected"))

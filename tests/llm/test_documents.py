@@ -3,6 +3,7 @@ import random
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from pricebench.llm import licences, main_text, near_dedup, quality_model, quality_rules, quotations, top_k
 from pricebench.llm.components import components
@@ -159,6 +160,15 @@ def test_limited_lines_are_taken_out(spark, monkeypatch, salts):
     assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
 
 
+def test_lines_of_every_length_count(spark):
+    notice = prose(200, 60)  # one line
+    rows = [(i, "h", f"{notice}\n{prose(i, 50 if i % 2 else 80)}") for i in range(24)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    kept = {r["doc_id"] for r in quality_rules.quality_rules(docs).where("kept").collect()}
+    assert kept == {0, *range(0, 24, 2)}  # the others lose more than half of their words
+    assert {r["doc_id"] for r in quality_rules.keep_good(docs).where(F.contains("text", F.lit(notice))).collect()} == {0}
+
+
 def test_rules_on_odd_documents(odd_docs, no_docs):
     got = quality_rules.quality_rules(odd_docs).collect()
     assert len(got) == odd_docs.count()
