@@ -1,11 +1,12 @@
 """Licence scan: a trained classifier of paragraphs, confirmed by templates.
 
-Paragraphs (lines, cut into overlapping windows when long) are described by the
-word pairs and triples they share with the licence templates.  A multinomial
+Paragraphs (neighbouring lines without their comment marks, in overlapping
+windows when long) are described by the word pairs and triples they share with the licence templates.  A multinomial
 logistic regression over these sparse features tells the licence family.  It is
 trained on the templates, with words dropped and ordinary text around them,
 against paragraphs of the corpus and sentences that use the same words
-otherwise.  Its temperature and the threshold below which a paragraph is unknown
+otherwise.  A window that holds several notices is read again without the words of
+those found.  Its temperature and the threshold below which a paragraph is unknown
 are set on held-out examples.  A prediction counts only if the paragraph holds
 enough of one of the family's templates.
 """
@@ -13,6 +14,7 @@ enough of one of the family's templates.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,11 +28,14 @@ from pricebench.llm.stop_words import STOP_WORDS
 UNKNOWN = "unknown"
 #: Corpus paragraphs that stand for other text in training, in expectation; the scan itself covers everything.
 SAMPLE = 2_000
-WINDOW, STEP = 80, 50  # words
+WINDOW, STEP = 80, 30  # words; what is no longer than WINDOW - STEP lies whole in some window
 VARIANTS = 16  # training examples made from one template
 ALIKE = 0.6  # part of a template's word pairs that confirms a prediction
 FALSE_ALARMS = 0.001  # of held-out other text above the threshold
 _CUE = re.compile(r"licen[cs]|copyright|rights reserved|spdx|creative commons|public domain|\bCC[ -]", re.I)
+#: Comment marks at the start of a line, and signs without letters at its end.
+_MARKS = re.compile(r"\s*(?:(?:[#*/;%>|!+=~-]+|<!--|\(\*|\{-|\.\.|@c|dnl|rem|REM)(?=\s|$)\s*|[#*/;%>|!]+\s*)*")
+_END_MARKS = re.compile(r"(?:\s+[^\w\s]+)+\s*$|\*+/\s*$")
 _STRIP = ".,;:!?\"'()[]{}<>*_`“”«»"
 
 
@@ -111,6 +116,7 @@ class LicenceModel:
         self.families = [*TEMPLATES, UNKNOWN]
         self.vocabulary = Vocabulary([t for ts in TEMPLATES.values() for t in ts] + list(OTHERS))
         self.templates = {f: [self._pairs(t) for t in ts] for f, ts in TEMPLATES.items()}
+        self.times = {f: [self._times(t) for t in ts] for f, ts in TEMPLATES.items()}
         # Pairs of function words tell nothing.  As no template consists of so many of them that the others could be
         # missing from a confirmed paragraph, a text without any telling pair has no notice.
         plain = np.array([0, *(w in STOP_WORDS for w in self.vocabulary.word)], bool)
@@ -159,6 +165,10 @@ class LicenceModel:
         ids = self.vocabulary._ids(words_of(text))
         return np.unique(ids[:-1] * self.vocabulary.base + ids[1:])
 
+    def _times(self, text: str) -> Counter:
+        ids = self.vocabulary._ids(words_of(text))
+        return Counter((ids[:-1] * self.vocabulary.base + ids[1:]).tolist())
+
     def classify(self, ids: np.ndarray) -> tuple[str, float, float]:
         """Family, probability, and the largest part of one of the family's templates that these words hold."""
         at = self.vocabulary.features(ids)
@@ -176,28 +186,106 @@ class LicenceModel:
     def _tells(self, ids: np.ndarray) -> bool:
         return bool(self.telling[ids[:-1] * self.vocabulary.base + ids[1:]].any())
 
+    def _notice(self, ids: np.ndarray) -> tuple[str, float, float, np.ndarray] | None:
+        """Family, probability, likeness and places of the word pairs of one notice among these words."""
+        pairs = ids[:-1] * self.vocabulary.base + ids[1:]
+        found = self.classify(ids)
+        if found[0] == UNKNOWN:
+            # Several notices compete, or other text does: each confirmed template's own words decide.
+            alike = sorted(((np.isin(t, pairs, assume_unique=False).mean(), len(t), f, k) for f, ts in self.templates.items() for k, t in enumerate(ts)), reverse=True)
+            for likeness, _, family, k in alike:
+                if likeness < ALIKE:
+                    return None
+                at = self._places(pairs, self.times[family][k])
+                alone = np.zeros_like(ids)
+                alone[at], alone[at + 1] = ids[at], ids[at + 1]
+                found = self.classify(alone)
+                if found[0] == family:
+                    return *found, at
+            return None
+        # Of the confirmed templates the longest: short ones may be part of it.
+        held = [np.isin(t, pairs) for t in self.templates[found[0]]]
+        k = max((k for k, h in enumerate(held) if h.mean() >= ALIKE), key=lambda k: held[k].sum())
+        return *found, self._places(pairs, self.times[found[0]][k])
+
+    def _places(self, pairs: np.ndarray, times: Counter) -> np.ndarray:
+        """Places of a template's pairs where they stand most densely, so that strays and further notices stay out."""
+        at = np.flatnonzero(np.isin(pairs, list(times))).tolist()
+        best, part = -1e9, at
+        for i in range(len(at)):
+            seen, taken = Counter(), []
+            for k in at[i:]:
+                pair = int(pairs[k])
+                if seen[pair] < times[pair]:
+                    seen[pair] += 1
+                    taken.append(k)
+                    score = len(taken) - 0.25 * (k - at[i] + 1 - len(taken))
+                    if score > best and len(seen) >= ALIKE * len(times):
+                        best, part = score, taken[:]
+        return np.array(part, np.int64)
+
+    def _scan_paragraph(self, ids: np.ndarray) -> Iterator[tuple[int, int, int, int, str, float, float]]:
+        """(first word, last word, start and end of the window, family, probability, likeness) of each notice of a paragraph."""
+        for i in range(0, max(1, len(ids) - (WINDOW - STEP)), STEP):
+            while self._tells(ids[i : i + WINDOW]):
+                start, found = i, self._notice(ids[i : i + WINDOW])
+                if not found:
+                    break
+                if i + WINDOW < len(ids):  # the notice may go on behind this window
+                    again = self._notice(ids[i + found[3][0] : i + found[3][0] + WINDOW])
+                    if again and again[0] == found[0] and again[2] >= found[2]:
+                        start, found = i + int(found[3][0]), again
+                family, p, alike, at = found
+                at = at + start
+                ids[at], ids[at + 1] = 0, 0
+                yield int(at[0]), int(at[-1]) + 1, start, min(len(ids), start + WINDOW), family, p, alike
+
     def scan(self, text: str | None) -> list[tuple[int, int, str, float, float]]:
-        """(start, length, family, probability, likeness) of each licence paragraph, in order; code points of the text."""
+        """(start, length, family, probability, likeness) of each licence notice, in order; code points of the text.
+
+        A notice goes to the ends of its first and last line, or of the window when these are longer, or to the next notice.
+        """
         out: list[tuple[int, int, str, float, float]] = []
         if not text or not self._tells(self.vocabulary.ids_of(text.split())):
             return out
-        at = 0
-        for line in text.split("\n"):
-            raw = line.split()
-            ids = self.vocabulary.ids_of(raw)
-            if self._tells(ids):
-                spans = [m.span() for m in re.finditer(r"\S+", line)]
-                for i in range(0, max(1, len(raw) - (WINDOW - STEP)), STEP):
-                    j = min(len(raw), i + WINDOW)
-                    family, p, alike = self.classify(ids[i:j])
-                    if family != UNKNOWN:
-                        start, end = at + spans[i][0], at + spans[j - 1][1]
-                        if out and out[-1][2] == family and out[-1][0] + out[-1][1] >= start:  # overlapping windows of one notice
-                            start, p, alike = out[-1][0], max(p, out[-1][3]), max(alike, out[-1][4])
-                            out.pop()
-                        out.append((start, end - start, family, p, alike))
-            at += len(line) + 1
-        return out
+        for paragraph in _paragraphs(text):
+            words = [w for _, line in paragraph for w in line.split()]
+            ids = self.vocabulary.ids_of(words)
+            if not self._tells(ids):
+                continue
+            # Start and end of each word, and the lines of these.
+            spans = [(at + m.start(), at + m.end(), n, n) for n, (at, line) in enumerate(paragraph) for m in re.finditer(r"\S+", line)]
+            for i in range(len(spans) - 2, -1, -1):  # words broken at their hyphen
+                if spans[i][3] < spans[i + 1][2] and words[i][-1] == "-" and self.vocabulary.ids_of([words[i] + words[i + 1]])[0]:
+                    words[i : i + 2] = [words[i] + words[i + 1]]
+                    spans[i : i + 2] = [(spans[i][0], spans[i + 1][1], spans[i][2], spans[i + 1][3])]
+            ids = self.vocabulary.ids_of(words)
+            found, end = sorted(self._scan_paragraph(ids)), 0
+            for k, (first, last, low, high, family, p, alike) in enumerate(found):
+                low, high = max(low, end), min(high, found[k + 1][0] if k + 1 < len(found) else high)
+                while first > low and spans[first - 1][3] == spans[first][2]:
+                    first -= 1
+                while last + 1 < high and spans[last + 1][2] == spans[last][3]:
+                    last += 1
+                end = last + 1
+                out.append((spans[first][0], spans[last][1] - spans[first][0], family, p, alike))
+        return sorted(out, key=lambda x: x[:3])
+
+
+def _paragraphs(text: str) -> Iterator[list[tuple[int, str]]]:
+    """Neighbouring lines up to a blank one, each with its place in the text, without comment marks."""
+    at, lines = 0, []
+    for line in text.split("\n"):
+        skip = _MARKS.match(line).end()
+        body = _END_MARKS.sub("", line[skip:])
+        if body.strip():
+            lines.append((at + skip, body))
+        elif lines:
+            yield lines
+            lines = []
+        at += len(line) + 1
+    if lines:
+        yield lines
 
 
 def _softmax(x: np.ndarray) -> np.ndarray:

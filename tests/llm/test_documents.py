@@ -1,4 +1,5 @@
 import random
+import textwrap
 
 import duckdb
 import numpy as np
@@ -344,6 +345,25 @@ def test_templates_are_found_and_other_sentences_are_not(licence_model):
     assert not licence_model.scan(prose(99, 400)) and not licence_model.scan(None) and not licence_model.scan("")
 
 
+@pytest.mark.parametrize("mark", ["", " * ", "# ", "// "])
+def test_wrapped_notices_are_found(licence_model, mark):
+    for family, texts in TEMPLATES.items():
+        for t in texts:
+            wrapped = "\n".join(mark + x for x in textwrap.wrap(t, 72 - len(mark)))
+            text = f"{prose(5, 50)}\n\n{wrapped}\n\n{prose(6, 50)}"
+            (start, length, found, *_), = licence_model.scan(text)
+            assert found == family and start == text.index(wrapped) + len(mark) and start + length == text.index(wrapped) + len(wrapped), (t, found)
+    (_, _, family, *_), = licence_model.scan(f"{mark}Licensed under the Apache\n{mark}License, Version 2.0.")
+    assert family == "apache-2.0"
+
+
+def test_every_notice_of_a_window_counts(licence_model):
+    told = ["Released under the MIT License.", "Licensed under the Apache License, Version 2.0.", "Licensed under CC BY-NC 4.0."]
+    for join in (" ", "\n", f" {prose(8, 12)} "):
+        assert [f[2] for f in licence_model.scan(join.join(told))] == ["mit", "apache-2.0", "cc-by-nc"]
+    assert [f[2] for f in licence_model.scan("\n".join([told[1]] * 3))] == ["apache-2.0"] * 3
+
+
 def test_notice_inside_long_text(licence_model):
     text = prose(1, 3000) + "\n" + prose(2, 300) + " Licensed under the Apache License, Version 2.0. " + prose(3, 300)
     (start, length, family, *_), = licence_model.scan(text)
