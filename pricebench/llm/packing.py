@@ -7,9 +7,10 @@ to the next window.  Documents may be cut, so every window is full.
 
 The work is split into lanes.  A document's place on its source's queue divided
 by the source's share is its virtual time: the moment at which a fluid schedule
-would start it.  A lane is a span of virtual time, so it holds documents of all
-sources in the target proportion, and what a source owes or is owed at the start
-of a lane follows from the place of its first document there.  That carries the
+would start it.  A lane is a span of virtual time; queues are cut at its borders,
+at whole quanta, also inside documents.  So it holds all sources in the target
+proportion, and what a source owes or is owed at the start of a lane follows from
+the place of its first token there.  That carries the
 deficits from lane to lane without running the lanes one after the other.
 
 The end of a lane goes into sequences of powers of two, so nothing is padded.
@@ -81,8 +82,8 @@ def _queued(path: str):
 def pack_lane(docs: list[tuple], shares: dict, start: float, window: int, quantum: int) -> Iterator[tuple]:
     """Pieces (document, start, length, sequence, offset) of one lane.
 
-    ``docs``: (document, source, place on its queue, length), ordered by place
-    within a source.  ``start``: the virtual time at which the lane begins.
+    ``docs``: (document or part of one, source, place on its queue, length), ordered
+    by place within a source.  ``start``: the virtual time at which the lane begins.
     """
     queues: dict = defaultdict(deque)
     for doc, source, place, n in docs:
@@ -151,20 +152,18 @@ def pack(docs: DataFrame, weights: dict[str, float] | None = None, window: int =
     q = queued.alias("q").join(
         base.alias("b"), F.col("q.source").eqNullSafe(F.col("b.source")) & (F.col("q.part") == F.col("b.part")))
     place = F.col("q.place") + F.col("b.base")
-    laned = q.select(
-        "q.doc_id", "q.source", place.alias("place"), "q.n", "q.ids", "b.share",
-        F.floor(place / F.col("b.share") / lane_tokens).cast("long").alias("lane"))
+    laned = _in_lanes(q.select("q.doc_id", "q.source", place.alias("place"), "q.n", "q.ids", "b.share"), quantum, lane_tokens)
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         lane = int(key[0])
         rows = rows.sort_values(["place", "doc_id"], kind="stable").reset_index(drop=True)
         source = rows["source"].where(rows["source"].notna(), None)
         shares = dict(zip(source, rows["share"]))
-        pieces = list(pack_lane(list(zip(rows.index, source, rows["place"], rows["n"].tolist())), shares, float(lane) * lane_tokens, window, quantum))
+        pieces = list(pack_lane(list(zip(rows.index, source, rows["place"], rows["part_n"].tolist())), shares, float(lane) * lane_tokens, window, quantum))
         tokens = [np.frombuffer(i, "<u2").astype("<u4") for i in rows["ids"]]
         doc = rows.loc[[p[0] for p in pieces]].reset_index(drop=True)
         return pd.DataFrame({
-            "doc_id": doc["doc_id"], "source": doc["source"], "start": [p[1] for p in pieces], "length": [p[2] for p in pieces],
+            "doc_id": doc["doc_id"], "source": doc["source"], "start": doc["skipped"] + [p[1] for p in pieces], "length": [p[2] for p in pieces],
             "ids": [tokens[d][a : a + n].tobytes() for d, a, n, *_ in pieces], "doc_tokens": doc["n"],
             "sequence_id": [lane << 32 | p[3] for p in pieces], "offset": [p[4] for p in pieces],
         })
@@ -173,6 +172,30 @@ def pack(docs: DataFrame, weights: dict[str, float] | None = None, window: int =
         run, "doc_id long, source string, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
 
 
+def _in_lanes(docs: DataFrame, quantum: int, lane_tokens: int) -> DataFrame:
+    """Parts of documents by lane: ``place`` and ``ids`` of the part, its length ``part_n``, and the tokens ``skipped`` before it.
+
+    A quantum of a queue belongs to the lane in which it starts.  Sources that earn
+    less than a quantum in a lane are cut by quanta, so that their lanes needn't be
+    listed; the others by lanes.
+    """
+    of_lane = F.col("share") * lane_tokens  # tokens
+    lane_of = lambda k: F.floor(k * quantum / of_lane).cast("long")
+    first, last = F.floor(F.col("place") / quantum), F.floor((F.col("place") + F.col("n") - 1) / quantum)
+    cut = F.col("by_quanta")
+    border = lambda x: F.when(cut, x * quantum).otherwise(F.ceil(x * of_lane / quantum) * quantum)
+    # One lane more on each side: what rounding leaves empty goes out below.
+    docs = docs.withColumn("by_quanta", of_lane < quantum)
+    steps = F.when(cut, F.sequence(first, last)).otherwise(F.sequence(F.greatest(lane_of(first) - 1, F.lit(0).cast("long")), lane_of(last) + 1))
+    parts = docs.withColumn("step", F.explode(steps))
+    parts = parts.withColumns({"low": F.greatest("place", border(F.col("step"))), "high": F.least(F.col("place") + F.col("n"), border(F.col("step") + 1))})
+    skipped, part_n = F.col("low") - F.col("place"), F.col("high") - F.col("low")
+    return parts.where("low < high").select(
+        "doc_id", "source", F.col("low").alias("place"), "n", skipped.alias("skipped"), part_n.alias("part_n"), "share",
+        F.substring("ids", (skipped * 2 + 1).cast("int"), (part_n * 2).cast("int")).alias("ids"),
+        F.when(cut, lane_of(F.col("step"))).otherwise(F.col("step")).alias("lane"))
+
+
 def _bases(totals: DataFrame, weights: dict[str, float] | None) -> DataFrame:
     """Where the documents of (source, part) begin on their source's queue, and the source's share of all tokens."""
     from pyspark.sql import Window

@@ -125,6 +125,24 @@ def test_every_window_has_the_wanted_mixture(spark):
         assert all(abs(served[s] - size * total[s] / whole) <= 2 * packing.QUANTUM for s in total)
 
 
+def test_documents_longer_than_their_share_of_a_lane_are_cut(spark):
+    lane, quantum = 16_384, 64
+    rows = [(i, "a", "word " * 500) for i in range(400)] + [(1000, "b", "word " * 4000), (1001, "c", "word " * 30)]
+    out = packing.pack(spark.createDataFrame(rows, "doc_id long, source string, text string"), window=512, quantum=quantum, lane_tokens=lane).collect()
+    total, by_lane, pieces = defaultdict(int), defaultdict(lambda: defaultdict(int)), defaultdict(list)
+    for r in out:
+        total[r["source"]] += r["length"]
+        by_lane[r["sequence_id"] >> 32][r["source"]] += r["length"]
+        pieces[r["doc_id"]].append((r["start"], r["length"], r["doc_tokens"]))
+    whole = sum(total.values())
+    assert len({r["sequence_id"] >> 32 for r in out if r["doc_id"] == 1000}) > 5
+    for n in [by_lane[k] for k in sorted(by_lane)][:-1]:
+        assert all(abs(n[s] - lane * total[s] / whole) <= quantum for s in total)
+    for parts in pieces.values():
+        parts.sort()
+        assert [p[0] for p in parts] == [sum(q[1] for q in parts[:i]) for i in range(len(parts))] and sum(p[1] for p in parts) == parts[0][2]
+
+
 def test_given_weights_decide_while_queues_last(spark):
     docs = spark.createDataFrame([(i, f"s{i % 2}", "word " * 40) for i in range(2000)], "doc_id long, source string, text string")
     out = packing.pack(docs, weights={"s0": 3.0, "s1": 1.0}, lane_tokens=16_384)
