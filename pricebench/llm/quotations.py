@@ -1,8 +1,8 @@
 """Conversations in order of reply, without the text they quote.
 
 Quoted lines are parsed into passages by their level of nesting.  Passages are
-normalised (line breaks of re-wrapped quotes disappear) and hashed sentence by
-sentence; the first message of the conversation that says a sentence itself is
+split at blank lines like what is said, normalised (line breaks of re-wrapped
+quotes disappear) and hashed sentence by sentence; the first message of the conversation that says a sentence itself is
 its original.  A message answers the original of its outermost quotes; without
 any, the message before it.  A message that answers something older than the
 message before it leaves the thread, unless it is the first to answer the end of
@@ -23,6 +23,7 @@ from pricebench.llm.components import components
 
 _QUOTE = re.compile(r"\s{0,3}((?:>\s?)+)(.*)", re.S)
 _ATTRIBUTION = re.compile(r"(wrote|said|writes|schrieb|a écrit|escribió)\s*:\s*$", re.I)
+_BLANK = re.compile(r"\n\s*\n")
 _SENTENCE = re.compile(r"(?<=[.!?])\s+")
 #: Turns of one slice; a long conversation is worked on in many tasks.
 SLICE = 1024
@@ -50,9 +51,9 @@ def passages(text: str | None) -> tuple[str, list[tuple[int, str]]]:
 
 
 def sentences(passage: str) -> list[int]:
-    """Hashes of the normalised sentences of a passage."""
-    normal = " ".join(passage.lower().split())
-    return [xxhash.xxh3_64_intdigest(s) - (1 << 63) for s in _SENTENCE.split(normal) if s]
+    """Hashes of the normalised sentences of a passage; none goes over a blank line."""
+    normal = [" ".join(part.lower().split()) for part in _BLANK.split(passage)]
+    return [xxhash.xxh3_64_intdigest(s) - (1 << 63) for part in normal for s in _SENTENCE.split(part) if s]
 
 
 def _parse(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -60,7 +61,7 @@ def _parse(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         rows = []
         for t in texts:
             own, quoted = passages(t)
-            said = sorted({h for part in own.split("\n\n") for h in sentences(part)})
+            said = sorted(set(sentences(own)))
             cited = [(level, h) for level, p in quoted for h in sentences(p)]
             rows.append((own, said, [x[0] for x in cited], [x[1] for x in cited], len(quoted)))
         yield pd.DataFrame(rows, columns=["own", "said", "levels", "cited", "n_quotes"])

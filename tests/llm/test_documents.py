@@ -302,6 +302,19 @@ def test_replies_follow_what_they_quote(spark):
     assert quotations.thread(df).count() == len(MESSAGES) and quotations.thread(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("blank", [">", "> ", ">  "])
+def test_paragraphs_without_full_stop_are_quoted(spark, blank):
+    said = ["Hi Anna,\n\nCould you send the table?", "Dear all,\n \n- first item\n- second item\n\nRegards"]
+    quote = lambda t: "\n".join("> " + x if x.strip() else blank for x in t.split("\n"))
+    rows = [(1, 0, said[0]), (1, 1, said[1]), (1, 2, "Something else."), (1, 3, quote(said[0]) + "\n\nHere it is."), (1, 4, quote(said[1]) + "\n\nFine."),
+            (1, 5, quote("Hi Anna,") + "\n" + blank + "\n" + quote("- first item\n- second item"))]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, text string").withColumn("role", F.lit("user"))
+    reply = {r["turn"]: r["reply_to"] for r in quotations.thread(df).collect()}
+    assert reply == {0: None, 1: 0, 2: 1, 3: 0, 4: 1, 5: 1}
+    cited = {r["turn"]: r["cited"] for r in quotations.parse(df).collect()}
+    assert [len(cited[k]) for k in (3, 4, 5)] == [2, 3, 2]
+
+
 def test_long_conversations_are_worked_off_in_slices(spark, monkeypatch):
     monkeypatch.setattr(quotations, "SLICE", 16)
     rng = random.Random(4)
