@@ -221,10 +221,20 @@ class QualityModel:
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, sum_))))
 
 
+def _chosen(docs: DataFrame, part: float) -> DataFrame:
+    """(text, order) of about this part of the documents."""
+    order = F.xxhash64(F.isnull("doc_id"), "doc_id", "text")
+    chosen = docs.select("text", order.alias("order")).where(F.col("text").isNotNull() & (F.pmod("order", F.lit(1 << 20)) < int(part * (1 << 20))))
+    return chosen.dropDuplicates(["order"])
+
+
 def fit(docs: DataFrame, sample: int = SAMPLE) -> QualityModel:
-    """Votes are counted over all documents; the scorer learns from about ``sample`` of them, chosen by hash."""
-    order, docs = F.xxhash64("text"), text_batches(docs)
-    voted = cut_lineage(docs.select(_pattern()("text").alias("votes"), order.alias("order")))
+    """Votes are counted over all documents; the scorer learns from about ``sample`` of them, chosen by hash.
+
+    Copies are chosen one by one, by text and doc_id; rows that repeat both count once in the sample.
+    """
+    docs = text_batches(docs)
+    voted = cut_lineage(docs.select(_pattern()("text").alias("votes")))
     counted = voted.groupBy("votes").agg(F.count("*").alias("n")).toPandas()  # at most 3 ** LABELLERS rows
     posteriors = estimate(counted.sort_values("votes", ignore_index=True))
     total = int(posteriors["n"].sum())
@@ -232,7 +242,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> QualityModel:
     if not total:
         return QualityModel(posteriors, weights)
     part = min(1.0, sample / total)
-    chosen = docs.select("text", order.alias("order")).where(F.col("text").isNotNull() & (F.pmod(order, F.lit(1 << 20)) < int(part * (1 << 20))))
+    chosen = _chosen(docs, part)
     by_pattern = docs.sparkSession.createDataFrame(posteriors[["votes", "posterior"]])
     labelled = chosen.withColumn("votes", _pattern()("text")).join(F.broadcast(by_pattern), "votes").select("text", "order", "posterior")
     trained = labelled.repartition(TRAINERS, F.pmod(F.shiftright("order", 20), F.lit(TRAINERS))).mapInPandas(released(_train), "index long, weight double, n double")

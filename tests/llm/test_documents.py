@@ -190,6 +190,16 @@ def test_model_agrees_with_labels_it_has_not_seen(spark):
     assert sum(good) >= 0.99 * len(good) and sum(bad) <= 0.1 * len(bad)
 
 
+def test_copies_do_not_swell_the_sample(spark):
+    docs = spark.range(4000).select(F.col("id").alias("doc_id"), F.when(F.col("id") < 3000, "hot text").otherwise(F.concat(F.lit("t"), "id")).alias("text"))
+    nulls = spark.range(3000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("cold text").alias("text"))
+    for hot in range(4):  # whatever its hash, the group comes in by its share
+        given = docs.withColumn("text", F.concat("text", F.lit(f" {hot}"))).union(nulls)
+        n = {r["hot"]: r["count"] for r in quality_model._chosen(given, 0.1).groupBy(F.col("text").startswith("hot").alias("hot")).count().collect()}
+        assert 220 < n[True] < 380 and 60 < n[False] < 150
+    assert quality_model._chosen(nulls, 1.0).count() == 1
+
+
 def test_posteriors_weigh_labellers_by_their_rates():
     import pandas as pd
 
