@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from pricebench.session import cut_lineage
 
-__all__ = ["beside_keys", "cut_lineage", "key_columns", "released", "text_batches", "with_key", "without_keys"]
+__all__ = ["beside_keys", "cut_lineage", "cut_sized", "key_columns", "released", "text_batches", "with_key", "without_keys"]
 
 
 #: Texts that are handed to Python at a time; the default of 10,000 would hold tens of megabytes, or gigabytes of long ones.
@@ -43,6 +43,15 @@ def released(function: Callable) -> Callable:
     return run
 
 
+#: Narrow rows that one task writes when a table's size is known.
+ROWS_PER_TASK = 20_000
+
+
+def cut_sized(df: DataFrame, rows: int) -> DataFrame:
+    """``cut_lineage`` of a narrow table of at most ``rows`` rows, in as many tasks as they need: rounds on small tables stay short."""
+    return cut_lineage(df.coalesce(max(1, -(-rows // ROWS_PER_TASK))))
+
+
 def key_columns(*columns: str) -> tuple[Column, Column]:
     """A 128-bit content key as two longs; a null and an empty value differ."""
     parts = [x for c in columns for x in (F.isnull(c), F.coalesce(F.col(c).cast("string"), F.lit("")))]
