@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pricebench.llm import main_text, near_dedup, quality_rules, top_k
+from pricebench.llm import main_text, near_dedup, prefix_trie, quality_rules, secret_scans, source_divergence, top_k
 from pricebench.llm.byte_bpe import op3_byte_bpe
 from pricebench.llm.licences import op10_licences
 from pricebench.llm.packing import op6_packing
@@ -28,6 +28,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_quality_rules": quality_rules.op9_quality_rules,
         "op9_cleaned_text": quality_rules.op9_cleaned_text,
         "op10_licences": op10_licences,
+        "op11_source_divergence": source_divergence.op11_source_divergence,
+        "op12_prefix_trie": prefix_trie.op12_prefix_trie,
+        "op13_secret_scans": secret_scans.op13_secret_scans,
     }
 
 
@@ -37,4 +40,7 @@ def oracles() -> dict[str, str]:
         "op2_top_k": top_k.ORACLE,
         "op8_minmax_dedup": near_dedup.ORACLE,
         "op9_quality_rules": quality_rules.ORACLE,
+        "op11_source_divergence": source_divergence.ORACLE,
+        "op12_prefix_trie": prefix_trie.ORACLE,
+        "op13_secret_scans": secret_scans.ORACLE,
     }
