@@ -34,42 +34,49 @@ def subtree_totals(tree: DataFrame, values: list[str]) -> DataFrame:
     """
     tree = tree.select("node", "parent", *values)
     kids = tree.where("parent IS NOT NULL").groupBy(F.col("parent").alias("node")).agg(F.count("*").alias("k"))
-    active = cut_lineage(tree.join(kids, "node", "left").withColumn("k", F.coalesce("k", F.lit(0))))
+    # above_v: what was taken out between a node and its present parent.
+    zeros = [F.lit(0).cast("long").alias(f"above_{v}") for v in values]
+    active = cut_lineage(tree.join(kids, "node", "left").select("node", "parent", F.coalesce("k", F.lit(0)).alias("k"), *values, *zeros))
     children = active.select("node", F.col("k").alias("n_children"))
     left = active.count()
     raked, chains = [], []
     while left:
-        # Rake: leaves are done, and their parents take their totals.
+        # Rake: leaves are done, and their parents take their totals and what lies between.
         leaf = F.col("k") == 0
         raked.append(active.where(leaf).select("node", *values))
         below = active.where("parent IS NOT NULL").groupBy(F.col("parent").alias("node")).agg(
-            F.count_if(leaf).alias("gone"), F.min(F.when(~leaf, F.col("node"))).alias("below"), *[F.sum(F.when(leaf, F.col(v)).otherwise(0)).alias(f"from_{v}") for v in values])
+            F.count_if(leaf).alias("gone"), F.min(F.when(~leaf, F.col("node"))).alias("below"),
+            *[F.sum(F.when(leaf, F.col(v) + F.col(f"above_{v}")).otherwise(0)).alias(f"from_{v}") for v in values],
+            *[F.sum(F.when(~leaf, F.col(f"above_{v}")).otherwise(0)).alias(f"between_{v}") for v in values])
         inner = active.where(~leaf).join(below, "node", "left").select(
-            "node", "parent", (F.col("k") - F.col("gone")).alias("k"), "below", *[(F.col(v) + F.col(f"from_{v}")).alias(v) for v in values])
+            "node", "parent", (F.col("k") - F.col("gone")).alias("k"), "below", *[(F.col(v) + F.col(f"from_{v}")).alias(v) for v in values],
+            *[f"above_{v}" for v in values], *[f"between_{v}" for v in values])
         inner = cut_sized(inner, left)
         now = inner.count()
         if now == left or inner.where("k IS NULL").limit(1).count():
             raise ValueError("not a forest: a circle, or a parent that is no node")
-        # Compress: each node with one child jumps to the first node below that has not.
-        chain = inner.where("k = 1").select("node", "parent", "below", F.lit(1).cast("long").alias("hops"), *values)
-        left, n_chain = now, inner.where("k = 1").count()
+        # Compress: each node with one child jumps to the first node below that has not, and takes what lies between.
+        chain = inner.where("k = 1").select("node", "parent", "below", F.lit(1).cast("long").alias("hops"), *[f"above_{v}" for v in values],
+                                            *[(F.col(v) + F.col(f"between_{v}")).alias(v) for v in values])
+        n_chain = chain.count()
         moved = n_chain
         while moved:
             ahead = chain.select(F.col("node").alias("below"), F.col("below").alias("next"), F.col("hops").alias("next_hops"), *[F.col(v).alias(f"next_{v}") for v in values])
             jumped = chain.join(ahead, "below", "left").select(
-                "node", "parent", F.coalesce("next", "below").alias("below"), (F.col("hops") + F.coalesce("next_hops", F.lit(0))).alias("hops"),
+                "node", "parent", F.coalesce("next", "below").alias("below"), (F.col("hops") + F.coalesce("next_hops", F.lit(0))).alias("hops"), *[f"above_{v}" for v in values],
                 *[(F.col(v) + F.coalesce(f"next_{v}", F.lit(0))).alias(v) for v in values], F.col("next").isNotNull().alias("moved"))
             chain = cut_sized(jumped, n_chain)
             moved = chain.where("moved").count()
             chain = chain.drop("moved")
-        active = inner
+        active, left = inner.select("node", "parent", "k", *values, *[f"above_{v}" for v in values]), now - n_chain
         if n_chain:
             chains.append(chain)
-            # The node below a chain hangs from the parent of the chain's top.
-            top = chain.groupBy(F.col("below").alias("node")).agg(F.max_by(F.struct("parent"), "hops").alias("top"))
-            active = cut_sized(inner.where("k <> 1").join(top, "node", "left").select(
-                "node", F.when(F.col("top").isNotNull(), F.col("top.parent")).otherwise(F.col("parent")).alias("parent"), "k", *values), now)
-            left = now - n_chain
+            # The node below a chain hangs from the parent of the chain's top; the chain lies between.
+            top = chain.groupBy(F.col("below").alias("node")).agg(F.max_by(F.struct("parent", *[(F.col(v) + F.col(f"above_{v}")).alias(v) for v in values]), "hops").alias("top"))
+            taken = F.col("top").isNotNull()
+            active = cut_sized(active.where("k <> 1").join(top, "node", "left").select(
+                "node", F.when(taken, F.col("top.parent")).otherwise(F.col("parent")).alias("parent"), "k", *values,
+                *[F.when(taken, F.col(f"top.{v}")).otherwise(F.col(f"above_{v}")).alias(f"above_{v}") for v in values]), now)
     # Re-expand: what was contracted last is put back first.
     totals = functools.reduce(DataFrame.union, raked) if raked else tree.select("node", *values)
     for chain in reversed(chains):
