@@ -12,6 +12,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
@@ -25,7 +26,7 @@ UNITS, ADDED = 1_000_000_000, 5
 #: Terms listed for each source.
 TERMS = 50
 #: Cells (terms times sources) of one shard.
-SHARD_CELLS = 1_000_000
+SHARD_CELLS = 200_000
 #: Everything but letters: ASCII outside A-Z and a-z.
 BETWEEN = r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"
 _SLICE_BYTES = 4 << 20
@@ -95,9 +96,9 @@ def _compared(table: pa.Table) -> pa.Table:
     listed = frame[frame["term"].isna()].sort_values("source")
     sources = {s: i for i, s in enumerate(listed["source"])}
     frame = frame[frame["term"].notna()]
-    numbers, terms = np.unique(frame["term"].to_numpy(dtype=object).astype(str), return_inverse=True) if len(frame) else ((), [])
+    terms, numbers = pd.factorize(frame["term"])
     shares = np.tile(listed["p"].to_numpy(np.int64)[:, None], (1, len(numbers)))
-    shares[frame["source"].map(sources).to_numpy(np.int64), np.asarray(terms, np.int64)] = frame["p"].to_numpy(np.int64)
+    shares[frame["source"].map(sources).to_numpy(np.int64), terms] = frame["p"].to_numpy(np.int64)
     names = list(sources)
     a, b, f = [], [], []
     for i in range(len(names) - 1):
