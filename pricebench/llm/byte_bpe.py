@@ -21,7 +21,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, functions as F
 
 from pricebench.llm.common import text_batches
-from pricebench.llm.merging import merge, pair_table, splitter
+from pricebench.llm.letter_classes import Classes, of_tiktoken, splitter
+from pricebench.llm.merging import merge, pair_table
 from pricebench.llm.perfect_hash import PerfectHash
 
 TIKTOKEN_FILE = "byte_bpe_50k.tiktoken"
@@ -72,12 +73,12 @@ class Pieces(dict):
 class Encoder:
     """``specials``: strings that are one id wherever they stand in a text."""
 
-    def __init__(self, path: str, pattern: str, specials: dict[str, int] | None = None, pieces: Pieces | None = None):
+    def __init__(self, path: str, pattern: str, specials: dict[str, int] | None = None, pieces: Pieces | None = None, classes: Classes | None = None):
         if pieces is None:
             ranks = load_ranks(path)
             pieces = Pieces(ranks, PerfectHash(ranks))
         self.pieces = pieces
-        self.split = splitter(pattern)
+        self.split = splitter(pattern, classes or of_tiktoken())
         self.specials = {s: np.array([i], "<u4").tobytes() for s, i in (specials or {}).items()}
         # Of two that match at one place the longer one counts.
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.specials, key=len, reverse=True))) + ")") if specials else None
@@ -98,9 +99,9 @@ class Encoder:
 
 
 @functools.lru_cache(maxsize=4)
-def encoder(path: str, pattern: str, specials: tuple[tuple[str, int], ...] = ()) -> Encoder:
+def encoder(path: str, pattern: str, specials: tuple[tuple[str, int], ...] = (), classes: Classes | None = None) -> Encoder:
     """Built once in each Python worker, from the installed vocabulary file."""
-    return Encoder(path, pattern, dict(specials))
+    return Encoder(path, pattern, dict(specials), classes=classes)
 
 
 @functools.lru_cache(maxsize=4)
@@ -111,11 +112,11 @@ def vocabulary(path: str, specials: tuple[tuple[str, int], ...] = ()) -> list[by
 
 
 def encode_udf(path: str, pattern: str, specials: dict[str, int] | None = None):
-    fixed = tuple(sorted((specials or {}).items()))
+    fixed, classes = tuple(sorted((specials or {}).items())), of_tiktoken()
 
     @F.pandas_udf("binary")
     def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        enc = encoder(path, pattern, fixed)
+        enc = encoder(path, pattern, fixed, classes)
         for texts in batches:
             yield pd.Series([enc.encode(t) for t in texts], dtype=object)
 

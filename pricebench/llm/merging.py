@@ -1,14 +1,9 @@
-"""Pre-tokens and byte-pair merging, shared by the tokenizer operators."""
+"""Byte-pair merging, shared by the tokenizer operators."""
 
 from __future__ import annotations
 
-import re
-import unicodedata
-from collections.abc import Callable
 from heapq import heapify, heappop, heappush
 
-import regex
-
 #: Bits of a part's number; vocabularies are far smaller.
 _BITS = 21
 
@@ -66,30 +61,3 @@ def merge(parts: list[int], pairs: dict[int, int]) -> list[int]:
             if r >= 0:
                 heappush(heap, r * n + h)
     return [p for p in parts if p >= 0]
-
-
-def _class(kinds: str) -> str:
-    """Code points below 256 of the given general categories, for a character class."""
-    return "".join(re.escape(chr(c)) for c in range(256) if unicodedata.category(chr(c))[0] in kinds)
-
-
-def splitter(pattern: str) -> Callable[[str], list[str]]:
-    """The matches of a pre-token pattern in a text.
-
-    Texts of code points below 256 take the standard library's faster matcher,
-    with the pattern's property classes spelled out for that range.
-    """
-    letters, digits = _class("L"), _class("N")
-    space = r"\t-\r \x85\xa0"  # what has the White_Space property in this range
-    narrow = pattern.replace(r"[^\s\p{L}\p{N}]", f"[^{space}{letters}{digits}]").replace(r"[\p{L}]", f"[{letters}]").replace(r"[\p{N}]", f"[{digits}]")
-    narrow = narrow.replace(r"\p{L}", f"[{letters}]").replace(r"\p{N}", f"[{digits}]").replace(r"\s", f"[{space}]").replace(r"\S", f"[^{space}]")
-    wide = regex.compile(pattern).findall
-    if r"\p" in narrow:
-        return wide
-    fast = re.compile(narrow).findall
-
-    def split(text: str) -> list[str]:
-        return fast(text) if text.isascii() or max(text) <= "\xff" else wide(text)
-
-    return split
-

@@ -29,8 +29,10 @@ import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from pricebench.llm.byte_bpe import TIKTOKEN_FILE, Encoder, Pieces, encoder, load_ranks
+from pricebench.llm.byte_bpe import TIKTOKEN_FILE, Encoder, Pieces, load_ranks
 from pricebench.llm.common import cut_lineage, released, text_batches
+from pricebench.llm.letter_classes import Classes, of_tokenizers
+from pricebench.llm.perfect_hash import PerfectHash
 
 WINDOW, QUANTUM, LANE_TOKENS = 2048, 256, 1 << 20
 END_OF_DOCUMENT = 1
@@ -41,6 +43,12 @@ BROADCAST_ROWS = 200_000
 _LONG = 400
 
 
+@functools.lru_cache(maxsize=2)
+def _by_heap(path: str) -> Pieces:
+    ranks = load_ranks(path)
+    return Pieces(ranks, PerfectHash(ranks))
+
+
 class _LibraryPieces(Pieces):
     """Pre-tokens are looked up and merged by the library, very long ones by the heap."""
 
@@ -53,19 +61,21 @@ class _LibraryPieces(Pieces):
     def ids_of(self, piece: bytes) -> list[int]:
         if len(piece) < _LONG:
             return self.library._encode_single_piece(piece)
-        return encoder(self.path, public_tokenizers.PATTERN).pieces.ids_of(piece)
+        return _by_heap(self.path).ids_of(piece)
 
 
 @functools.lru_cache(maxsize=2)
-def _encoder(path: str) -> Encoder:
-    return Encoder(path, public_tokenizers.PATTERN, SPECIALS, _LibraryPieces(path))
+def _encoder(path: str, classes: Classes | None = None) -> Encoder:
+    """Cuts pre-tokens where the tokenizers library does."""
+    return Encoder(path, public_tokenizers.PATTERN, SPECIALS, _LibraryPieces(path), classes or of_tokenizers())
 
 
 def _queued(path: str):
     """Encodes a partition's documents and notes each one's place among those of its source in this partition."""
+    classes = of_tokenizers()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        enc, part, place = _encoder(path), TaskContext.get().partitionId(), defaultdict(int)
+        enc, part, place = _encoder(path, classes), TaskContext.get().partitionId(), defaultdict(int)
         for docs in batches:
             ids, places = [], []
             for text, source in zip(docs["text"], docs["source"]):

@@ -12,7 +12,6 @@ from __future__ import annotations
 import functools
 import json
 import re
-import unicodedata
 from collections.abc import Iterator
 
 import pandas as pd
@@ -20,7 +19,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, functions as F
 
 from pricebench.llm.common import text_batches
-from pricebench.llm.merging import merge, pack_pair, splitter
+from pricebench.llm.letter_classes import Classes, Lowering, lowering, of_tokenizers, splitter
+from pricebench.llm.merging import merge, pack_pair
 
 WORD_FILE = "word_bpe_49k.json"
 REMEMBERED, REMEMBERED_CHARS = 200_000, 48
@@ -37,7 +37,8 @@ def byte_letters() -> list[str]:
 class WordBpe:
     """The parts of a tokenizer file that decide how many tokens a text has."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, classes: Classes | None = None, normal: Lowering | None = None):
+        self.normal = normal or lowering()
         with open(path, encoding="utf8") as f:
             self.spec = json.load(f)
         model = self.spec["model"]
@@ -54,7 +55,7 @@ class WordBpe:
         steps = self.spec["normalizer"]["normalizers"]
         if [s["type"] for s in steps] != ["NFC", "Replace", "Lowercase"]:
             raise ValueError("a tokenizer file of another kind")
-        self.split = splitter(self.spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
+        self.split = splitter(self.spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"], classes or of_tokenizers())
         specials = [t["content"] for t in self.spec["added_tokens"]]
         self.cut = re.compile("|".join(map(re.escape, sorted(specials, key=len, reverse=True))))
 
@@ -77,12 +78,6 @@ class WordBpe:
                 out[text] = 1
         return out
 
-    @staticmethod
-    def normal(text: str) -> str:
-        if not (text.isascii() or max(text) <= "\xff"):
-            text = unicodedata.normalize("NFC", text).replace("Σ", "σ")  # lower case letter by letter, whatever follows
-        return text.lower()
-
 
 class Counts(dict):
     def __init__(self, bpe: WordBpe, proven: dict[str, int]):
@@ -128,12 +123,14 @@ def count_tokens(docs: DataFrame, text: str = "text", out: str = "n_tokens", pat
     ``out`` is replaced).
     """
     path = path or public_tokenizers.path(WORD_FILE)
-    proven = docs.sparkSession.sparkContext.broadcast(proven_words(path))
+    # Proven words and what the library says of code points: found once, of bounded size.
+    known = docs.sparkSession.sparkContext.broadcast((proven_words(path), of_tokenizers(), lowering()))
 
     @F.pandas_udf("long")
     def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         if path not in _counts:  # kept by the worker from task to task
-            _counts[path] = Counts(word_bpe(path), proven.value)
+            proven, classes, normal = known.value
+            _counts[path] = Counts(WordBpe(path, classes, normal), proven)
         for texts in batches:
             yield pd.Series([_counts[path].of(t) for t in texts], dtype="int64")
 

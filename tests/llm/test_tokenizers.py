@@ -41,6 +41,24 @@ def test_counts_are_the_librarys(text):
         assert counts.of(t) == len(WORDS.encode(t, add_special_tokens=False).ids)
 
 
+def test_every_code_point_is_cut_and_lowered_as_the_libraries_do():
+    """op3, op4 and op6 on all code points, alone and between letters, digits, marks and spaces."""
+    enc, own = byte_bpe.encoder(PATH, public_tokenizers.PATTERN), packing._encoder(PATH)
+    bpe = token_counts.word_bpe(public_tokenizers.path(token_counts.WORD_FILE))
+    counts = token_counts.Counts(bpe, token_counts.proven_words(public_tokenizers.path(token_counts.WORD_FILE)))
+    points = [chr(c) for c in range(0x110000) if not 0xD800 <= c <= 0xDFFF]
+    for context in ("{0}", "a{0}b", "1{0}2", " {0} ", "'{0}\u0301", "漢{0}\u0323", "Î{0}", "{0}\u0334{0}"):
+        for i in range(0, len(points), 5003):
+            part = points[i : i + 5003]
+            text = "\n".join(context.format(c) for c in part)
+            cases = [(enc.encode, LIBRARY.encode_ordinary, packed), (own.encode, lambda t: BYTES.encode(t, add_special_tokens=False).ids, packed),
+                     (counts.of, lambda t: WORDS.encode(t, add_special_tokens=False).ids, len)]
+            for got, want, form in cases:
+                if got(text) != form(want(text)):
+                    bad = [hex(ord(c)) for c in part if got(context.format(c)) != form(want(context.format(c)))]
+                    raise AssertionError((context, got, bad[:20]))
+
+
 def test_proof_holds_against_the_library():
     words = list(token_counts.proven_words(public_tokenizers.path(token_counts.WORD_FILE)))[::97]
     bpe = token_counts.word_bpe(public_tokenizers.path(token_counts.WORD_FILE))
