@@ -26,7 +26,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from pricebench.llm.common import BROADCAST_KEYS, cut_lineage, released, text_batches, with_key, without_keys
+from pricebench.llm.common import BROADCAST_KEYS, cut_lineage, cut_sized, released, text_batches, with_key, without_keys
 from pricebench.llm.components import components
 
 SHINGLE, PERCENT = 5, 80
@@ -208,12 +208,13 @@ def _exact(docs: DataFrame, candidates: DataFrame, k: int, percent: int) -> Data
     sizes = candidates.groupBy("comp").agg(F.count("*").alias("docs"), F.sum("n_shingles").alias("weight"))
     blocks = F.greatest(F.ceil(2 * F.col("docs") / TASK_DOCS), F.ceil(2 * F.col("weight") / TASK_SHINGLES))
     is_large = (F.col("docs") > TASK_DOCS) | (F.col("weight") > TASK_SHINGLES)
-    sizes = cut_lineage(sizes.withColumn("blocks", F.when(is_large, blocks).otherwise(0).cast("int")))
+    n = candidates.count()
+    sizes = cut_sized(sizes.withColumn("blocks", F.when(is_large, blocks).otherwise(0).cast("int")), n)
     weight = sizes.agg(F.sum("weight")).first()[0] or 0
     bundles = max(1, -(-weight // (TASK_SHINGLES // 2)))
-    placed = cut_lineage(candidates.join(sizes.select("comp", "blocks"), "comp").select(
+    placed = cut_sized(candidates.join(sizes.select("comp", "blocks"), "comp").select(
         F.col("doc_id").alias("__id"), "comp", "blocks",
-        F.when(F.col("blocks") > 0, F.pmod(F.xxhash64("doc_id"), F.greatest("blocks", F.lit(1)))).otherwise(0).cast("int").alias("block")))
+        F.when(F.col("blocks") > 0, F.pmod(F.xxhash64("doc_id"), F.greatest("blocks", F.lit(1)))).otherwise(0).cast("int").alias("block")), n)
 
     small = _with_sets(docs, placed.where("blocks = 0").select("__id", F.col("comp").alias("part")), k)
     edges = small.groupBy(F.pmod(F.xxhash64("part"), F.lit(bundles)).alias("bundle")).applyInPandas(_settle(percent), "a long, b long")
@@ -226,7 +227,7 @@ def _exact(docs: DataFrame, candidates: DataFrame, k: int, percent: int) -> Data
     met = large.union(hubs.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(large.columns))
     by_hub = met.withColumn("part", F.lit(0).cast("long")).groupBy("comp", "block").applyInPandas(_settle(percent), "a long, b long")
     edges = cut_lineage(edges.union(by_hub))
-    roots = cut_lineage(components(edges))
+    roots = cut_sized(components(edges), n)
 
     classed = large.join(roots.select(F.col("node").alias("doc_id"), "root"), "doc_id", "left").withColumn("class", F.coalesce("root", "doc_id"))
     classed = cut_lineage(classed.drop("root"))
@@ -235,7 +236,7 @@ def _exact(docs: DataFrame, candidates: DataFrame, k: int, percent: int) -> Data
     outside = classed.join(F.broadcast(main) if main.count() <= BROADCAST_KEYS else main, "comp").where(F.col("class") != F.col("main"))
     outside = outside.select("doc_id", "comp", "blocks", "class", "shingles", F.col("block").alias("outer_block"))
     outer = outside.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    needed = cut_lineage(outside.select("comp", "outer_block").distinct())
+    needed = cut_sized(outside.select("comp", "outer_block").distinct(), n)
     inner = classed.select("doc_id", "comp", "blocks", "class", "shingles", "block").join(needed, "comp")
     columns = ["doc_id", "comp", "class", "shingles", "block", "outer_block"]
     pairs = outer.select(*columns, F.lit(True).alias("outside")).union(inner.select(*columns, F.lit(False).alias("outside")))
@@ -259,18 +260,20 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -
     signed = cut_lineage(docs.mapInPandas(_signed(k), "doc_id long, n_shingles long, s1 long, s2 long, bands array<long>"))
     named = signed.where(F.col("doc_id").isNotNull() & F.col("s1").isNotNull())
     # Copies have one set: its smallest doc_id stands for it.
-    same = cut_lineage(named.groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")))
+    n = named.count()
+    same = cut_sized(named.groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), n)
+    n_sets = same.count()
     members = named.select("doc_id", "s1", "s2", "n_shingles", "bands").join(
         same.select("s1", "s2", F.col("rep").alias("doc_id")), ["doc_id", "s1", "s2"], "left_semi")
-    members = cut_lineage(members.select("doc_id", "n_shingles", F.explode("bands").alias("key")).distinct())
-    hubs = cut_lineage(members.groupBy("key").agg(F.min("doc_id").alias("hub"), F.count("*").alias("n")).where("n > 1").select("key", "hub"))
+    members = cut_sized(members.select("doc_id", "n_shingles", F.explode("bands").alias("key")).distinct(), n_sets * BANDS // 4)  # three longs a row
+    hubs = cut_sized(members.groupBy("key").agg(F.min("doc_id").alias("hub"), F.count("*").alias("n")).where("n > 1").select("key", "hub"), n_sets * BANDS // 8)
     near = members.join(hubs, "key").where(F.col("doc_id") != F.col("hub")).select(F.col("doc_id").alias("a"), F.col("hub").alias("b"))
     loose = components(near)
     sizes = members.select("doc_id", "n_shingles").distinct()
-    candidates = cut_lineage(loose.select(F.col("node").alias("doc_id"), F.col("root").alias("comp")).join(sizes, "doc_id"))
+    candidates = cut_sized(loose.select(F.col("node").alias("doc_id"), F.col("root").alias("comp")).join(sizes, "doc_id"), n_sets)
     exact = _exact(docs, candidates, k, percent)
     roots = same.join(exact.select(F.col("node").alias("rep"), "root"), "rep", "left").where((F.col("copies") > 1) | (F.col("root") < F.col("rep")))
-    roots = cut_lineage(roots.select("s1", "s2", F.coalesce("root", "rep").alias("root")))
+    roots = cut_sized(roots.select("s1", "s2", F.coalesce("root", "rep").alias("root")), n_sets)
     component = F.coalesce("root", "doc_id")
     return signed.drop("bands").join(roots, ["s1", "s2"], "left").select(
         "doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), component).alias("component_id"),
