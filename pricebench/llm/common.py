@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from pricebench.session import cut_lineage
 
-__all__ = ["beside_keys", "cut_lineage", "cut_sized", "key_columns", "released", "text_batches", "with_key", "without_keys"]
+__all__ = ["beside_keys", "cut_lineage", "cut_sized", "key_columns", "released", "share_of", "text_batches", "with_key", "without_keys"]
 
 
 #: Texts that are handed to Python at a time; the default of 10,000 would hold tens of megabytes, or gigabytes of long ones.
@@ -63,6 +63,11 @@ def with_key(df: DataFrame, *columns: str, names: tuple[str, str] = ("__k1", "__
     return df.withColumns({names[0]: a, names[1]: b})
 
 
+def share_of(hash64: Column, part: float) -> Column:
+    """Whether a 64-bit hash is in the lowest ``part`` of its range; all 63 bits count, so small parts of large tables aren't empty."""
+    return hash64.bitwiseAND(F.lit((1 << 63) - 1)) < F.lit(min((1 << 63) - 1, int(part * (1 << 63)))) if part < 1 else F.lit(True)
+
+
 #: Rejected keys up to which they are broadcast (16 bytes each); beyond, they are joined by a shuffle.
 BROADCAST_KEYS = 100_000
 SALTS = 16
@@ -81,12 +86,12 @@ def without_keys(df: DataFrame, rejected: DataFrame, salt_by: Column) -> DataFra
     return df.withColumn("__salt", F.pmod(F.xxhash64(salt_by), F.lit(SALTS)).cast("int")).join(salted, ["__k1", "__k2", "__salt"], "left_anti").drop("__salt")
 
 
-def beside_keys(df: DataFrame, table: DataFrame, more: Column, salt_by: Column) -> DataFrame:
-    """Left join of ``df`` with ``table``, which has one row per key (__k1, __k2); salted like ``without_keys`` beyond the broadcast bound.
+def beside_keys(df: DataFrame, table: DataFrame, salt_by: Column) -> DataFrame:
+    """Left join of ``df`` with ``table``, which has one row per key (__k1, __k2).
 
-    ``more``: how many keys' worth of room a row of ``table`` takes besides its key.
+    Salted on both sides, since thousands of copies share one key.  Both are
+    shuffled whatever their size, so that the work grows in proportion.
     """
-    if (table.agg(F.sum(more + 1)).first()[0] or 0) <= BROADCAST_KEYS:
-        return df.join(F.broadcast(table), ["__k1", "__k2"], "left")
     salted = table.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return df.withColumn("__salt", F.pmod(F.xxhash64(salt_by), F.lit(SALTS)).cast("int")).join(salted, ["__k1", "__k2", "__salt"], "left").drop("__salt")
+    df = df.withColumn("__salt", F.pmod(F.xxhash64(salt_by), F.lit(SALTS)).cast("int"))
+    return df.join(salted.hint("merge"), ["__k1", "__k2", "__salt"], "left").drop("__salt")

@@ -179,7 +179,7 @@ def keep_good(docs: DataFrame, **limits) -> DataFrame:
     failed = measured.where(base_failed()).select("__k1", "__k2", F.lit(None).cast("array<long>").alias("lines"), F.lit(True).alias("rejected"))
     verdicts = limited(measured, **limits).select("__k1", "__k2", F.expr("IF(depleted, NULL, lines)").alias("lines"), F.col("depleted").alias("rejected"))
     verdicts = cut_lineage(verdicts.union(failed.distinct()).groupBy("__k1", "__k2").agg(F.max("rejected").alias("__rejected"), F.max("lines").alias("__lines")))
-    judged = beside_keys(with_key(docs, "source", "text"), verdicts, F.size(F.coalesce("__lines", F.array())), F.col("doc_id"))
+    judged = beside_keys(with_key(docs, "source", "text"), verdicts, F.col("doc_id"))
     judged = text_batches(judged).where(F.col("__rejected").isNull() | ~F.col("__rejected"))
     loses = F.col("__lines").isNotNull()  # other texts don't go to Python
     text = F.coalesce(_cleaned()(F.when(loses, F.col("text")), F.col("__lines")), F.col("text"))
@@ -213,7 +213,7 @@ b AS (SELECT d.r, doc_id, source, text, len(w)::BIGINT n_words, coalesce(list_su
   FROM d JOIN ws USING (r) LEFT JOIN dl USING (r) LEFT JOIN rep USING (r)),
 sl AS (SELECT source, text, any_value(n_words) n_words, lower(array_to_string(w, ' ')) line, any_value(doc) first, sum(len(w)) / any_value(times) words
   FROM lw JOIN b USING (r) JOIN (SELECT source s, text t, min(doc_id) doc, count(*) times FROM b GROUP BY 1, 2) g ON g.s = source AND g.t = text
-  WHERE len(w) BETWEEN 1 AND 24 GROUP BY source, text, line),
+  WHERE len(w) > 0 GROUP BY source, text, line),
 often AS (SELECT source, line, min(first) holder FROM sl GROUP BY 1, 2 HAVING count(*) > 20),
 lost AS (SELECT source, text FROM sl JOIN often USING (source, line) WHERE first <> holder GROUP BY source, text HAVING sum(words) > 0.5 * any_value(n_words))
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
