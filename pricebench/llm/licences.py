@@ -21,7 +21,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from pricebench.llm.common import text_batches
+from pricebench.llm.common import share_of, text_batches
 from pricebench.llm.licence_templates import OTHERS, TEMPLATES
 from pricebench.llm.stop_words import STOP_WORDS
 
@@ -297,7 +297,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> LicenceModel:
     """Trains on the templates and on about ``sample`` paragraphs of ``docs`` without any licence word, chosen by hash."""
     n = docs.count()
     part = min(1.0, sample / max(1, n))
-    chosen = docs.select("text").where(F.col("text").isNotNull() & (F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < int(part * (1 << 20)))).distinct()
+    chosen = docs.select("text").where(F.col("text").isNotNull() & share_of(F.xxhash64("text"), part)).distinct()
     # One paragraph of each chosen document, by hash as well; its first words suffice as an example of other text.
     lines = F.split("text", "\n")
     line = F.element_at(lines, (F.pmod(F.xxhash64("text", F.lit(1)), F.size(lines)) + 1).cast("int"))

@@ -21,7 +21,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from pricebench.llm.common import cut_lineage, released, text_batches
+from pricebench.llm.common import cut_lineage, released, share_of, text_batches
 from pricebench.llm.stop_words import STOP_WORDS
 
 #: Documents the scorer is trained on, in expectation; counts and posteriors come from all documents.
@@ -224,7 +224,7 @@ class QualityModel:
 def _chosen(docs: DataFrame, part: float) -> DataFrame:
     """(text, order) of about this part of the documents."""
     order = F.xxhash64(F.isnull("doc_id"), "doc_id", "text")
-    chosen = docs.select("text", order.alias("order")).where(F.col("text").isNotNull() & (F.pmod("order", F.lit(1 << 20)) < int(part * (1 << 20))))
+    chosen = docs.select("text", order.alias("order")).where(F.col("text").isNotNull() & share_of(F.col("order"), part))
     return chosen.dropDuplicates(["order"])
 
 
@@ -247,6 +247,8 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> QualityModel:
     labelled = chosen.withColumn("votes", _pattern()("text")).join(F.broadcast(by_pattern), "votes").select("text", "order", "posterior")
     trained = labelled.repartition(TRAINERS, F.pmod(F.shiftright("order", 20), F.lit(TRAINERS))).mapInPandas(released(_train), "index long, weight double, n double")
     trained = cut_lineage(trained)
+    if not trained.limit(1).count() and docs.where(F.col("text").isNotNull()).limit(1).count():
+        raise ValueError(f"no document was chosen for training: {sample} of {total}")
     # The bias is never zero, so its rows tell how much every trainer has seen.
     seen = trained.where(F.col("index") == 1 << BITS).agg(F.sum("n")).first()[0] or 1.0
     for index, weight in trained.groupBy("index").agg(F.sum("weight")).collect():  # at most 2 ** BITS + 1 rows
