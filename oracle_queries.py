@@ -298,6 +298,10 @@ def oracles() -> dict[str, str]:
     out |= {
         "q2_ingest": ingest + " SELECT file_name, status, CASE WHEN good THEN sup END AS supplier, CASE WHEN good THEN bn END AS bill_no, CASE WHEN good THEN n ELSE 0 END AS lines, "
                      "CASE WHEN status IN ('review','done') THEN s END AS rec_sum, CASE WHEN status IN ('review','done') THEN st END AS rec_stated FROM j",
+        "t1_ingest": ingest + " SELECT file_name, status, CASE WHEN good THEN sup END AS supplier, CASE WHEN good THEN bn END AS bill_no, CASE WHEN good THEN n ELSE 0 END AS lines, "
+                     "CASE WHEN status IN ('review','done') AND bn<>'' THEN n END AS stored_lines FROM j",
+        "t2_events": "SELECT CAST(event_id AS VARCHAR) AS id, event_type AS kind, event_type AS source, "
+                     "CASE WHEN event_id%5=0 THEN 'done' WHEN event_id%2=1 OR event_id%3=0 THEN 'warn' ELSE 'ok' END AS status FROM events",
         "a22_run_report": ingest + " SELECT count(*) AS files_total, count(*) FILTER (status='done') AS done, count(*) FILTER (status='review') AS review, "
                           "count(*) FILTER (status='duplicate') AS duplicate, count(*) FILTER (status='failed') AS failed, "
                           "CAST(sum(n) FILTER (status IN ('done','review')) AS BIGINT) AS part_rows_exported, 0::BIGINT AS input_tokens, 0::BIGINT AS output_tokens, CAST(NULL AS DOUBLE) AS estimated_cost FROM j",
@@ -307,7 +311,7 @@ def oracles() -> dict[str, str]:
     numtxt = lambda x: f"(CASE WHEN ({x})%1=0 THEN CAST(CAST({x} AS DECIMAL(38,0)) AS VARCHAR) ELSE CAST({x} AS VARCHAR) END)"
     fields = ("supplier", "bill_no", "npn", "part_name", "unit", "qty", "grade", "unit_basis")
     row = "concat_ws(chr(1)," + ",".join(f"CAST({c} AS VARCHAR)" for c in fields) + ",'unknown','false')"
-    config = hashlib.sha256(json.dumps(dataclasses.asdict(MatchConfig()), sort_keys=True).encode()).hexdigest()[:8]
+    config = hashlib.sha256(json.dumps({k: v for k, v in dataclasses.asdict(MatchConfig()).items() if v is not None}, sort_keys=True).encode()).hexdigest()[:8]
     snapshot = (f"sn AS (SELECT 'BENCH-'||substr(sha256(count(*)||':'||CAST(sum(CAST(('0x'||substr(sha256({row}),1,15)) AS BIGINT)) AS VARCHAR)),1,8)||'-{config}' AS snapshot_id FROM l)")
     models = ("ml AS (SELECT cluster_id, string_agg(model,' | ' ORDER BY f) AS models FROM (SELECT cluster_id, model, min(mr) AS f FROM g WHERE model NOT IN ('','—') GROUP BY ALL) GROUP BY cluster_id)")
     held = (" SELECT bn AS bill_no, arg_min(sup,k) AS supplier, arg_min('extracted lines sum S$'||" + numtxt("s") + "||' but printed parts subtotal is S$'||" + numtxt("st")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import hashlib
 import json
 from dataclasses import asdict, dataclass, replace
@@ -38,6 +39,11 @@ class MatchConfig:
     min_quotes: int = 4
     strict_guards: bool = False
     exclude_review: bool = False
+    # Recency and tax: off unless set, and only what is set enters the fingerprint.
+    as_of: str | None = None  # ISO date
+    window_months: int | None = None
+    half_life_months: int | None = None
+    ex_gst: bool | None = None
 
     def __post_init__(self) -> None:
         if self.mode not in MODES:
@@ -46,13 +52,25 @@ class MatchConfig:
             raise ValueError("threshold must be above 0 and at most 1")
         if not 0.0 <= self.token_weight <= 1.0:
             raise ValueError("token_weight must be between 0 and 1")
+        if (self.window_months is not None or self.half_life_months is not None) and self.as_of is None:
+            raise ValueError("a window or half-life needs as_of, the day that ages are counted to")
+        for name in ("window_months", "half_life_months"):
+            if getattr(self, name) is not None and getattr(self, name) < 1:
+                raise ValueError(f"{name} must be at least 1")
+        if self.as_of is not None:
+            dt.date.fromisoformat(self.as_of)
+
+    def as_of_date(self) -> dt.date:
+        if self.as_of is None:
+            raise ValueError("as_of is not set")
+        return dt.date.fromisoformat(self.as_of)
 
     def with_(self, **changes) -> "MatchConfig":
         return replace(self, **changes)
 
     def fingerprint(self) -> str:
         """Key-sorted hash, so the same settings give the same id anywhere."""
-        text = json.dumps(asdict(self), sort_keys=True)
+        text = json.dumps({k: v for k, v in asdict(self).items() if v is not None}, sort_keys=True)
         return hashlib.sha256(text.encode()).hexdigest()[:8]
 
     def mode_label(self) -> str:

@@ -15,7 +15,8 @@ _PER_DOUBLING = 32
 _ZERO, _NEGATIVE = -100_000, -200_000
 
 
-def _bucket(v: Column) -> Column:
+def price_bucket(v: Column) -> Column:
+    """A coarse number of a value's size; it never falls where the value rises."""
     scale = F.floor(F.log2(F.abs(F.nullif(v, F.lit(0.0)))) * _PER_DOUBLING).cast("int")
     return F.when(v == 0, F.lit(_ZERO)).when(v > 0, scale).otherwise(F.lit(_NEGATIVE) - scale)
 
@@ -30,7 +31,7 @@ def grouped_quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[st
         df.where(F.col(value).isNotNull())
         .groupBy(*keys, F.col(value).alias("_v"))
         .agg(F.count(F.lit(1)).alias("_f"))
-        .withColumn("_b", _bucket(F.col("_v")))
+        .withColumn("_b", price_bucket(F.col("_v")))
     )
     along = Window.partitionBy(*keys).orderBy("_b")
     buckets = (
