@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
+import recent_queries  # noqa: E402
 from oracle_queries import oracles  # noqa: E402
 from pricebench import MatchConfig  # noqa: E402
 from pricebench.functions.similarity import with_name_features  # noqa: E402
@@ -34,8 +35,10 @@ from pricebench.plans import analytics as A  # noqa: E402
 from pricebench.operators.ordering import stored_order  # noqa: E402
 from pricebench.session import checkpoint_dir, cut_lineage  # noqa: E402
 from pricebench.sources.star import raw_lines, read_table  # noqa: E402
-from pricebench.sources.store import append_lines, keep_newest, last_per_id, line_table as stored_lines, newest_events, normal_events  # noqa: E402
+from pricebench.sources.documents import stream_answer_lines  # noqa: E402
+from pricebench.sources.store import activity_table, append_lines, keep_newest, last_per_id, line_table as stored_lines, load_lines, newest_events, normal_events, stream_batch  # noqa: E402
 from pricebench.sources.tabular import read_bill_sheet  # noqa: E402
+from pricebench.streaming import activity, bills  # noqa: E402
 
 try:
     import corpus_pipeline
@@ -260,19 +263,44 @@ def _sheets(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _stored(spark: SparkSession, folder: str) -> DataFrame:
-    """Seeded, replaced, upserted twice by two writers and compacted: what is left, and whether places are unique."""
-    table = stored_lines(spark, f"{checkpoint_dir(spark)}/stored-{uuid.uuid4().hex}")
+    """Replaced twice, upserted by two batches of which one is repeated: what is left, and whether places are unique."""
+    table = stored_lines(f"{checkpoint_dir(spark)}/stored-{uuid.uuid4().hex}")
     rows = lines(spark, folder)
     table.replace(rows.where("seq % 3 = 0"))
     table.replace(rows.where("seq % 3 <> 0"))
-    table.upsert(rows.where("seq % 5 = 0").withColumn("supplier", F.lit("first")), 0, "stream")
-    table.upsert(rows.where("seq % 10 = 0").withColumn("supplier", F.lit("second")))
-    table.upsert(rows.where("seq % 5 = 0").withColumn("supplier", F.lit("again")), 0, "stream")
-    table.compact()
-    out = table.load()
+    table.upsert(rows.where("seq % 5 = 0").withColumn("supplier", F.lit("first")), stream_batch(0))
+    table.upsert(rows.where("seq % 10 = 0").withColumn("supplier", F.lit("second")), table.next_batch(spark))
+    table.upsert(rows.where("seq % 5 = 0").withColumn("supplier", F.lit("again")), stream_batch(0))
+    out = load_lines(spark, table)
     return out.select("id", "supplier", (F.count("*").over(Window.partitionBy("seq")) == 1).alias("own_place"))
 
 
+def _streamed_bills(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents arriving in two landings, each read by a query of its own; a third start finds nothing new."""
+    root, docs = f"{checkpoint_dir(spark)}/bills-{uuid.uuid4().hex}", documents(spark, folder).withColumn("path", F.concat(F.lit("/in/"), "file_name"))
+    # Texts that can't be read differ, or they would be one document.
+    docs = docs.withColumn("text", F.when(F.col("file_name").cast("long") % 17 == 0, F.concat("text", F.lit(" "), "file_name")).otherwise(F.col("text")))
+    half = docs.agg(F.percentile_approx(F.col("file_name").cast("long"), 0.5)).first()[0] or 0
+    for landed in (F.col("file_name").cast("long") <= half, F.col("file_name").cast("long") > half, F.lit(False)):
+        docs.where(landed).select("path", "file_name", "text").write.mode("append").json(f"{root}/landing")
+        bills.start(spark, "", root, answers=stream_answer_lines(spark, f"{root}/landing")).awaitTermination()
+    stored = bills.log_table(f"{root}/log").load(spark)
+    held = bills.line_table(f"{root}/lines").rows(spark).groupBy(F.col("bill_no").alias("b"), F.col("supplier").alias("s")).agg(F.count("*").cast("int").alias("stored_lines"))
+    return stored.join(held, F.col("b").eqNullSafe(F.coalesce("bill_no", F.lit(""))) & F.col("s").eqNullSafe(F.coalesce("supplier", F.lit(""))) & F.col("status").isin("done", "review") & (F.col("bill_no") != ""), "left").select(
+        "file_name", "status", "supplier", "bill_no", F.coalesce("lines", F.lit(0)).alias("lines"), "stored_lines")
+
+
+def _streamed_events(spark: SparkSession, folder: str) -> DataFrame:
+    """Events arriving in three landings, the last two repeating ids of earlier ones with another status."""
+    root, rows = f"{checkpoint_dir(spark)}/events-{uuid.uuid4().hex}", events(spark, folder).withColumn("id", F.col("id").cast("string"))
+    rows = rows.withColumns({"ts": F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'")})
+    k = F.col("id").cast("long")
+    for part in (rows.where(k % 2 == 0), rows.where((k % 2 == 1) | (k % 3 == 0)).withColumn("status", F.lit("warn")), rows.where(k % 5 == 0).withColumn("status", F.lit("done"))):
+        part.write.mode("append").json(f"{root}/landing")
+        activity.start(spark, f"{root}/landing", f"{root}/log").awaitTermination()
+    return activity_table(f"{root}/log").load(spark).select("id", "kind", "source", "status")
+
+
 def _ingest_again(spark: SparkSession, folder: str) -> DataFrame:
     """The documents in two folders under equal names, judged after every seventh bill was stored."""
     docs = documents(spark, folder).withColumn("k", F.col("file_name").cast("long"))
@@ -341,6 +369,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "q1_findings": _findings,
         "s1_sheets": _sheets,
         "s5_store": _stored,
+        "t1_ingest": _streamed_bills,
+        "t2_events": _streamed_events,
         "q2_ingest_stored": _ingest_again,
         "a19_coverage": lambda s, d: A.coverage(L(s, d), tuple(f"Brand#{i * 2 + 1}" for i in range(17))),
         "a22_run_report": lambda s, d: Q.run_report(judged(s, d)),
@@ -367,8 +397,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "s8_activity": lambda s, d: newest_events(normal_events(events(s, d))).select(
             "id", "ts", "kind", "count", F.expr("variant_get(detail, '$.k', 'bigint')").alias("k")),
         "s9_retention": lambda s, d: keep_newest(events(s, d)).select("id", "source"),
-    } | LLM_QUERIES
+    } | recent_queries.queries(L, G) | LLM_QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return oracles() | LLM_ORACLES
+    return oracles() | recent_queries.oracles() | LLM_ORACLES

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
@@ -37,126 +39,92 @@ def last_per_id(rows: DataFrame, key: str, *order: Column) -> DataFrame:
     return rows.withColumn("_place", F.row_number().over(newest)).where("_place = 1").drop("_place")
 
 
-#: A line's ``seq`` is the number of its write, then its place in that write.
-_PLACE_BITS, _WRITE_BITS = 40, 22
+#: Numbers that a stream leaves free between two of its batches, for corrections by hand.
+STRIDE = 1 << 20
+
+
+def stream_batch(batch_id: int) -> int:
+    """The batch number of a micro-batch; seeds and replacements are batch 0."""
+    return (batch_id + 1) * STRIDE
 
 
+@dataclass(frozen=True)
 class BatchTable:
-    """Rows with a key, written in numbered batches by named writers.
-
-    ``data/epoch=…/writer=…/batch=…`` holds what one writer wrote as one batch; a
-    write replaces its own batch and nothing else.  Every write has a number
-    that grows from write to write (a repeated batch keeps its number) and every
-    row its place in it, so the last write of a key is decided.  Replacing the
-    dataset, also by an empty one, writes a new epoch and then points
-    ``current`` to it; until then readers see the old one.  Writers of one table
-    take turns.
+    """Rows with a key as Parquet files partitioned by ``batch``.
+
+    A batch replaces itself when it is written again, so a retry changes nothing;
+    of a key that several batches hold, the highest batch counts, in a batch the
+    highest ``position`` and then the later row.  Writers give the numbers and take
+    turns.
     """
 
-    def __init__(self, spark: SparkSession, path: str, schema: T.StructType, key: str = "id"):
-        self.spark, self.path, self.schema, self.key = spark, path, schema, key
-        self.layout = T.StructType(self.schema.fields + [
-            T.StructField("position", T.LongType()), T.StructField("place", T.LongType()), T.StructField("written", T.LongType()),
-            T.StructField("epoch", T.IntegerType()), T.StructField("writer", T.StringType()), T.StructField("batch", T.LongType())])
+    path: str
+    schema: T.StructType
+    key: str = "id"
 
-    def _read(self, folder: str, schema: T.StructType) -> DataFrame:
+    def rows(self, spark: SparkSession, before: int | None = None) -> DataFrame:
+        """What batches (below ``before``) hold, every version, with ``batch``, ``position`` and ``place``."""
+        layout = T.StructType(self.schema.fields + [T.StructField(c, T.LongType()) for c in ("position", "place", "batch")])
         try:
-            return self.spark.read.schema(schema).parquet(f"{self.path}/{folder}")
-        except AnalysisException:
-            return self.spark.createDataFrame([], schema)
-
-    def _epoch(self) -> int:
-        pointed = self._read("current", T.StructType([T.StructField("id", T.LongType()), T.StructField("epoch", T.IntegerType())]))
-        return pointed.agg(F.max("epoch")).first()[0] or 0
-
-    def _rows(self, epoch: int) -> DataFrame:
-        return self._read("data", self.layout).where(F.col("epoch") == epoch)
-
-    def _writes(self, epoch: int) -> dict[tuple[str, int], int]:
-        """The number of each write; one row per batch."""
-        rows = self._rows(epoch).groupBy("writer", "batch").agg(F.max("written").alias("n")).collect()
-        return {(r["writer"], r["batch"]): r["n"] for r in rows}
-
-    def load(self, before: tuple[str, int] | None = None) -> DataFrame:
-        """The current rows, last write per key; with ``before`` (writer, batch) only what was written earlier than that batch."""
-        epoch = self._epoch()
-        rows = self._rows(epoch)
-        if before is not None and (n := self._writes(epoch).get(before)) is not None:
-            rows = rows.where(F.col("written") < n)
-        return self._folded(rows).select(*self.schema.names)
-
-    def _folded(self, rows: DataFrame) -> DataFrame:
-        return last_per_id(rows, self.key, F.col("written"), F.col("position"), F.col("place"))
-
-    def _shaped(self, rows: DataFrame, written: int) -> DataFrame:
+            stored = spark.read.schema(layout).parquet(self.path)
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
+            stored = spark.createDataFrame([], layout)
+        return stored if before is None else stored.where(F.col("batch") < before)
+
+    def load(self, spark: SparkSession, before: int | None = None) -> DataFrame:
+        """The last version of each row."""
+        newest = last_per_id(self.rows(spark, before), self.key, F.col("batch"), F.col("position"), F.col("place"))
+        return newest.select(*self.schema.names)
+
+    def next_batch(self, spark: SparkSession) -> int:
+        """The first number after all that were used."""
+        last = self.rows(spark).agg(F.max("batch")).first()[0]
+        return 0 if last is None else last + 1
+
+    def _shaped(self, rows: DataFrame, batch: int) -> DataFrame:
         return rows.select(
             *[(F.col(f.name) if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in self.schema.fields],
-            (F.col("position").cast("long") if "position" in rows.columns else F.lit(0).cast("long")).alias("position"),
-            F.monotonically_increasing_id().alias("place"), F.lit(written).cast("long").alias("written"),
-        )
-
-    def _write(self, rows: DataFrame, epoch: int, writer: str, batch: int, written: int) -> None:
-        self._shaped(rows, written).write.mode("overwrite").parquet(f"{self.path}/data/epoch={epoch}/writer={writer}/batch={batch}")
-
-    def upsert(self, rows: DataFrame, batch: int | None = None, writer: str = "upsert") -> int:
-        """The same batch of the same writer written again replaces itself, so a retry changes nothing."""
-        epoch = self._epoch()
-        writes = self._writes(epoch)
-        if batch is None:
-            batch = max((b for w, b in writes if w == writer), default=-1) + 1
-        written = writes.get((writer, batch), max(writes.values(), default=-1) + 1)
-        self._write(rows, epoch, writer, batch, written)
-        return batch
-
-    def _point_to(self, epoch: int) -> None:
-        self.spark.range(1).write.mode("overwrite").parquet(f"{self.path}/current/epoch={epoch}")
+            (F.col("position") if "position" in rows.columns else F.lit(0)).cast("long").alias("position"),
+            F.monotonically_increasing_id().alias("place"), F.lit(batch).cast("long").alias("batch"))
+
+    def upsert(self, rows: DataFrame, batch: int) -> None:
+        """S6, S7."""
+        self._shaped(rows, batch).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(self.path)
 
     def replace(self, rows: DataFrame) -> None:
-        """Also with no rows at all."""
-        epoch = self._epoch() + 1
-        self._write(rows, epoch, "replace", 0, 0)
-        self._point_to(epoch)
-
-    def compact(self) -> None:
-        """Folds everything but each writer's newest batch, which may still be repeated, into one."""
-        epoch = self._epoch()
-        rows = self._rows(epoch)
-        newest = rows.groupBy("writer").agg(F.max("batch").alias("batch"))
-        kept = rows.join(F.broadcast(newest), ["writer", "batch"], "left_semi")  # one row per writer
-        older = rows.join(F.broadcast(newest), ["writer", "batch"], "left_anti")
-        folded = self._folded(older).withColumns({"writer": F.lit("compact"), "batch": F.lit(0).cast("long")})
-        columns = [f.name for f in self.layout.fields if f.name != "epoch"]
-        folded.select(*columns).union(kept.where("writer <> 'compact'").select(*columns)).union(
-            kept.where("writer = 'compact'").select(*columns)).write.partitionBy("writer", "batch").parquet(f"{self.path}/data/epoch={epoch + 1}")
-        self._point_to(epoch + 1)
+        """Also with no rows at all.  ``rows`` must not be read from this table; see ``cut_lineage``."""
+        self._shaped(rows, 0).write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("batch").parquet(self.path)
 
 
 class LineTable(BatchTable):
-    """Part lines.  Each write allots ``seq``: lines of a later write come later, within one they keep their order."""
+    """Part lines, in the order of batches and, within one, in the order they had."""
 
-    def _shaped(self, rows: DataFrame, written: int) -> DataFrame:
-        if written >> _WRITE_BITS:
-            raise ValueError("too many writes for the order of lines; compact or replace the table")
-        ordered = stored_order(rows, "seq", "id", out="_at")
-        at = F.when(F.col("_at") < (1 << _PLACE_BITS), F.col("_at")).otherwise(F.raise_error(F.lit("too many lines in one write")).cast("long"))
-        return super()._shaped(ordered.withColumn("seq", F.lit(written << _PLACE_BITS) + at).drop("_at"), written)
+    def _shaped(self, rows: DataFrame, batch: int) -> DataFrame:
+        return super()._shaped(stored_order(rows, "seq", "id", out="position"), batch)
 
-    def _folded(self, rows: DataFrame) -> DataFrame:
-        """A changed line keeps the place it first had."""
-        return super()._folded(rows.withColumn("seq", F.min("seq").over(Window.partitionBy(self.key))))
+    def load(self, spark: SparkSession, before: int | None = None) -> DataFrame:
+        """A changed line keeps the place it first had; ``seq`` is dense."""
+        first = Window.partitionBy(self.key)
+        rows = self.rows(spark, before).withColumn("_first", F.min(F.struct("batch", "position")).over(first))
+        newest = last_per_id(rows, self.key, F.col("batch"), F.col("position"), F.col("place"))
+        placed = stored_order(newest.drop("seq", "batch", "position", "place"), "_first.batch", "_first.position", self.key)
+        return placed.select(*self.schema.names)
 
 
-def line_table(spark: SparkSession, path: str) -> BatchTable:
-    return LineTable(spark, path, PART_LINE)
+def line_table(path: str) -> LineTable:
+    return LineTable(path, PART_LINE)
 
 
-def load_lines(table: BatchTable) -> DataFrame:
-    return with_line_defaults(table.load())
+def load_lines(spark: SparkSession, table: LineTable) -> DataFrame:
+    return with_line_defaults(table.load(spark))
 
 
-def seed_lines(table: BatchTable, raw: DataFrame, force: bool = False) -> bool:
+def seed_lines(table: LineTable, raw: DataFrame, force: bool = False) -> bool:
     """Fill an empty dataset; a filled one is left alone unless forced."""
-    if not force and not table.load().isEmpty():
+    spark = raw.sparkSession
+    if not force and not table.rows(spark).isEmpty():
         return False
     table.replace(enrich_lines(raw))
     return True
@@ -167,8 +135,8 @@ def append_lines(stored: DataFrame, new: DataFrame) -> DataFrame:
     return stored.unionByName(new, allowMissingColumns=True)
 
 
-def activity_table(spark: SparkSession, path: str) -> BatchTable:
-    return BatchTable(spark, path, ACTIVITY)
+def activity_table(path: str) -> BatchTable:
+    return BatchTable(path, ACTIVITY)
 
 
 def normal_events(events: DataFrame) -> DataFrame:

@@ -9,10 +9,11 @@ from pricebench.operators.clusters import build_clusters, cluster_variants
 from pricebench.operators.enrich import enrich_lines
 from pricebench.operators.grouping import assign_clusters
 from pricebench.operators.quality import invoice_lines, judge_documents
+from pricebench.session import cut_lineage
 from pricebench.sources.documents import first_documents, read_answers, read_scans
 from pricebench.sources.exports import benchmark_sheet, export_dataset, export_worklist, import_sheet
 from pricebench.sources.star import raw_lines
-from pricebench.sources.store import activity_table, keep_newest, line_table, load_lines, newest_events, normal_events, seed_lines
+from pricebench.sources.store import activity_table, keep_newest, line_table, load_lines, newest_events, normal_events, seed_lines, stream_batch
 from pricebench.sources.tabular import header_layout, read_bill_sheet
 from pricebench.streaming import activity as activity_stream, bills as bill_stream
 from test_quality import COVER, GOOD, PART
@@ -64,49 +65,47 @@ def line(i, **more):
 
 
 def test_line_store(spark, tmp_path):
-    table = line_table(spark, str(tmp_path / "lines"))
-    assert load_lines(table).count() == 0
+    table = line_table(str(tmp_path / "lines"))
+    assert load_lines(spark, table).count() == 0 and table.next_batch(spark) == 0
     assert seed_lines(table, raw_frame(spark, [line(0), line(1)])) is True
-    assert seed_lines(table, raw_frame(spark, [line(2)])) is False and load_lines(table).count() == 2
+    assert seed_lines(table, raw_frame(spark, [line(2)])) is False and load_lines(spark, table).count() == 2
     changed = enrich_lines(raw_frame(spark, [line(1, supplier="NEW"), line(5)]))
-    batch = table.upsert(changed)
+    batch = table.next_batch(spark)
     table.upsert(changed, batch)
-    rows = {r.id: r for r in load_lines(table).collect()}
-    assert sorted(rows) == ["id0", "id1", "id5"] and rows["id1"].supplier == "NEW"
-    table.replace(load_lines(table).where("id = 'id5'"))
-    assert [r.id for r in load_lines(table).collect()] == ["id5"]
-    assert seed_lines(table, raw_frame(spark, [line(7)]), force=True) and load_lines(table).first().id == "id7"
+    table.upsert(changed, batch)
+    rows = {r.id: r for r in load_lines(spark, table).collect()}
+    assert sorted(rows) == ["id0", "id1", "id5"] and rows["id1"].supplier == "NEW" and table.rows(spark).count() == 4
+    assert [rows[i].seq for i in ("id0", "id1", "id5")] == [0, 1, 2]
+    table.replace(cut_lineage(load_lines(spark, table).where("id = 'id5'")))
+    assert [r.id for r in load_lines(spark, table).collect()] == ["id5"]
+    assert seed_lines(table, raw_frame(spark, [line(7)]), force=True) and load_lines(spark, table).first().id == "id7"
 
 
-def test_writers_of_one_root_keep_to_their_own_batches(spark, tmp_path):
+def test_corrections_between_the_batches_of_a_stream(spark, tmp_path):
     root = str(tmp_path)
-    table = line_table(spark, f"{root}/lines")
+    table = line_table(f"{root}/lines")
     seed_lines(table, raw_frame(spark, [line(0), line(1)]))
     docs = lambda *texts: spark.createDataFrame([(f"/in/{i}/z.txt", "z.txt", t) for i, t in enumerate(texts)], "path string, file_name string, text string")
-    bill_stream.ingest_batch(docs(bill(1)), 0, root)
-    table.upsert(enrich_lines(raw_frame(spark, [line(1, supplier="NEW"), line(5)])))
-    bill_stream.ingest_batch(docs(bill(1), bill(2, parts=[PART])), 1, root)
-    rows = load_lines(table).orderBy("seq").collect()
+    bill_stream.ingest_batch(docs(bill(1)), stream_batch(0), root)
+    table.upsert(enrich_lines(raw_frame(spark, [line(1, supplier="NEW"), line(5)])), table.next_batch(spark))
+    bill_stream.ingest_batch(docs(bill(1), bill(2, parts=[PART])), stream_batch(1), root)
+    rows = load_lines(spark, table).orderBy("seq").collect()
     assert [r.part_name for r in rows[:2]] == ["LAMP 0", "LAMP 1"] and rows[1].supplier == "NEW" and len(rows) == 6
-    assert len({r.seq for r in rows}) == 6 and [r.bill_no for r in rows] == ["", "", "MG-1", "MG-1", "", "MG-2"]
-    assert assign_clusters(load_lines(table)).count() == 5
-    bill_stream.ingest_batch(docs(bill(1), bill(2, parts=[PART])), 1, root)  # a retry
-    assert [(r.id, r.seq) for r in load_lines(table).orderBy("seq").collect()] == [(r.id, r.seq) for r in rows]
-    table.compact()
-    assert [(r.id, r.seq) for r in load_lines(table).orderBy("seq").collect()] == [(r.id, r.seq) for r in rows]
-    bill_stream.ingest_batch(docs(bill(1), bill(2, parts=[PART])), 1, root)
-    assert load_lines(table).count() == 6
-    table.replace(load_lines(table).where("false"))
-    assert load_lines(table).count() == 0
+    assert [r.seq for r in rows] == list(range(6)) and [r.bill_no for r in rows] == ["", "", "MG-1", "MG-1", "", "MG-2"]
+    assert assign_clusters(load_lines(spark, table)).count() == 5
+    bill_stream.ingest_batch(docs(bill(1), bill(2, parts=[PART])), stream_batch(1), root)  # a retry
+    assert [(r.id, r.seq) for r in load_lines(spark, table).orderBy("seq").collect()] == [(r.id, r.seq) for r in rows]
+    table.replace(cut_lineage(load_lines(spark, table).where("false")))
+    assert load_lines(spark, table).count() == 0
 
 
 def test_last_write_of_a_key_is_decided(spark, tmp_path):
-    table = activity_table(spark, str(tmp_path / "log"))
+    table = activity_table(str(tmp_path / "log"))
     twice = spark.createDataFrame([("e1", "first"), ("e1", "second")], "id string, source string").coalesce(1)
-    table.upsert(twice)
-    assert table.load().first().source == "second"
-    table.upsert(twice.where("source = 'first'"), writer="other")
-    assert table.load().first().source == "first"
+    table.upsert(twice, stream_batch(0))
+    assert table.load(spark).first().source == "second"
+    table.upsert(twice.where("source = 'first'"), table.next_batch(spark))
+    assert table.load(spark).first().source == "first" and table.load(spark, before=stream_batch(0) + 1).first().source == "second"
 
 
 def test_documents_are_told_apart_by_place_and_content(spark):
@@ -137,16 +136,16 @@ def test_keys_of_any_size_have_places_of_their_own(spark, tmp_path):
 
 
 def test_activity_log(spark, tmp_path):
-    table = activity_table(spark, str(tmp_path / "log"))
+    table = activity_table(str(tmp_path / "log"))
     events = spark.createDataFrame(
         [("e1", "2026-01-01T00:00:00Z", "ocr", "f1", "3", '{"a":1}'), ("e2", "2026-01-02T00:00:00Z", "error", "f1", "x", "not json"),
          ("e3", "2026-01-03T00:00:00Z", "", "f2", None, None)],
         "id string, ts string, kind string, source string, count string, detail string")
-    table.upsert(normal_events(events))
-    table.upsert(normal_events(events.where("id = 'e1'").withColumn("source", F.lit("again"))))
-    shown = newest_events(table.load(), 2).selectExpr("id", "kind", "count", "to_json(detail) d").collect()
+    table.upsert(normal_events(events), 0)
+    table.upsert(normal_events(events.where("id = 'e1'").withColumn("source", F.lit("again"))), 1)
+    shown = newest_events(table.load(spark), 2).selectExpr("id", "kind", "count", "to_json(detail) d").collect()
     assert [(r.id, r.kind, r["count"], r.d) for r in shown] == [("e3", "info", 0, None), ("e2", "error", 0, '{"raw":"not json"}')]
-    all_ = table.load()
+    all_ = table.load(spark)
     assert all_.count() == 3 and all_.where("id = 'e1'").first().source == "again"
     assert newest_events(all_, 0).count() == 1 and newest_events(all_, kind="ocr").count() == 1
     many = spark.range(1200).selectExpr("cast(id as string) id", "cast(id as string) ts", "if(id < 1100, 'a', 'b') source")
@@ -191,8 +190,8 @@ def test_bill_stream(spark, tmp_path):
     def run():
         query = bill_stream.start(spark, str(landing), root)
         query.awaitTermination(120)
-        lines = load_lines(line_table(spark, f"{root}/lines"))
-        log = bill_stream.log_table(spark, f"{root}/log").load()
+        lines = load_lines(spark, line_table(f"{root}/lines"))
+        log = bill_stream.log_table(f"{root}/log").load(spark)
         return lines, {r.file_name: r.status for r in log.collect()}
 
     (landing / "a.txt").write_text(bill(1))
@@ -210,9 +209,9 @@ def test_bill_stream(spark, tmp_path):
     assert lines.count() == 5 and len(log) == 5
     # The second batch again: it is judged against the first one only and replaces itself.
     again = spark.createDataFrame([(f.name, f.read_text()) for f in landing.iterdir() if f.name in ("d.txt", "e.txt")], "file_name string, text string")
-    bill_stream.ingest_batch(again, 1, root)
-    assert load_lines(line_table(spark, f"{root}/lines")).count() == 5
-    assert activity_table(spark, f"{root}/activity").load().count() == 2
+    bill_stream.ingest_batch(again, stream_batch(1), root)
+    assert load_lines(spark, line_table(f"{root}/lines")).count() == 5
+    assert activity_table(f"{root}/activity").load(spark).count() == 2
 
 
 def test_activity_stream(spark, tmp_path):
@@ -224,6 +223,6 @@ def test_activity_stream(spark, tmp_path):
     activity_stream.start(spark, str(landing), path).awaitTermination(60)
     (landing / "2.json").write_text(json.dumps({**event, "id": "e2"}) + "\n")
     activity_stream.start(spark, str(landing), path).awaitTermination(60)
-    rows = {r.id: r.source for r in activity_table(spark, path).load().collect()}
+    rows = {r.id: r.source for r in activity_table(path).load(spark).collect()}
     assert rows == {"e1": "new", "e2": "old"}
-    assert activity_stream.by_kind(activity_table(spark, path).load()).first().events == 2
+    assert activity_stream.by_kind(activity_table(path).load(spark)).first().events == 2
