@@ -31,6 +31,7 @@ from pricebench.operators.evidence import evidence_table, line_table, summary_ta
 from pricebench.operators.fingerprint import snapshot_id  # noqa: E402
 from pricebench.operators.grouping import assign_clusters, usable  # noqa: E402
 from pricebench.operators.pairs import candidate_pairs  # noqa: E402
+from pricebench.operators.snapshots import load_snapshot, save_snapshot  # noqa: E402
 from pricebench.plans import analytics as A  # noqa: E402
 from pricebench.operators.ordering import stored_order  # noqa: E402
 from pricebench.session import checkpoint_dir, cut_lineage  # noqa: E402
@@ -275,6 +276,14 @@ def _stored(spark: SparkSession, folder: str) -> DataFrame:
     return out.select("id", "supplier", (F.count("*").over(Window.partitionBy("seq")) == 1).alias("own_place"))
 
 
+def _snapshots(spark: SparkSession, folder: str) -> DataFrame:
+    """A snapshot of other prices of one make, then one of the lines as they are: the second one opened again."""
+    root, rows = f"{checkpoint_dir(spark)}/snapshots-{uuid.uuid4().hex}", lines(spark, folder)
+    save_snapshot(rows.withColumn("unit", F.when(F.col("make") == "Brand#7", F.col("unit") + 1).otherwise(F.col("unit"))), CATEGORY, root)
+    name, _ = save_snapshot(rows, CATEGORY, root)
+    return in_cluster_order(load_snapshot(spark, root, name)).withColumn("cluster_id", F.col("cluster_id").cast("string")).drop("cluster_order")
+
+
 def _streamed_bills(spark: SparkSession, folder: str) -> DataFrame:
     """All documents arriving in two landings, each read by a query of its own; a third start finds nothing new."""
     root, docs = f"{checkpoint_dir(spark)}/bills-{uuid.uuid4().hex}", documents(spark, folder).withColumn("path", F.concat(F.lit("/in/"), "file_name"))
@@ -369,6 +378,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "q1_findings": _findings,
         "s1_sheets": _sheets,
         "s5_store": _stored,
+        "q9_snapshots": _snapshots,
         "t1_ingest": _streamed_bills,
         "t2_events": _streamed_events,
         "q2_ingest_stored": _ingest_again,

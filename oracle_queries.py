@@ -210,6 +210,7 @@ def oracles() -> dict[str, str]:
                       f"FROM (SELECT DISTINCT part_name, {features('part_name')} FROM l)",
         "c1_exact_pn": table(EXACT),
         "c2_category": table(plain("make||' · '||cat")),
+        "q9_snapshots": table(plain("make||' · '||cat")),
         "c3_fuzzy": table(FUZZY),
         "c4_hybrid": table(EXACT),
         "c5_bridge": table(BRIDGE),
