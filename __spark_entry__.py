@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 import recent_queries  # noqa: E402
+import table_queries  # noqa: E402
 from oracle_queries import oracles  # noqa: E402
 from pricebench import MatchConfig  # noqa: E402
 from pricebench.functions.similarity import with_name_features  # noqa: E402
@@ -407,8 +408,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "s8_activity": lambda s, d: newest_events(normal_events(events(s, d))).select(
             "id", "ts", "kind", "count", F.expr("variant_get(detail, '$.k', 'bigint')").alias("k")),
         "s9_retention": lambda s, d: keep_newest(events(s, d)).select("id", "source"),
-    } | recent_queries.queries(L, G) | LLM_QUERIES
+    } | recent_queries.queries(L, G) | table_queries.queries(L, G, C, V, judged, assessment) | LLM_QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return oracles() | recent_queries.oracles() | LLM_ORACLES
+    old = oracles()
+    return old | recent_queries.oracles() | table_queries.oracles(old) | LLM_ORACLES

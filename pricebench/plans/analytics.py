@@ -210,9 +210,14 @@ def lookup(
 
 
 def natural_key(value: Column) -> Column:
-    """Case-blind text key in which runs of digits sort by their number."""
+    """Case-blind text key in which runs of digits sort by their number, however long they are."""
     pieces = F.regexp_extract_all(F.lower(F.coalesce(value.cast("string"), F.lit(""))), F.lit("([0-9]+|[^0-9]+)"), 1)
-    return F.array_join(F.transform(pieces, lambda p: F.when(p.rlike("^[0-9]"), F.lpad(p, 24, "0")).otherwise(p)), "")
+
+    def by_size(run: Column) -> Column:
+        bare = F.ltrim(run, F.lit("0"))
+        return F.concat(F.lpad(F.length(bare).cast("string"), 10, "0"), bare)  # a longer number is a greater one
+
+    return F.array_join(F.transform(pieces, lambda p: F.when(p.rlike("^[0-9]"), by_size(p)).otherwise(p)), "")
 
 
 def order_by_any(df: DataFrame, column: str, descending: bool = False) -> DataFrame:
