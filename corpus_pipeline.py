@@ -21,6 +21,8 @@ from pricebench.session import checkpoint_dir
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and are not depleted of lines of their own, without the lines above the limit."""
     kept = quality_rules.keep_good(docs)
+    if "n_chars" not in kept.columns:
+        return kept
     return kept.withColumn("n_chars", F.expr("IF(n_chars IS NULL, NULL, length(text))").cast(kept.schema["n_chars"].dataType))
 
 
