@@ -195,7 +195,7 @@ def op9_cleaned_text(spark: SparkSession, folder: str) -> DataFrame:
     return keep_good(spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "source", "text"))
 
 
-ORACLE = """
+_JUDGED = """
 WITH d AS (SELECT row_number() OVER () r, doc_id, coalesce(source, chr(0)) source, coalesce(text, '') text FROM documents),
 ws AS (SELECT r, regexp_extract_all(text, '[^ \\t\\n\\x0B\\f\\r]+') w FROM d),
 wi AS (SELECT r, unnest(w) w, generate_subscripts(w, 1) i FROM ws),
@@ -215,9 +215,16 @@ sl AS (SELECT source, text, any_value(n_words) n_words, lower(array_to_string(w,
   FROM lw JOIN b USING (r) JOIN (SELECT source s, text t, min(doc_id) doc, count(*) times FROM b GROUP BY 1, 2) g ON g.s = source AND g.t = text
   WHERE len(w) > 0 GROUP BY source, text, line),
 often AS (SELECT source, line, min(first) holder FROM sl GROUP BY 1, 2 HAVING count(*) > 20),
-lost AS (SELECT source, text FROM sl JOIN often USING (source, line) WHERE first <> holder GROUP BY source, text HAVING sum(words) > 0.5 * any_value(n_words))
+ll AS (SELECT source, text, sum(words) > 0.5 * any_value(n_words) depleted, list(line) ls FROM sl JOIN often USING (source, line) WHERE first <> holder GROUP BY source, text)
+"""
+ORACLE = _JUDGED + """
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
   (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) base_failed,
-  NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND l.text IS NULL kept
-FROM b LEFT JOIN lost l USING (source, text)
+  NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND NOT coalesce(depleted, false) kept
+FROM b LEFT JOIN ll USING (source, text)
+"""
+CLEANED_ORACLE = _JUDGED + """
+SELECT doc_id, nullif(source, chr(0)) source, CASE WHEN ls IS NULL THEN text ELSE array_to_string(list_filter(string_split(text, chr(10)), lambda l:
+  NOT list_contains(ls, lower(array_to_string(regexp_extract_all(l, '[^ \\t\\n\\x0B\\f\\r]+'), ' ')))), chr(10)) END AS text
+FROM b LEFT JOIN ll USING (source, text) WHERE NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND NOT coalesce(depleted, false)
 """

@@ -40,6 +40,7 @@ def oracles() -> dict[str, str]:
         "op2_top_k": top_k.ORACLE,
         "op8_minmax_dedup": near_dedup.ORACLE,
         "op9_quality_rules": quality_rules.ORACLE,
+        "op9_cleaned_text": quality_rules.CLEANED_ORACLE,
         "op11_source_divergence": source_divergence.ORACLE,
         "op12_prefix_trie": prefix_trie.ORACLE,
         "op13_secret_scans": secret_scans.ORACLE,

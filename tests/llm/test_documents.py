@@ -170,6 +170,30 @@ def test_lines_of_every_length_count(spark):
     assert {r["doc_id"] for r in quality_rules.keep_good(docs).where(F.contains("text", F.lit(notice))).collect()} == {0}
 
 
+@pytest.fixture(scope="module")
+def furnished(spark):
+    """Documents of three hosts that share lines: below, at and above the limit, long and short ones, repeated in a text, in copies."""
+    notice, menu = prose(200, 60), "Home  About\tContact us"
+    rows = [(i, "h", f"{notice}\n{prose(i, 50 if i % 2 else 80)}") for i in range(24)]
+    rows += [(100 + i, "g", f"{menu}\n{prose(300 + i, 30)}\n\nhome about Contact us \n{prose(400 + i, 10)}\n{menu if i % 3 else ''}") for i in range(30)]
+    rows += [(200 + i, "few", f"{menu}\n{prose(500 + i, 30)}") for i in range(20)] + [(300 + i, "g", rows[30][2]) for i in range(40)]
+    rows += [(400, "g", "too short"), (401, "g", ""), (402, "h", f"{menu}\n{prose(600, 40)}")]
+    return spark.createDataFrame(rows, "doc_id long, source string, text string")
+
+
+def test_rules_and_cleaned_texts_agree_with_their_statements(furnished):
+    db = duckdb.connect()
+    documents = furnished.toPandas()
+    db.register("documents", documents)
+    columns = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
+    want = sorted(tuple(r) for r in db.execute(quality_rules.ORACLE).df()[columns].itertuples(index=False))
+    assert sorted(tuple(r) for r in quality_rules.quality_rules(furnished).select(columns).collect()) == want
+    cleaned = {r["doc_id"]: r["text"] for r in quality_rules.keep_good(furnished).collect()}
+    assert cleaned == dict(db.execute(quality_rules.CLEANED_ORACLE).df()[["doc_id", "text"]].itertuples(index=False))
+    before = dict(documents[["doc_id", "text"]].itertuples(index=False))
+    assert sum(before[i] != t for i, t in cleaned.items()) > 30 and cleaned[200] == before[200] and cleaned[402] == before[402]
+
+
 def test_rules_on_odd_documents(odd_docs, no_docs):
     got = quality_rules.quality_rules(odd_docs).collect()
     assert len(got) == odd_docs.count()
