@@ -5,8 +5,8 @@ windows when long) are described by the word pairs and triples they share with t
 logistic regression over these sparse features tells the licence family.  It is
 trained on the templates, with words dropped and ordinary text around them,
 against paragraphs of the corpus and sentences that use the same words
-otherwise.  A window that holds several notices is read again without the words of
-those found.  Its temperature and the threshold below which a paragraph is unknown
+otherwise.  A window that is unknown as a whole, because several notices or other text
+compete, is read in shorter parts, and again without the words of notices found.  Its temperature and the threshold below which a paragraph is unknown
 are set on held-out examples.  A prediction counts only if the paragraph holds
 enough of one of the family's templates.
 """
@@ -29,7 +29,9 @@ UNKNOWN = "unknown"
 #: Corpus paragraphs that stand for other text in training, in expectation; the scan itself covers everything.
 SAMPLE = 2_000
 WINDOW, STEP = 80, 30  # words; what is no longer than WINDOW - STEP lies whole in some window
+PARTS = (60, 44, 32, 23, 16, 11, 8, 6, 4)  # words of the parts in which a window is read that is unknown as a whole
 VARIANTS = 16  # training examples made from one template
+CLOSE = 0.05  # probability from which a family is compared with its templates as well
 ALIKE = 0.6  # part of a template's word pairs that confirms a prediction
 FALSE_ALARMS = 0.001  # of held-out other text above the threshold
 _CUE = re.compile(r"licen[cs]|copyright|rights reserved|spdx|creative commons|public domain|\bCC[ -]", re.I)
@@ -180,33 +182,39 @@ class LicenceModel:
         if family == UNKNOWN or p[best] < self.threshold:
             return UNKNOWN, float(p[best]), 0.0
         pairs = np.unique(ids[:-1] * self.vocabulary.base + ids[1:])
-        alike = max(np.isin(t, pairs, assume_unique=True).mean() for t in self.templates[family])
-        return (family if alike >= ALIKE else UNKNOWN), float(p[best]), float(alike)
+        # Families that the classifier can hardly tell apart are told apart by their templates.
+        close = [k for k in np.flatnonzero(p[:-1] >= min(CLOSE, p[best])) if self.families[k] != UNKNOWN]
+        alike = {k: max(np.isin(t, pairs, assume_unique=True).mean() for t in self.templates[self.families[k]]) for k in close}
+        best = max(close, key=lambda k: (alike[k], p[k]))
+        return (self.families[best] if alike[best] >= ALIKE else UNKNOWN), float(p[best]), float(alike[best])
 
     def _tells(self, ids: np.ndarray) -> bool:
         return bool(self.telling[ids[:-1] * self.vocabulary.base + ids[1:]].any())
 
     def _notice(self, ids: np.ndarray) -> tuple[str, float, float, np.ndarray] | None:
         """Family, probability, likeness and places of the word pairs of one notice among these words."""
-        pairs = ids[:-1] * self.vocabulary.base + ids[1:]
         found = self.classify(ids)
         if found[0] == UNKNOWN:
-            # Several notices compete, or other text does: each confirmed template's own words decide.
-            alike = sorted(((np.isin(t, pairs, assume_unique=False).mean(), len(t), f, k) for f, ts in self.templates.items() for k, t in enumerate(ts)), reverse=True)
-            for likeness, _, family, k in alike:
-                if likeness < ALIKE:
-                    return None
-                at = self._places(pairs, self.times[family][k])
-                alone = np.zeros_like(ids)
-                alone[at], alone[at + 1] = ids[at], ids[at + 1]
-                found = self.classify(alone)
-                if found[0] == family:
-                    return *found, at
+            # Several notices compete, or other text does: the classifier reads shorter and shorter parts of these words.
+            for size in PARTS:
+                best = None
+                for i in range(0, len(ids) - size + 1, max(1, size // 4)) if size < len(ids) else ():
+                    part = ids[i : i + size]
+                    if self._tells(part) and (told := self.classify(part))[0] != UNKNOWN and (best is None or told[1:] > best[1][1:]):
+                        best = i, told
+                if best:
+                    i, found = best
+                    return *found, self._confirming(ids[i : i + size], found[0]) + i
             return None
+        return *found, self._confirming(ids, found[0])
+
+    def _confirming(self, ids: np.ndarray, family: str) -> np.ndarray:
+        """Places of the word pairs of the family's template that confirms these words."""
+        pairs = ids[:-1] * self.vocabulary.base + ids[1:]
         # Of the confirmed templates the longest: short ones may be part of it.
-        held = [np.isin(t, pairs) for t in self.templates[found[0]]]
+        held = [np.isin(t, pairs) for t in self.templates[family]]
         k = max((k for k, h in enumerate(held) if h.mean() >= ALIKE), key=lambda k: held[k].sum())
-        return *found, self._places(pairs, self.times[found[0]][k])
+        return self._places(pairs, self.times[family][k])
 
     def _places(self, pairs: np.ndarray, times: Counter) -> np.ndarray:
         """Places of a template's pairs where they stand most densely, so that strays and further notices stay out."""

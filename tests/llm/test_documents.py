@@ -411,6 +411,30 @@ def test_every_notice_of_a_window_counts(licence_model):
     assert [f[2] for f in licence_model.scan("\n".join([told[1]] * 3))] == ["apache-2.0"] * 3
 
 
+def test_reworded_notices_that_were_not_trained_on(licence_model):
+    """Recall and false alarms on wordings and noise outside the templates."""
+    told = {
+        "The code in this folder is licensed under the Apache License, Version 2.0, unless stated otherwise.": "apache-2.0",
+        "All of our tools are released under the MIT License today.": "mit",
+        "This small library is licensed under the GNU Lesser General Public License.": "lgpl",
+        "Its text is licensed under a Creative Commons Attribution 4.0 International License.": "cc-by",
+        "That book of ours is licensed under the GNU General Public License, version 3.": "gpl-3.0",
+        "The server is licensed under the GNU Affero General Public License, version 3.": "agpl-3.0",
+        "Both scripts were released under the BSD License.": "bsd",
+        "Everything here is licensed under the Mozilla Public License, version 2.0.": "mpl-2.0",
+    }
+    rng, hits, n = random.Random(1), 0, 0
+    for text, family in told.items():
+        for i in range(6):
+            around = [prose(rng.randint(0, 10**6), rng.choice([0, 5, 40])) for _ in range(2)]
+            hits += [f[2] for f in licence_model.scan(f"{around[0]} {text} {around[1]}")] == [family]
+            n += 1
+    assert hits >= 0.9 * n, (hits, n)
+    alarms = ["The licence plate of the car was under the seat.", "The public library of the town is free of charge to any person.", "A general version of the work is under way, and the software is not yet released.",
+              "Permission to park is granted for three hours, provided that the notice is shown.", "The MIT professor signed the open letter about public terms."]
+    assert not [a for a in alarms if licence_model.scan(f"{prose(4, 30)} {a} {prose(5, 30)}")]
+
+
 def test_notice_inside_long_text(licence_model):
     text = prose(1, 3000) + "\n" + prose(2, 300) + " Licensed under the Apache License, Version 2.0. " + prose(3, 300)
     (start, length, family, *_), = licence_model.scan(text)
