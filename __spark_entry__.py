@@ -290,6 +290,7 @@ def _streamed_bills(spark: SparkSession, folder: str) -> DataFrame:
     root, docs = f"{checkpoint_dir(spark)}/bills-{uuid.uuid4().hex}", documents(spark, folder).withColumn("path", F.concat(F.lit("/in/"), "file_name"))
     # Texts that can't be read differ, or they would be one document.
     docs = docs.withColumn("text", F.when(F.col("file_name").cast("long") % 17 == 0, F.concat("text", F.lit(" "), "file_name")).otherwise(F.col("text")))
+    docs = cut_lineage(docs)
     half = docs.agg(F.percentile_approx(F.col("file_name").cast("long"), 0.5)).first()[0] or 0
     for landed in (F.col("file_name").cast("long") <= half, F.col("file_name").cast("long") > half, F.lit(False)):
         docs.where(landed).select("path", "file_name", "text").write.mode("append").json(f"{root}/landing")
