@@ -19,6 +19,7 @@ The end of a lane goes into sequences of powers of two, so nothing is padded.
 from __future__ import annotations
 
 import functools
+import re
 from collections import defaultdict, deque
 from collections.abc import Iterator
 
@@ -31,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from pricebench.llm.byte_bpe import TIKTOKEN_FILE, Encoder, Pieces, load_ranks
 from pricebench.llm.common import cut_lineage, released, text_batches
-from pricebench.llm.letter_classes import Classes, of_tokenizers
+from pricebench.llm.letter_classes import Classes, of_tiktoken, of_tokenizers
 from pricebench.llm.perfect_hash import PerfectHash
 
 WINDOW, QUANTUM, LANE_TOKENS = 2048, 256, 1 << 20
@@ -39,8 +40,9 @@ END_OF_DOCUMENT = 1
 SPECIALS = {"<|endoftext|>": 50256}
 #: Rows up to which the queue places of (source, input partition) are broadcast; beyond, they are joined by a shuffle.
 BROADCAST_ROWS = 200_000
-#: Bytes of a pre-token from which the heap merges faster than the library.
+#: Length of a pre-token from which the heap merges faster than the library.
 _LONG = 400
+_LONG_SPACE = re.compile(rf"\s{{{_LONG}}}").search
 
 
 @functools.lru_cache(maxsize=2)
@@ -64,18 +66,30 @@ class _LibraryPieces(Pieces):
         return _by_heap(self.path).ids_of(piece)
 
 
+class _WholeTexts(Encoder):
+    """Gives whole texts to the library, where it cuts pre-tokens alike and none of them is very long."""
+
+    def encode(self, text: str | None) -> bytes:
+        if not text or any(s in text for s in self.specials) or max(map(len, text.split()), default=0) >= _LONG or _LONG_SPACE(text):
+            return super().encode(text)
+        return np.array(self.pieces.library.encode_ordinary(text), "<u4").tobytes()
+
+
 @functools.lru_cache(maxsize=2)
-def _encoder(path: str, classes: Classes | None = None) -> Encoder:
-    """Cuts pre-tokens where the tokenizers library does."""
-    return Encoder(path, public_tokenizers.PATTERN, SPECIALS, _LibraryPieces(path), classes or of_tokenizers())
+def _encoder(path: str, classes: Classes | None = None, alike: bool | None = None) -> Encoder:
+    """Cuts pre-tokens where the tokenizers library does; ``alike``: so does the tiktoken library."""
+    classes = classes or of_tokenizers()
+    kind = _WholeTexts if (classes == of_tiktoken() if alike is None else alike) else Encoder
+    return kind(path, public_tokenizers.PATTERN, SPECIALS, _LibraryPieces(path), classes)
 
 
 def _queued(path: str):
     """Encodes a partition's documents and notes each one's place among those of its source in this partition."""
     classes = of_tokenizers()
+    alike = classes == of_tiktoken()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        enc, part, place = _encoder(path, classes), TaskContext.get().partitionId(), defaultdict(int)
+        enc, part, place = _encoder(path, classes, alike), TaskContext.get().partitionId(), defaultdict(int)
         for docs in batches:
             ids, places = [], []
             for text, source in zip(docs["text"], docs["source"]):

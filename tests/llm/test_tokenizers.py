@@ -29,7 +29,9 @@ def test_encoding_is_the_librarys_and_comes_back(text):
     enc = byte_bpe.encoder(PATH, public_tokenizers.PATTERN)
     assert enc.encode(text) == packed(LIBRARY.encode_ordinary(text))
     own = packing._encoder(PATH)
-    assert own.encode(text + "<|endoftext|>x") == packed(BYTES.encode(text + "<|endoftext|>x", add_special_tokens=False).ids)
+    for t in (text, text + "<|endoftext|>x", text + "long" * 200 + text, text + " \n" * 300 + text):
+        want = packed(BYTES.encode(t, add_special_tokens=False).ids)
+        assert own.encode(t) == packing._encoder(PATH, alike=False).encode(t) == want
 
 
 @given(st.text(max_size=200))
@@ -44,6 +46,7 @@ def test_counts_are_the_librarys(text):
 def test_every_code_point_is_cut_and_lowered_as_the_libraries_do():
     """op3, op4 and op6 on code points between letters, digits, marks and spaces; of ideographs, syllables and empty planes every 64th."""
     enc, own = byte_bpe.encoder(PATH, public_tokenizers.PATTERN), packing._encoder(PATH)
+    apart = packing._encoder(PATH, alike=False)
     bpe = token_counts.word_bpe(public_tokenizers.path(token_counts.WORD_FILE))
     counts = token_counts.Counts(bpe, token_counts.proven_words(public_tokenizers.path(token_counts.WORD_FILE)))
     alike = [(0x3400, 0xA000), (0xAC00, 0xD800), (0xE000, 0xF900), (0x17000, 0x19000), (0x20000, 0xE0000), (0xE0200, 0x110000)]
@@ -53,6 +56,7 @@ def test_every_code_point_is_cut_and_lowered_as_the_libraries_do():
             part = points[i : i + 5003]
             text = "\n".join(context.format(c) for c in part)
             cases = [(enc.encode, LIBRARY.encode_ordinary, packed), (own.encode, lambda t: BYTES.encode(t, add_special_tokens=False).ids, packed),
+                     (apart.encode, LIBRARY.encode_ordinary, packed),
                      (counts.of, lambda t: WORDS.encode(t, add_special_tokens=False).ids, len)]
             for got, want, form in cases:
                 if got(text) != form(want(text)):
