@@ -5,13 +5,15 @@ function words and the density of links; short blocks, and blocks with few
 function words, stay undecided.  The second pass gives these the label of the
 nearest decided neighbours.  Regions that state their purpose (menus, forms,
 sidebars, notices, adverts, comments) are out before the first pass, and if a
-page marks its article, blocks outside it are.
+page marks its article, blocks outside it are; the mark is evidence for those
+inside, which the two passes then decide.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -42,10 +44,13 @@ _OUT_STEMS = ("advert", "sponsor", "promo", "nav", "menu", "breadcrumb", "sideba
 _OUT_PARTS = frozenset("ad ads adbox adslot adsense notice notices alert aside pager share sharing social related login search hidden skip disclaimer copyright replies reply".split())
 _IN_PARTS = frozenset("article content post entry story main body text".split())
 
+# Attributes up to the end of a tag.  A quoted value may hold ">"; one whose quote never closes takes the rest of the page.
+_REST = r"""(?:[^>=]|=\s*+(?:"[^"]*+(?:"|\Z)|'[^']*+(?:'|\Z)|[^\s>"'][^\s>]*+)?+)*+"""
 _TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<(?P<raw>{_RAW})\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*(?:/>|>.*?(?:</(?P=raw)\s*>|\Z))"
-    r"|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)", re.S | re.I)
-_PURPOSE = re.compile(r"""\b(class|id|role|style|aria-hidden|hidden)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
+    rf"<!--(?:-?>|.*?(?:--!?>|\Z))"
+    rf"|<(?P<raw>{_RAW})(?=[\s/>]|\Z){_REST}(?:(?<=/)>|>.*?(?:</(?P=raw)(?:>|[\s/][^>]*+(?:>|\Z))|\Z)|\Z)"
+    rf"|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*+)(?P<rest>{_REST})(?:>|\Z)|<[!?/][^>]*+(?:>|\Z)", re.S | re.I)
+_ATTRIBUTE = re.compile(r"""([^\s=/"'][^\s=/]*+)(?:\s*+=\s*+("[^"]*+"?+|'[^']*+'?+|[^\s>]*+))?+""")
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
 
@@ -63,7 +68,7 @@ def _states_other_purpose(name: str, rest: str) -> bool:
         return True
     if name in ("html", "body") or name in _ARTICLE and "comment" not in rest.lower():
         return False
-    for key, value in _PURPOSE.findall(rest):
+    for key, value in _ATTRIBUTE.findall(rest):
         key, value = key.lower(), value.strip("\"'")
         if key == "hidden" or key == "aria-hidden" and value.lower() == "true" or key == "role" and value.lower() in _OUT_ROLES:
             return True
@@ -82,6 +87,7 @@ def blocks_of(page: str) -> list[Block]:
     """The page's blocks in order: runs of text between block-level tags."""
     out: list[Block] = []
     stack: list[tuple[str, bool, bool, bool]] = []  # name, out, in an article, in a page header
+    names: Counter[str] = Counter()  # of the stack
     text: list[str] = []
     links = link_chars = at = 0
 
@@ -112,15 +118,16 @@ def blocks_of(page: str) -> list[Block]:
             flush()
             links = 0
             if m["end"]:
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] == name:
-                        del stack[i:]
-                        break
+                closed = None if names[name] else name  # nothing to close: the tag is passed over
+                while closed != name:
+                    closed = stack.pop()[0]
+                    names[closed] -= 1
             elif name not in _VOID:
                 if stack and stack[-1][0] == "p":
-                    stack.pop()  # a paragraph ends where the next block begins
+                    names[stack.pop()[0]] -= 1  # a paragraph ends where the next block begins
                 _, is_out, article, header = stack[-1] if stack else ("", False, False, False)
                 stack.append((name, is_out or _states_other_purpose(name, m["rest"]), article or name in _ARTICLE, header or name == "header"))
+                names[name] += 1
     text.append(page[at:])
     flush()
     return out
@@ -136,7 +143,8 @@ def first_pass(b: Block) -> bool | None:
     known = sum(w.strip(".,;:!?\"'()#*$%&|").lower() in STOP_WORDS for w in words) / len(words)
     if known >= DENSE:
         return True
-    return None if known >= SPARSE or b.in_article else False
+    # A paragraph or heading without links, or a block of the marked article, may be text of a language or kind that the list doesn't know.
+    return None if known >= SPARSE or b.in_article or (b.paragraph or b.heading) and not b.link_chars else False
 
 
 def second_pass(labels: list[bool | None], blocks: list[Block]) -> list[bool]:
@@ -179,7 +187,8 @@ def main_text(page: str | None) -> str:
 def extract(pages: DataFrame, column: str = "html", out: str = "text") -> DataFrame:
     """``pages`` with the main text of the whole ``column``; a null or empty page, or one without main text, gives "".
 
-    Markup may be broken or cut off anywhere.  Rows are independent: repeated
+    Markup may be broken or cut off anywhere; as in browsers, a tag that never ends
+    (also one with an open quote) takes the rest of the page.  Rows are independent: repeated
     rows repeat, an empty table stays empty, other columns pass through (one
     named like ``out`` is replaced).
     """
