@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from pricebench.config import MatchConfig
 from pricebench.functions.similarity import edit_similarity, grade_conflict, position_conflict
+from pricebench.session import cut_lineage
 
 _EPS = 1e-9
 # Frequent items whose order is by frequency; the others sort first, by text.
@@ -20,6 +21,10 @@ _EPS = 1e-9
 FREQUENT_ITEMS = 256
 # Two-item keys grow with the square of the prefix; long names use one item.
 _PAIR_KEYS_UP_TO = 24
+# A key whose two sides make more pairs than this squared is spread over a grid of cells of about so many rows a side.
+CELL_ROWS = 4096
+# Spread keys up to which they are broadcast; beyond, they are joined by a shuffle.
+BROADCAST_HOT = 100_000
 
 
 def token_overlap_needed(cfg: MatchConfig) -> float:
@@ -146,6 +151,36 @@ def candidate_bound(vertices: DataFrame, cfg: MatchConfig) -> int:
     return bound
 
 
+_MEET = ["block", "_key", "_a", "_b"]
+
+
+def _in_cells(x: DataFrame, y: DataFrame, cell: int) -> tuple[DataFrame, DataFrame]:
+    """Both sides of a key join with a further key ``_c``, so that no group of equal keys holds much more than ``cell`` rows a side.
+
+    A hot key's rows of ``x`` are dealt to the rows of a grid and repeated once per
+    column, those of ``y`` the other way round: every pair meets in exactly one
+    cell.  Only keys with more than ``cell * cell`` pairs are spread, so of both
+    sides together at most one row in ``cell`` is a hot key.
+    """
+    other = ["block", "_key", F.col("_b").alias("_a"), F.col("_a").alias("_b")]
+    as_x = y.select(*other)
+    sizes = x.groupBy(*_MEET).agg(F.count(F.lit(1)).alias("_nx")).join(as_x.groupBy(*_MEET).agg(F.count(F.lit(1)).alias("_ny")), _MEET)
+    hot = cut_lineage(sizes.where(F.col("_nx").cast("double") * F.col("_ny") > float(cell) * cell).select(
+        *_MEET, F.ceil(F.col("_nx") / cell).cast("int").alias("_sx"), F.ceil(F.col("_ny") / cell).cast("int").alias("_sy")))
+    n_hot = hot.count()
+    if n_hot == 0:
+        return x.withColumn("_c", F.lit(0)), y.withColumn("_c", F.lit(0))
+
+    def dealt(rows: DataFrame, hot: DataFrame, own: str, row_of_grid: bool) -> DataFrame:
+        hot = F.broadcast(hot) if n_hot <= BROADCAST_HOT else hot
+        at = F.pmod(F.xxhash64(*rows.columns), F.col(own)).cast("int")
+        across = F.sequence(F.lit(0), F.col("_sy" if row_of_grid else "_sx") - 1)
+        cells = F.transform(across, lambda i: at * F.col("_sy") + i if row_of_grid else i * F.col("_sy") + at)
+        return rows.join(hot, _MEET, "left").select(*rows.columns, F.explode(F.coalesce(cells, F.array(F.lit(0)))).alias("_c"))
+
+    return dealt(x, hot, "_sx", True), dealt(y, hot.select(*other, "_sx", "_sy"), "_sy", False)
+
+
 def _score(cfg: MatchConfig) -> tuple[Column, Column]:
     common = F.array_intersect("x.tk", "y.tk")
     union = F.size("x.tk") + F.size("y.tk") - F.size(common)
@@ -154,21 +189,24 @@ def _score(cfg: MatchConfig) -> tuple[Column, Column]:
     return common, w * tokens + (F.lit(1.0) - w) * edit_similarity(F.col("x.nn"), F.col("y.nn"))
 
 
-def similar_pairs(left: DataFrame, right: DataFrame, cfg: MatchConfig, guard: Column, keep: list[Column]) -> DataFrame:
+def similar_pairs(left: DataFrame, right: DataFrame, cfg: MatchConfig, guard: Column, keep: list[Column], cell: int | None = None) -> DataFrame:
     """Pairs of rows ``x`` of ``left`` and ``y`` of ``right`` with similarity at the threshold or above.
 
     Both sides carry ``block`` (what must be equal), ``nn`` and ``tk`` in a shared order (and ``lt``).
-    When tokens need not overlap a pair may come twice.
+    When tokens need not overlap a pair may come twice.  With ``cell``, keys with
+    more than ``cell * cell`` pairs are spread over tasks.
     """
     found = None
     for kind, keys in keyings(cfg):
-        x = _keyed(left, keys).alias("x")
-        y = _keyed(right, keys).alias("y")
+        x, y = _keyed(left, keys), _keyed(right, keys)
+        x, y = _in_cells(x, y, cell) if cell else (x.withColumn("_c", F.lit(0)), y.withColumn("_c", F.lit(0)))
+        x, y = x.alias("x"), y.alias("y")
         same = (
             (F.col("x.block") == F.col("y.block"))
             & (F.col("x._key") == F.col("y._key"))
             & (F.col("x._a") == F.col("y._b"))
             & (F.col("x._b") == F.col("y._a"))
+            & (F.col("x._c") == F.col("y._c"))
         )
         common, score = _score(cfg)
         accept = guard
@@ -191,9 +229,9 @@ def merge_guard(cfg: MatchConfig) -> Column:
     return guard
 
 
-def matches(later: DataFrame, earlier: DataFrame, cfg: MatchConfig) -> DataFrame:
+def matches(later: DataFrame, earlier: DataFrame, cfg: MatchConfig, cell: int | None = None) -> DataFrame:
     """Pairs (``hi``, ``lo``) that may merge, ``lo`` being the earlier one in ``ord``."""
     guard = (F.col("y.ord") < F.col("x.ord")) & merge_guard(cfg)
     keep = [F.col("x.ord").alias("hi"), F.col("y.ord").alias("lo")]
-    pairs = similar_pairs(later, earlier, cfg, guard, keep).drop("score")
+    pairs = similar_pairs(later, earlier, cfg, guard, keep, cell).drop("score")
     return pairs if token_overlap_needed(cfg) > 0 else pairs.distinct()

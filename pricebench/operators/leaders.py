@@ -8,7 +8,8 @@ and not its connected components.
 The order is worked off in slices that grow fourfold.  A slice is first matched
 against the leaders found so far, which are few and mutually unlike, so a dense
 group is absorbed by its leader and its quadratic number of inner pairs never
-comes into being.  Only what is left over is matched within itself.
+comes into being.  Only what is left over is matched within itself.  A word that very many
+names of a block share is spread over tasks by cells (``blocking.CELL_ROWS``).
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from pricebench.config import MatchConfig
-from pricebench.operators.blocking import candidate_bound, matches, with_match_sets
+from pricebench.operators.blocking import CELL_ROWS, candidate_bound, matches, with_match_sets
 from pricebench.session import cut_lineage
 
 FIRST_SLICE = 16_384
@@ -66,7 +67,7 @@ def _within(vertices: DataFrame, low, high) -> DataFrame:
 
 
 def group_by_leader(
-    vertices: DataFrame, cfg: MatchConfig, first_slice: int = FIRST_SLICE, pair_budget: int = PAIR_BUDGET
+    vertices: DataFrame, cfg: MatchConfig, first_slice: int = FIRST_SLICE, pair_budget: int = PAIR_BUDGET, cell_rows: int = CELL_ROWS
 ) -> DataFrame:
     """``ord`` → ``owner`` for every vertex; a leader owns itself.
 
@@ -74,6 +75,7 @@ def group_by_leader(
     """
     vertices = cut_lineage(with_match_sets(vertices, cfg)[0])
     total = vertices.count()
+    cell = cell_rows if total > first_slice else None  # the pairs of one slice are few enough for any task
     pending = _slices(vertices, total, first_slice)[::-1]
     leaders: DataFrame | None = None
     owners: DataFrame | None = None
@@ -83,14 +85,14 @@ def group_by_leader(
         part = _within(vertices, low, high)
         absorbed = None
         if leaders is not None:
-            absorbed = cut_lineage(matches(part, leaders, cfg).groupBy("hi").agg(F.min("lo").alias("owner")))
+            absorbed = cut_lineage(matches(part, leaders, cfg, cell).groupBy("hi").agg(F.min("lo").alias("owner")))
             part = cut_lineage(part.join(absorbed.select(F.col("hi").alias("ord")), "ord", "left_anti"))
             if (part.count() > first_slice) and candidate_bound(part, cfg) > pair_budget:
                 middle = part.agg(F.percentile_approx("ord", 0.5).alias("m"), F.min("ord").alias("l")).first()
                 if middle.m > middle.l:
                     pending += [(middle.m, high), (low, middle.m)]
                     continue
-        edges = cut_lineage(matches(part, part, cfg))
+        edges = cut_lineage(matches(part, part, cfg, cell))
         lost = followers_of(edges)
         if lost is not None:
             inner = edges.join(lost, "hi", "left_semi").join(

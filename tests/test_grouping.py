@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from conftest import raw_frame
 from pricebench import MatchConfig
 from pricebench.functions.similarity import with_name_features
+from pricebench.operators import blocking
 from pricebench.operators.clusters import build_clusters, in_cluster_order
 from pricebench.operators.enrich import enrich_lines
 from pricebench.operators.grouping import assign_clusters
@@ -98,6 +99,28 @@ def test_leaders_follow_the_sequential_rule(spark, weight, threshold, first, bud
     assert {r.ord: r.owner for r in got} == expected_owners(rows, cfg)
 
 
+@pytest.mark.parametrize("weight,threshold,cell", [(0.6, 0.65, 2), (0.4, 0.55, 3), (0.8, 0.5, 5)])
+def test_hot_keys_spread_over_cells(spark, weight, threshold, cell):
+    rng = random.Random(cell)
+    rows = random_vertices(rng, 110, ["bumper", "cover", "lamp", "lampe", "head", "a", "b", "x1", "clip"])
+    cfg = MatchConfig(token_weight=weight, threshold=threshold)
+    got = group_by_leader(vertex_frame(spark, rows), cfg, 30, cell_rows=cell).collect()
+    assert {r.ord: r.owner for r in got} == expected_owners(rows, cfg)
+
+
+def test_one_word_shared_by_all_names_of_a_block(spark):
+    """3,000 names of one block with one word in common: each pair meets once, and no cell holds more than a small share of them."""
+    names = spark.range(3000).select(
+        F.col("id").alias("ord"), F.lit("a").alias("block"), F.lit("k").alias("_key"), F.lit(2).alias("_a"), F.lit(2).alias("_b"))
+    lone = spark.range(5).select((F.col("id") + 9000).alias("ord"), F.lit("b").alias("block"), F.lit("k").alias("_key"), F.lit(2).alias("_a"), F.lit(2).alias("_b"))
+    x, y = blocking._in_cells(names.unionByName(lone), names.limit(2000).unionByName(lone), 250)
+    pairs = x.alias("x").join(y.alias("y"), ["block", "_key", "_a", "_b", "_c"])
+    sizes = pairs.groupBy("block", "_c").count().collect()
+    assert sum(r["count"] for r in sizes) == 3000 * 2000 + 25
+    assert pairs.select("x.ord", F.col("y.ord").alias("other")).distinct().count() == 3000 * 2000 + 25
+    assert max(r["count"] for r in sizes) < 2 * 250 * 250
+
+
 def test_long_names_use_single_keys(spark):
     rng = random.Random(5)
     base = [f"w{i}" for i in range(16)]
