@@ -4,7 +4,9 @@ import duckdb
 from pyspark.sql import functions as F
 
 from conftest import read_fixture, raw_frame
+from pricebench import MatchConfig
 from pricebench.operators import pairs
+from pricebench.operators.blocking import similar_pairs, with_match_sets
 from pricebench.operators.enrich import enrich_lines
 from pricebench.functions.similarity import with_name_features
 
@@ -61,3 +63,13 @@ def test_running_sum(spark):
     for r in got:
         total = r.v if r.o == 0 else total + r.v
         assert r.s == total
+
+
+def test_keys_are_never_collected_for_a_broadcast(spark):
+    rows = spark.createDataFrame([("m", "red ring", ["red", "ring"], 1), ("m", "red rings", ["red", "rings"], 2)], "block string, nn string, tk array<string>, n int")
+    cfg = MatchConfig(threshold=0.3, token_weight=0.6)
+    (sets,) = with_match_sets(rows, cfg)
+    found = similar_pairs(sets, sets, cfg, F.col("x.nn") < F.col("y.nn"), [F.col("x.n"), F.col("y.n").alias("m")], 4)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+    assert {(r.n, r.m) for r in found.collect()} == {(1, 2)}
