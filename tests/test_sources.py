@@ -226,3 +226,32 @@ def test_activity_stream(spark, tmp_path):
     rows = {r.id: r.source for r in activity_table(path).load(spark).collect()}
     assert rows == {"e1": "new", "e2": "old"}
     assert activity_stream.by_kind(activity_table(path).load(spark)).first().events == 2
+
+
+def test_scans_of_many_folders(spark, tmp_path):
+    import table_queries
+
+    supplier = spark.createDataFrame([(k, f"S{k}") for k in (12, 3, 10, 1, 100)] + [(3, "S3b")], "s_suppkey long, s_name string")
+    supplier.repartition(2).write.parquet(str(tmp_path / "supplier.parquet"))
+    got = table_queries._scans(spark, str(tmp_path))
+    assert sorted((r.k, r.length, r.file_name) for r in got.collect()) == [(1, 3, "k=1"), (3, 7, "k=3"), (10, 4, "k=10"), (12, 4, "k=12"), (100, 5, "k=100")]
+    assert [r.k for r in first_documents(got, 4).collect()] == [1, 10, 100, 12]
+    (tmp_path / "in" / "a" / "b").mkdir(parents=True)
+    (tmp_path / "in" / "a" / "b" / "s.txt").write_text("x")
+    (tmp_path / "in" / "a" / "other.pdf").write_text("y")
+    assert [r.file_name for r in read_scans(spark, str(tmp_path / "in"), nested="*.txt").collect()] == ["s.txt"]
+
+
+def test_a_batch_checks_its_texts_once(spark, tmp_path, monkeypatch):
+    from pricebench.operators import quality
+
+    calls = []
+    monkeypatch.setattr(quality, "validate_invoices", lambda parsed, whole=quality.validate_invoices: calls.append(1) or whole(parsed))
+    rows = [("/a", "a", json.dumps(GOOD)), ("/b", "b", "nothing"), ("/c", "c", json.dumps(GOOD | {"invoice_total": 1.0}))]
+    docs = spark.createDataFrame(rows, "path string, file_name string, text string")
+    bill_stream.ingest_batch(docs, 0, str(tmp_path))
+    assert calls == [1]
+    log = {r.path: (r.status, r.failed_text) for r in bill_stream.log_table(f"{tmp_path}/log").load(spark).collect()}
+    assert log == {"/a": ("done", None), "/b": ("failed", "nothing"), "/c": ("duplicate", None)}
+    kept = quality.check_documents(docs)
+    assert {r.path: r.text for r in kept.collect()} == {"/a": None, "/b": "nothing", "/c": None}
