@@ -136,3 +136,19 @@ def test_upgrade(spark):
                                                                                 make="MERCEDES BENZ")
     up = upgrade_lines(spark.createDataFrame([bare])).first()
     assert (up.unit_basis, up.npn, up.ltype, up.make) == ("each", "KA565402H000", "Supplier Part", "Mercedes-Benz")
+
+
+def test_category_reads_a_name_once(spark):
+    table = (("Fog", ("fog lamp", "fog", "a.b(c")), ("Nut", (" nut", "fo", "é")), ("Door", ("door", "oor", "fog")))
+    names = ["FOG LAMP", "a doorFOG", "Nut", "walnut", "poor", "axb(c", "A.B(C", "éa", "", None, "fo", "x\ndoor"]
+
+    def by_rule(name, rules_):
+        padded = f" {(name or '').lower()} "
+        return next((cat for cat, keys in rules_ if any(k in padded for k in keys)), "Other")
+
+    for rules_ in (table, table[:2] + (("All", ("",)),) + table[2:], P.rules.CATEGORY_RULES):
+        assert one(spark, lambda c: P.category(c, rules_), *names) == [by_rule(n, rules_) for n in names]
+    keys = [k + " x" for _, keys in P.rules.CATEGORY_RULES for k in keys]
+    assert one(spark, P.category, *keys) == [by_rule(k, P.rules.CATEGORY_RULES) for k in keys]
+    plan = spark.range(1).select(P.category(F.lit("x").substr(F.col("id").cast("int"), F.lit(1))).alias("c"))._jdf.queryExecution().analyzed().toString()
+    assert "Contains(" not in plan and plan.lower().count("contains(") == 0
