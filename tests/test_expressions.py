@@ -152,3 +152,33 @@ def test_category_reads_a_name_once(spark):
     assert one(spark, P.category, *keys) == [by_rule(k, P.rules.CATEGORY_RULES) for k in keys]
     plan = spark.range(1).select(P.category(F.lit("x").substr(F.col("id").cast("int"), F.lit(1))).alias("c"))._jdf.queryExecution().analyzed().toString()
     assert "Contains(" not in plan and plan.lower().count("contains(") == 0
+
+
+def _plan(spark, column):
+    return spark.createDataFrame([("x",)], "x string").select(column(F.col("x")).alias("y"))._jdf.queryExecution().analyzed().toString()
+
+
+def test_tags_are_read_only_in_names_that_can_hold_them(spark):
+    import re
+
+    said = ["used", "recon", "reconditioned", "secondhand", "s/h", "2nd hand", "(original)", "original", "genuine", "gen", "oes", "aftermarket", "after market",
+            "apm", "replacement", "(tw)", "taiwan", "copy", "imitation", "set", "(pair)", "pair", "lh/rh", "rh/lh", "rhs/lhs", "lhs/rhs", "rh & lh", "lh & rh", "l/r"]
+    names = [t.format(s) for s in said for t in ("{}", "DOOR {} x", "a{}", "{}b", "gen {}", "{} COPY")] + ["", None, "DOOR", "é"]
+
+    def first(name, cases, otherwise):
+        padded = f" {(name or '').lower()} "
+        return next((v for v, p in cases if re.search(p, padded, re.ASCII)), otherwise)
+
+    grades = [first(n, P.rules.GRADE_TAGS, "Unknown") for n in names]
+    bases = [first(n, (("set", P.rules.SET_TAG), ("pair", P.rules.PAIR_TAG)), "each") for n in names]
+    assert one(spark, lambda c: P.grade_of(c, F.lit("")), *names) == grades
+    assert one(spark, lambda c: P.basis_of(c, F.lit("")), *names) == bases
+    # A pattern costs most of what reading a name does: none runs without its texts.
+    for column in (lambda c: P.grade_of(c, F.lit("")), lambda c: P.basis_of(c, F.lit(""))):
+        assert "contains(" in _plan(spark, column).lower()
+
+
+def test_a_date_is_split_once(spark):
+    assert one(spark, P.bill_date_of, "x 1/2/21", "2021-02-31", "31-12-2020 9/8/2020", "", None) == [
+        dt.date(2021, 2, 1), dt.date(2021, 3, 3), dt.date(2020, 8, 9), None, None]
+    assert _plan(spark, P.bill_date_of).count("split(") == 2
