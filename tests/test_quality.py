@@ -102,3 +102,18 @@ def test_what_is_left_to_read(spark):
     assert [r.sha256 for r in fresh.orderBy("sha256").collect()] == ["c"]
     assert [(r.sha256, r.status) for r in large.collect()] == [("d", "failed")]
     assert to_process(found, log, retry_failed=True, max_bytes=50)[0].count() == 2
+
+
+def test_a_document_is_read_once(spark):
+    odd = {"supplier_name": 1.5, "bill_no": None, "bill_date": True, "make": ["a"], "model": {"b": 1}, "gst_amount": None, "invoice_total": "abc", "parts": [
+        {"part_name": 12, "part_number": None, "qty": "2", "unit_cost": True, "total_cost": 1.5, "grade": ["a"], "unit_basis": {"a": 1}},
+        {"part_name": "b", "qty": -1, "unit_cost": "", "total_cost": " 7 "}, {"part_number": "c", "qty": [1], "unit_cost": {}, "total_cost": "1d", "x": 0}]}
+    parts = check(spark, {**odd, "parts": odd["parts"][:2]}, odd, {**odd, "parts": [5, None, "x", [1], {}]}, {**odd, "parts": {"a": 1}}, json.dumps([odd]))
+    got = parts[0].invoice
+    assert (got.supplier_name, got.bill_no, got.bill_date, got.make, got.model, got.gst_amount, got.invoice_total) == ("1.5", "", "true", '["a"]', '{"b":1}', 0.0, 0.0)
+    assert [(p.part_name, p.part_number, p.qty, p.unit_cost, p.total_cost, p.grade, p.unit_basis) for p in got.parts] == [
+        ("12", "", 2.0, 1.0, 1.5, "Unknown", "each"), ("b", "", 1.0, 0.0, 7.0, "Unknown", "each")]
+    assert parts[1].errors == ['parts[2] "c": no price at all (unit_cost and total_cost both 0)'] and len(parts[2].errors) == 10
+    assert parts[3].errors == ["parts is missing or not an array"] and parts[4].errors == parts[1].errors
+    plan = validate_invoices(extract_json(docs(spark, GOOD)))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("variant_get(doc#") == 1
