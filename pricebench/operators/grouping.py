@@ -9,6 +9,9 @@
 
 from __future__ import annotations
 
+import functools
+import operator
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from pricebench.config import MatchConfig
@@ -92,11 +95,18 @@ def _owners(signed: DataFrame, cfg: MatchConfig) -> DataFrame:
 
 
 def _fuzzy(lines: DataFrame, cfg: MatchConfig) -> DataFrame:
-    signed = _signed(lines.withColumn("ord", F.col("seq")), cfg)
-    grouped = signed.join(_owners(signed, cfg), "sig")
-    return grouped.select(
+    # Lines written alike share a signature: features are taken once per spelling, and lines only look up their part.
+    spelling = ["part_name", "make", "grade", "unit_basis"] + (["model"] if cfg.same_model else [])
+    spelled = lines.groupBy(*spelling).agg(F.min("seq").alias("ord"))
+    if not cfg.same_model:
+        spelled = spelled.withColumn("model", F.lit(""))
+    # A name without any telling word leads itself, line by line.
+    signed = cut_lineage(_signed(spelled, cfg).where(F.col("nn") != ""))
+    owned = cut_lineage(signed.join(_owners(signed, cfg), "sig").select(*[F.col(c).alias(f"_s_{c}") for c in spelling], "owner"))
+    met = functools.reduce(operator.and_, [F.col(c).eqNullSafe(F.col(f"_s_{c}")) for c in spelling])
+    return lines.join(owned, met, "left").select(
         *lines.columns,
-        F.col("owner").alias("cluster_id"),
+        F.coalesce("owner", "seq").alias("cluster_id"),
         F.col("seq").alias("member_rank"),
         F.lit(_INDEX_LIMIT + 1).cast("long").alias("ord_class"),
         F.col("seq").alias("ord_first"),

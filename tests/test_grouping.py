@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from conftest import raw_frame
 from pricebench import MatchConfig
 from pricebench.functions.similarity import with_name_features
-from pricebench.operators import blocking
+from pricebench.operators import blocking, grouping
 from pricebench.operators.clusters import build_clusters, in_cluster_order
 from pricebench.operators.enrich import enrich_lines
 from pricebench.operators.grouping import assign_clusters
@@ -152,3 +152,21 @@ def test_name_features(spark):
     df = with_name_features(spark.createDataFrame([("Head-Lamp ASSY, LH 09 x",)], "part_name string"), "part_name")
     row = df.first()
     assert (row.nn, row.tk, row.pos.side) == ("head lamp x", ["head", "lamp", "x"], "L")
+
+
+def test_features_are_taken_once_per_spelling(spark, monkeypatch):
+    """Lines written alike look up their part; names without a telling word stay alone, line by line."""
+    names = ["HEADLAMP UNIT", "HEADLAMP UNITS", "???"] * 20 + [""]
+    signed = grouping._signed
+    seen = []
+    monkeypatch.setattr(grouping, "_signed", lambda rows, cfg: seen.append(rows.count()) or signed(rows, cfg))
+    out = {r.seq: r.cluster_id for r in assign_clusters(tiny(spark, *names), MatchConfig()).collect()}
+    assert seen == [4]
+    assert len(out) == len(names)
+    assert all(out[i] == (i if n in ("", "???") else names.index(n)) for i, n in enumerate(names))
+
+
+def test_lines_with_missing_fields_keep_their_place(spark):
+    lines = tiny(spark, "HEADLAMP UNIT", "HEADLAMP UNIT", "HEADLAMP UNIT").withColumn(
+        "grade", F.when(F.col("seq") == 1, None).otherwise(F.col("grade")))
+    assert assign_clusters(lines, MatchConfig()).count() == 3
