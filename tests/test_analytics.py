@@ -50,3 +50,16 @@ def test_benchmark_view_falls_back_to_single_quotes(bench):
     assert A.benchmark_view(single).count() == min(25, single.count())
     both = A.benchmark_view(clusters)
     assert both.where("n < 2").count() == (0 if clusters.where("n > 1").count() else min(25, clusters.count()))
+
+
+def test_bills_work_out_only_their_columns(spark, sf_dir, monkeypatch):
+    import __spark_entry__ as entry
+
+    monkeypatch.setattr(entry, "_kept", {})
+    rows = entry.queries()["a6_bills"](spark, sf_dir)
+    assert not entry._kept  # no line is enriched in full and stored
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_extract_all" not in plan  # what finds a category
+    assert sorted(rows.collect()) == sorted(A.bills(entry.lines(spark, sf_dir)).collect())
+    entry.queries()["a6_bills"](spark, sf_dir)
+    assert [k[2] for k in entry._kept] == ["lines"]
