@@ -6,9 +6,9 @@ from pyspark.sql import functions as F
 from conftest import read_fixture, raw_frame
 from pricebench import MatchConfig
 from pricebench.operators import pairs
-from pricebench.operators.blocking import similar_pairs, with_match_sets
+from pricebench.operators.blocking import candidate_bound, similar_pairs, with_match_sets
 from pricebench.operators.enrich import enrich_lines
-from pricebench.functions.similarity import with_name_features
+from pricebench.functions.similarity import similarity, with_name_features
 
 
 def test_published_pairs(demo):
@@ -73,3 +73,19 @@ def test_keys_are_never_collected_for_a_broadcast(spark):
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
     assert {(r.n, r.m) for r in found.collect()} == {(1, 2)}
+
+
+def test_names_that_letters_do_not_tell_apart_meet_once(spark):
+    rng = random.Random(4)
+    texts = ["".join(rng.choice("0123456789abcdef") for _ in range(32)) for _ in range(60)]
+    texts += [t[:28] + "zzzz" for t in texts[:9]] + [t[3:] for t in texts[9:15]]
+    rows = with_name_features(spark.createDataFrame([("m", t) for t in texts], "block string, name string"), "name").drop("pos")
+    cfg = MatchConfig(threshold=0.3, token_weight=0.6)
+    (sets,) = with_match_sets(rows, cfg)
+    assert candidate_bound(sets, cfg) <= len(texts) * len(texts)
+    before = F.col("x.nn") < F.col("y.nn")
+    got = similar_pairs(sets, sets, cfg, before, [F.col("x.nn").alias("a"), F.col("y.nn").alias("b")], 16)
+    x, y = rows.alias("x"), rows.alias("y")
+    want = x.join(y, before & (similarity(F.col("x.nn"), F.col("x.tk"), F.col("y.nn"), F.col("y.tk"), 0.6) >= 0.3)).select("x.nn", "y.nn")
+    found = [tuple(r)[:2] for r in got.collect()]
+    assert len(found) == len(set(found)) and set(found) == {tuple(r) for r in want.collect()} and len(found) >= 15
