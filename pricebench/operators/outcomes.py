@@ -54,7 +54,8 @@ def histories(events: DataFrame) -> DataFrame:
     take no part; unknown kinds never apply.
     """
     keyed = events.where(F.col("claim_ref").isNotNull() & F.col("line_no").isNotNull() & F.col("event_id").isNotNull() & F.col("at").isNotNull())
-    once = keyed.groupBy(*_LINE, "event_id").agg(F.min(F.struct("at", "kind", "amount")).alias("e")).select(*_LINE, "event_id", "e.*")
+    # Dealt out by line once, for repeats as well as for the order of a line's events.
+    once = keyed.repartition(*_LINE).groupBy(*_LINE, "event_id").agg(F.min(F.struct("at", "kind", "amount")).alias("e")).select(*_LINE, "event_id", "e.*")
     order = Window.partitionBy(*_LINE).orderBy("at", "event_id")
     placed = once.withColumn("nth", F.row_number().over(order)).withColumn("block", F.floor((F.col("nth") - 1) / _BLOCK))
     event = F.struct("nth", "event_id", "at", "kind", "amount", _steps(F.col("kind")).alias("steps"))

@@ -197,3 +197,10 @@ def test_reports_of_closed_lines(spark):
     p = O.portfolio(assessed, settled).first()
     assert (p.cases, p.lines, p.flagged, p.flagged_down, p.others_down, p.realised, p.potential, p.advisory) == (2, 3, 1, 1.0, 0.0, 10.0, 21.0, True)
     assert O.portfolio(assessed, settled.where("false")).first().lines == 0
+
+
+def test_events_are_dealt_out_once(spark):
+    df = spark.createDataFrame([("c", 1, "e1", dt.datetime(2026, 1, 1), "saved", 1.0)], "claim_ref string, line_no int, event_id string, at timestamp, kind string, amount double")
+    settled = O.outcomes(O.histories(df))
+    assert settled._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    assert settled.first().state == "open"
