@@ -359,7 +359,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "a8_categories": lambda s, d: A.usable_by_category(L(s, d)),
         "a9_bands": lambda s, d: A.size_bands(C(s, d)),
         "a10_makes": lambda s, d: A.by_make(L(s, d), C(s, d)),
-        "a11_review": lambda s, d: A.review_queue(enrich_lines(stored_order(Q.invoice_lines(judged(s, d)), "document", "line"))),
+        "a11_review": lambda s, d: A.review_queue(enrich_lines(stored_order(
+            Q.invoice_lines(judged(s, d)).select("document", "line", "supplier", "bill_no", "review", "review_reason"), "document", "line"))),
         "a12_confidence": lambda s, d: _shown(A.confidence(C(s, d), AS_OF), "as_of"),
         "a13_dispersion": lambda s, d: _shown(A.supplier_dispersion(G(s, d), C(s, d))),
         "a14_agreement": lambda s, d: _shown(A.agreement(C(s, d), V(s, d))),
