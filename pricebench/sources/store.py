@@ -12,6 +12,7 @@ from pricebench.functions.parts import bill_date_of
 from pricebench.model import ACTIVITY, PART_LINE
 from pricebench.operators.enrich import enrich_lines
 from pricebench.operators.ordering import stored_order
+from pricebench.session import shuffles_dropped
 
 #: Events shown and kept by default; both are arguments, None means all.
 ACTIVITY_CAP = 500
@@ -89,28 +90,37 @@ class BatchTable:
             (F.col("position") if "position" in rows.columns else F.lit(0)).cast("long").alias("position"),
             F.monotonically_increasing_id().alias("place"), F.lit(batch).cast("long").alias("batch"))
 
+    def _write(self, rows: DataFrame, batch: int, overwrite: str) -> None:
+        with shuffles_dropped(rows.sparkSession):
+            self._shaped(rows, batch).write.mode("overwrite").option("partitionOverwriteMode", overwrite).option("compression", "zstd").partitionBy("batch").parquet(self.path)
+
     def upsert(self, rows: DataFrame, batch: int) -> None:
         """S6, S7."""
-        self._shaped(rows, batch).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(self.path)
+        self._write(rows, batch, "dynamic")
 
     def replace(self, rows: DataFrame) -> None:
         """Also with no rows at all.  ``rows`` must not be read from this table; see ``cut_lineage``."""
-        self._shaped(rows, 0).write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("batch").parquet(self.path)
+        self._write(rows, 0, "static")
 
 
 class LineTable(BatchTable):
     """Part lines, in the order of batches and, within one, in the order they had."""
 
     def _shaped(self, rows: DataFrame, batch: int) -> DataFrame:
-        return super()._shaped(stored_order(rows, "seq", "id", out="position"), batch)
+        rows = rows.select(*[c for c in self.schema.names if c in rows.columns])
+        # Ids of a sorted table rise with its order; places need not be dense, so nothing is stored before the table itself.
+        ordered = rows.repartitionByRange("seq", "id").sortWithinPartitions("seq", "id")
+        return super()._shaped(ordered.withColumn("position", F.monotonically_increasing_id()), batch)
 
     def load(self, spark: SparkSession, before: int | None = None) -> DataFrame:
         """A changed line keeps the place it first had; ``seq`` is dense."""
-        first = Window.partitionBy(self.key)
-        rows = self.rows(spark, before).withColumn("_first", F.min(F.struct("batch", "position")).over(first))
-        newest = last_per_id(rows, self.key, F.col("batch"), F.col("position"), F.col("place"))
-        placed = stored_order(newest.drop("seq", "batch", "position", "place"), "_first.batch", "_first.position", self.key)
-        return placed.select(*self.schema.names)
+        # Rows without a key count as one; a key that is never NULL lets versions and places meet in one shuffle.
+        rows = self.rows(spark, before).withColumn("_key", F.when(F.col(self.key).isNull(), "").otherwise(F.concat(F.lit("k"), self.key)))
+        first = rows.groupBy("_key").agg(F.min(F.struct("batch", "position")).alias("_first"))
+        # Only keys are put in order and stored; whole rows are read when they are asked for.
+        placed = stored_order(first, "_first.batch", "_first.position", "_key").select("_key", "seq")
+        newest = last_per_id(rows.drop("seq"), "_key", F.col("batch"), F.col("position"), F.col("place"))
+        return newest.join(placed, "_key").select(*self.schema.names)
 
 
 def line_table(path: str) -> LineTable:

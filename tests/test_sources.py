@@ -1,4 +1,5 @@
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,7 +10,8 @@ from pricebench.operators.clusters import build_clusters, cluster_variants
 from pricebench.operators.enrich import enrich_lines
 from pricebench.operators.grouping import assign_clusters
 from pricebench.operators.quality import invoice_lines, judge_documents
-from pricebench.session import cut_lineage
+from pricebench.operators import ordering
+from pricebench.session import checkpoint_dir, cut_lineage
 from pricebench.sources.documents import first_documents, read_answers, read_scans
 from pricebench.sources.exports import benchmark_sheet, export_dataset, export_worklist, import_sheet
 from pricebench.sources.star import raw_lines
@@ -255,3 +257,14 @@ def test_a_batch_checks_its_texts_once(spark, tmp_path, monkeypatch):
     assert log == {"/a": ("done", None), "/b": ("failed", "nothing"), "/c": ("duplicate", None)}
     kept = quality.check_documents(docs)
     assert {r.path: r.text for r in kept.collect()} == {"/a": None, "/b": "nothing", "/c": None}
+
+
+def test_only_keys_of_stored_lines_are_put_in_order(spark, tmp_path, monkeypatch):
+    table, stored = line_table(str(tmp_path / "lines")), []
+    monkeypatch.setattr(ordering, "cut_lineage", lambda df: stored.append(set(df.columns)) or cut_lineage(df))
+    lines = enrich_lines(raw_frame(spark, [line(i) for i in range(6)]))
+    table.replace(lines.withColumn("id", F.when(F.col("seq") > 3, None).otherwise(F.col("id"))))
+    table.upsert(lines.where("seq IN (0, 5)").withColumn("supplier", F.lit("new")), stream_batch(0))
+    rows = load_lines(spark, table).orderBy("seq").collect()
+    assert [(r.seq, r.id, r.supplier) for r in rows] == [(0, "id0", "new"), (1, "id1", ""), (2, "id2", ""), (3, "id3", ""), (4, None, ""), (5, "id5", "new")]
+    assert stored and not any(c & {"part_name", "supplier"} for c in stored)
