@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pricebench.functions.numeric import strip
 from pricebench.functions.parts import text
 from pricebench.operators.ordering import stored_order
-from pricebench.session import cut_lineage
+from pricebench.session import cut_lineage, shuffles_dropped
 
 # For each field the word groups to look for in the headers, in
 # order; the first header that holds all words of a group is taken.
@@ -125,6 +125,7 @@ def read_labelled_pairs(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.csv(path, header=True, quote='"', escape='"', multiLine=True)
 
 
-def write_csv(df: DataFrame, path: str) -> None:
-    """A table for people; blank cells stay blank."""
-    df.write.mode("overwrite").csv(path, header=True, quote='"', escape='"', emptyValue="", nullValue="")
+def write_csv(df: DataFrame, path: str, compression: str = "none") -> None:
+    """A table for people; blank cells stay blank.  Large tables can be written as ``gzip``."""
+    with shuffles_dropped(df.sparkSession):
+        df.write.mode("overwrite").csv(path, header=True, quote='"', escape='"', emptyValue="", nullValue="", compression=compression)

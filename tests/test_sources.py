@@ -268,3 +268,15 @@ def test_only_keys_of_stored_lines_are_put_in_order(spark, tmp_path, monkeypatch
     rows = load_lines(spark, table).orderBy("seq").collect()
     assert [(r.seq, r.id, r.supplier) for r in rows] == [(0, "id0", "new"), (1, "id1", ""), (2, "id2", ""), (3, "id3", ""), (4, None, ""), (5, "id5", "new")]
     assert stored and not any(c & {"part_name", "supplier"} for c in stored)
+
+
+def test_exports_can_be_compressed(spark, demo, tmp_path):
+    clusters = build_clusters(grouped := assign_clusters(demo, MatchConfig(mode="exact-pn")))
+    variants = cluster_variants(grouped)
+    for name in ("none", "gzip"):
+        export_dataset(demo, clusters, variants, str(tmp_path / name), name)
+        files = [f for _, _, fs in os.walk(tmp_path / name) for f in fs if f.startswith("part-")]
+        assert files and all(f.endswith(".csv.gz" if name == "gzip" else ".csv") for f in files)
+    for sheet in ("parts", "benchmark"):
+        plain, packed = (sorted(map(str, spark.read.csv(str(tmp_path / n / sheet), header=True, quote='"', escape='"').collect())) for n in ("none", "gzip"))
+        assert plain == packed and plain
