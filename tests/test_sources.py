@@ -280,3 +280,11 @@ def test_exports_can_be_compressed(spark, demo, tmp_path):
     for sheet in ("parts", "benchmark"):
         plain, packed = (sorted(map(str, spark.read.csv(str(tmp_path / n / sheet), header=True, quote='"', escape='"').collect())) for n in ("none", "gzip"))
         assert plain == packed and plain
+
+
+def test_a_batch_of_bills_leaves_only_its_tables(spark, tmp_path):
+    docs = spark.createDataFrame([("/in/a", "a", bill(1)), ("/in/b", "b", "no json")], "path string, file_name string, text string")
+    place = f"{checkpoint_dir(spark)}/pricebench"
+    before = set(os.listdir(place)) if os.path.isdir(place) else set()
+    bill_stream.ingest_batch(docs, stream_batch(0), str(tmp_path))
+    assert set(os.listdir(place)) == before and line_table(f"{tmp_path}/lines").rows(spark).count() == 2
